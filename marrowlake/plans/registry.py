@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marrowlake.plans import incremental_queries
+from marrowlake.plans import incremental_queries, retrieval_queries, text_queries
 
-_MODULES = (incremental_queries,)
+_MODULES = (incremental_queries, text_queries, retrieval_queries,)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return QUERIES["p7_found"](spark, base)
+    return QUERIES["hybrid_tier1"](spark, base)
