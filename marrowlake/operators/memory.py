@@ -25,8 +25,8 @@ def remembered(incoming: DataFrame, stored: DataFrame, near: DataFrame) -> DataF
     more). rejected, duplicate (same id and text, or a near episode), replaced (near lesson or fact) or saved.
     """
     i = incoming.withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("why", rejected(F.col("text"), F.col("origin"), F.col("confidence")))
-    same = stored.select("id", F.trim("text").alias("_t"), F.lit(True).alias("_same"))
-    j = i.join(same, (i.id == same.id) & (F.trim(i.text) == same._t), "left").drop(same.id).join(near.select("seq", "of"), "seq", "left")
+    same = stored.select(F.col("id").alias("_id"), F.trim("text").alias("_t"), F.lit(True).alias("_same")).distinct()
+    j = i.join(same, (F.col("id") == F.col("_id")) & (F.trim("text") == F.col("_t")), "left").join(near.select("seq", "of"), "seq", "left")
     j = j.withColumn("of", F.when(F.col("_same"), F.col("id")).when(F.col("of") != F.col("id"), F.col("of")))
     outcome = F.when(F.col("why").isNotNull(), "rejected").when(F.col("_same"), "duplicate").when(F.col("of").isNotNull() & (F.col("kind") == "episode"), "duplicate").when(F.col("of").isNotNull(), "replaced").otherwise("saved")
     return j.select("seq", "id", outcome.alias("outcome"), F.when(outcome.isin("duplicate", "replaced"), F.col("of")).alias("of"))
