@@ -149,7 +149,7 @@ def without_code(text: Column) -> Column:
 def wikilinks(text: Column) -> Column:
     """Targets of [[target]], [[target|alias]] and [[target#section]] outside code, in order, repeats kept."""
     found = F.regexp_extract_all(without_code(text), F.lit(r"\[\[([^\[\]|#\n]+)(?:[#|][^\[\]\n]*)?\]\]"), 1)
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_heading(text: Column) -> Column:

@@ -26,4 +26,4 @@ def assembled(pages: DataFrame) -> DataFrame:
 
 def page_at(pages: Column, offset: Column) -> Column:
     """The last page that begins at or before the offset; null before the first. pages: array of (page, offset) in order."""
-    return F.element_at(F.filter(pages, lambda p: p["offset"] <= offset), -1)["page"]
+    return F.try_element_at(F.filter(pages, lambda p: p["offset"] <= offset), F.lit(-1))["page"]
