@@ -5,12 +5,31 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once a session, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marrowlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # it is imported from a shipped archive itself
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="marrowlake-"), "marrowlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"marrowlake/{f.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._marrowlake_shipped = True
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The parquet table `name` under the folder `base`."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
