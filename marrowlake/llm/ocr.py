@@ -98,14 +98,14 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     parts = F.filter(F.split("markdown", r"\n[ \t]*\n\s*"), lambda p: F.trim(p) != "")
     p = pages.select("doc_id", "number", parts.alias("parts")).select("doc_id", "number", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "paragraph"))
     p = p.withColumn("paragraph", F.regexp_replace("paragraph", r"^\s+|\s+$", ""))
-    edge = ((F.col("k") < 2) | (F.col("k") >= F.col("n") - 2)) & ~F.col("paragraph").contains("\n") & (F.length("paragraph") <= 120) & ~F.col("paragraph").rlike(r"^(#|>|\||[-*+] |\d+[.)] |```)")
+    edge = ((F.col("k") < 2) | (F.col("k") >= F.col("n") - 2)) & ~F.col("paragraph").contains("\n") & (F.length("paragraph") <= 120) & ~F.col("paragraph").rlike(r"^(#|>|\||[-*+] |\d+[.)] |```)|[.?:;]$")
     return p.select("doc_id", "number", "k", "paragraph", is_page_number(F.col("paragraph")).alias("alone"), edge.alias("edge"))
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """(doc_id, number, k) of the paragraphs that are page numbers, or headers and footers that return on another page.
 
-    A header is a single line among the first or last two paragraphs whose skeleton stands there on at least two pages of the document. Counts are
+    A header is a single line, no sentence, among the first or last two paragraphs whose skeleton stands there on at least two pages of the document. Counts are
     pre-aggregated per document and skeleton.
     """
     p = paragraphs(pages).filter("alone or edge")
