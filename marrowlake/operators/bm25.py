@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marrowlake.functions.stem import stems
 from marrowlake.functions.text import STOP_WORDS, fold_newlines, tokens, without_stop_words
+from marrowlake.runtime import through_table
 
 K1, B = 1.2, 0.75
 
@@ -25,10 +26,11 @@ def analysed(rows: DataFrame, keep: list[str], text: Column, stop: tuple[str, ..
 def postings(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """(term, row_id, tf, impact): what each row adds to the score of a query with the term.
 
-    N and the mean length count every row, also those without a term. Counting is by (row, term) with map-side partial sums; document
-    frequencies and lengths are sums over that table. rows must have a unique row_id; null texts have no terms.
+    N and the mean length count every row, also those without a term. Counting is by (row, term) with map-side partial sums and is
+    written to the shared folder once; document frequencies and lengths are sums over that table. rows must have a unique row_id; null texts
+    have no terms.
     """
-    tf = analysed(rows, [row_id], fold_newlines(F.col(text)), stop, stemmed).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    tf = through_table(analysed(rows, [row_id], fold_newlines(F.col(text)), stop, stemmed).groupBy(row_id, "term").agg(F.count("*").alias("tf")), "counts")
     length = tf.groupBy(row_id).agg(F.sum("tf").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = rows.agg(F.count("*").alias("n"))

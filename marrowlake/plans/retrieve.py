@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrowlake.functions.text import rendered_entry
-from marrowlake.functions.weights import CURRENT, Weights, rank_weight
+from marrowlake.functions.weights import CURRENT, Weights, lifecycle, rank_weight
 from marrowlake.operators import bm25, budget, fusion, graph, knn
 from marrowlake.plans.profiles import Profile
+from marrowlake.runtime import through_table
 
 GRAPH_WEIGHT, SEEDS, TAKE = 0.2, 5, 10
 
 
-@dataclass
 class Pack:
-    """What search reads: chunks (id, doc, ord, text, heading_path, page_no), vectors (id, vec), postings, edges, documents with their weights' inputs."""
+    """What search reads, made of raw tables: chunks (id, doc, ord, text, heading_path, page_no), vectors (id, vec), postings, edges, documents.
 
-    chunks: DataFrame
-    vectors: DataFrame
-    postings: DataFrame
-    edges: DataFrame
-    documents: DataFrame
-    max_inbound: int = 0
+    Chunks, vectors and postings are written to the shared folder when they are first asked for and read from there, so each is made once however
+    many lists use it, and readers fetch only the columns they need. Chunks that repeat an id count once, with the largest vector.
+    """
+
+    def __init__(self, documents: DataFrame, chunks: DataFrame, dims: int = 64, stemmed: bool = False, max_inbound: int = 0) -> None:
+        self.raw_documents, self.raw_chunks, self.dims, self.stemmed, self.max_inbound = documents, chunks, dims, stemmed, max_inbound
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        c = self.raw_chunks.filter("id is not null").groupBy("id").agg(F.min("ord").alias("ord"), F.min("text").alias("text"), F.min("heading_path").alias("heading_path"), F.min("page_no").alias("page_no"))
+        return through_table(c.withColumn("doc", F.substring_index("id", ":", 1)), "chunks")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return through_table(knn.usable(self.raw_chunks, "id", "embedding", self.dims), "vectors")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return through_table(bm25.postings(self.chunks, stemmed=self.stemmed), "postings")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.resolved_links(self.raw_documents)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        d = self.raw_documents.select("id", "uri", "title", "source_type", F.get_json_object("meta", "$.status").alias("status")).join(graph.inbound_counts(self.edges), "id", "left")
+        stage = F.when(F.col("status").isNull(), CURRENT).otherwise(lifecycle(F.col("status"), F.col("inbound")))
+        return d.select("id", "uri", "title", "source_type", F.coalesce("inbound", F.lit(0)).alias("inbound"), stage.alias("lifecycle"))
 
 
 def build_pack(documents: DataFrame, chunks: DataFrame, dims: int = 64, stemmed: bool = False) -> Pack:
-    """The search frames of raw tables. Chunks that repeat an id count once, with the largest vector; all steps are lazy."""
-    once = chunks.filter("id is not null").groupBy("id").agg(F.min("ord").alias("ord"), F.min("text").alias("text"), F.min("heading_path").alias("heading_path"), F.min("page_no").alias("page_no"))
-    once = once.withColumn("doc", F.substring_index("id", ":", 1))
-    edges = graph.resolved_links(documents)
-    inbound = graph.inbound_counts(edges)
-    d = documents.select("id", "uri", "title", "source_type", F.get_json_object("meta", "$.status").alias("status")).join(inbound, "id", "left")
-    from marrowlake.functions.weights import lifecycle
-
-    d = d.select("id", "uri", "title", "source_type", F.coalesce("inbound", F.lit(0)).alias("inbound"), F.when(F.col("status").isNull(), CURRENT).otherwise(lifecycle(F.col("status"), F.col("inbound"))).alias("lifecycle"))
-    return Pack(once, knn.usable(chunks, "id", "embedding", dims), bm25.postings(once, stemmed=stemmed), edges, d)
+    """The search frames of raw tables."""
+    return Pack(documents, chunks, dims, stemmed)
 
 
 def stage_lists(queries: DataFrame, pack: Pack, profile: Profile, dims: int = 64, stemmed: bool = False) -> DataFrame:
