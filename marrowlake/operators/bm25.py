@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrowlake.functions.stem import stems
-from marrowlake.functions.text import STOP_WORDS, fold_newlines, tokens, without_stop_words
+from marrowlake.functions.text import STOP_WORDS, TOKEN_SPLIT, fold_newlines
 from marrowlake.runtime import through_table
 
 K1, B = 1.2, 0.75
@@ -15,9 +15,12 @@ K1, B = 1.2, 0.75
 def analysed(rows: DataFrame, keep: list[str], text: Column, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """keep and `term`, a row an occurrence.
 
-    The tokenizer is exploded in one step, so that it runs once. Stems are made of distinct words and joined back by word.
+    The tokenizer is exploded in one step, so that it runs once, and its tokens are filtered as rows, in generated code. Stems are made of
+    distinct words and joined back by word.
     """
-    out = rows.select(*keep, F.explode(without_stop_words(tokens(text), stop)).alias("term"))
+    out = rows.select(*keep, F.explode(F.split(F.lower(text), TOKEN_SPLIT)).alias("term")).filter("term <> ''")
+    if stop:
+        out = out.filter(~F.col("term").isin(*stop))
     if not stemmed:
         return out
     return out.join(stems(out), "term").select(*keep, F.col("stem").alias("term"))
@@ -26,16 +29,16 @@ def analysed(rows: DataFrame, keep: list[str], text: Column, stop: tuple[str, ..
 def postings(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """(term, row_id, tf, impact): what each row adds to the score of a query with the term.
 
-    N and the mean length count every row, also those without a term. Counting is by (row, term) with map-side partial sums and is
-    written to the shared folder once; document frequencies and lengths are sums over that table. rows must have a unique row_id; null texts
-    have no terms.
+    N and the mean length count every row, also those without a term. rows must have a unique row_id; null texts have no terms. Rows are spread
+    by row_id once, so counting terms and lengths needs no further exchange; only the join with document frequencies moves counts, by term.
     """
-    tf = through_table(analysed(rows, [row_id], fold_newlines(F.col(text)), stop, stemmed).groupBy(row_id, "term").agg(F.count("*").alias("tf")), "counts")
-    length = tf.groupBy(row_id).agg(F.sum("tf").alias("dl"))
+    spread = rows.select(row_id, text).repartition(row_id)
+    tf = analysed(spread, [row_id], fold_newlines(F.col(text)), stop, stemmed).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    tf = through_table(tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(row_id))), "counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = rows.agg(F.count("*").alias("n"))
     total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_terms"))
-    scored = tf.join(length, row_id).join(df, "term").crossJoin(n).crossJoin(total)  # two single rows
+    scored = tf.join(df, "term").crossJoin(n).crossJoin(total)  # two single rows
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all_terms") / F.col("n"))))
     return scored.select("term", row_id, "tf", (idf * weight).alias("impact"))
