@@ -141,6 +141,14 @@ _WORDS = r"""SELECT doc_id, t FROM (SELECT doc_id, unnest(string_split(regexp_re
 SQL = {
     "p1_found": f"SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a + b + c, {_WORST_FIRST}) p FROM ({_RANKS}) WHERE n >= 8) WHERE p = 1",
     "p1_leximin": f"SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_WORST_FIRST}) AS INTEGER) AS position FROM ({_RANKS})",
+    "p3_found": r"""WITH m AS (SELECT session, type, cwd, "timestamp" ts, message.role r, message.content c, min(row_id) row_id FROM finished WHERE trim(session) <> '' GROUP BY ALL),
+ x AS (SELECT session, row_id, CASE WHEN lower(trim(r)) IN ('user', 'human') THEN 'u' WHEN lower(trim(r)) IN ('assistant', 'ai', 'model') THEN 'a' WHEN lower(trim(r)) IN ('system', 'developer') THEN 'x' END w, try_cast(trim(ts) AS TIMESTAMPTZ) at_,
+  coalesce(regexp_matches(c, '^\s*\[\s*\{'), false) items, coalesce(json_valid(c), false) valid, c FROM m),
+ y AS (SELECT *, w IS NULL OR at_ IS NULL OR (items AND NOT valid) bad, CASE WHEN items AND valid THEN len(list_filter(from_json(c, '[{"type":"VARCHAR","text":"VARCHAR"}]'), lambda i: i.type = 'text' AND regexp_replace(i.text, '\s+', '', 'g') <> '')) > 0
+  WHEN items THEN false ELSE coalesce(regexp_replace(c, '\s+', '', 'g') <> '', false) END said FROM x),
+ g AS (SELECT session, bool_or(bad) bad, count(*) FILTER (WHERE said AND w IN ('u', 'a')) n, arg_min(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said AND w IN ('u', 'a')) f,
+  arg_max(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said AND w IN ('u', 'a')) l FROM y GROUP BY 1)
+ SELECT session FROM g WHERE bad OR n = 0 OR f = 'a' OR l = 'u'""",
     "p4_found": rf"""WITH k AS (SELECT doc_id, t, count(*) k FROM ({_WORDS}) GROUP BY 1, 2), d AS (SELECT t, count(*) df FROM k GROUP BY 1),
  g AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) t FROM (SELECT doc_id, unnest(tags) x FROM documents)), e AS (SELECT t, count(*) df FROM g WHERE t <> '' GROUP BY 1)
  SELECT doc_id, t AS term FROM k JOIN d USING (t) WHERE k >= 4 AND df <= 3 UNION SELECT doc_id, t FROM g JOIN e USING (t) WHERE df <= 3""",
