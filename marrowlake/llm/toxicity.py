@@ -51,8 +51,11 @@ _SIGN = r"@$*!€+0-9"
 SPACED = re.compile(r"(?<![\w.])[^\W_](?:([ .\-_·*])[^\W_]|[ .\-_·]{2}[^\W_]){3,}(?!\w)")
 SIGNED = re.compile(rf"(?<![\w/.=&#\\{{$])(?=[\w{_SIGN}]*[^\W\d_][\w{_SIGN}]*[^\W\d_])[\w{_SIGN}]*(?:[^\W\d_][{_SIGN}]|[@*$][^\W\d_])[\w{_SIGN}]*(?![\w/=])")
 REPEATED = re.compile(r"\w*([^\W\d_])\1{2,}\w*")
-#: Bytes of a lower-case text that may hold a masked word.
-HINT = re.compile(rb"[a-z][@$*!0-9][a-z]|[a-z]\*[^*]|[^*]\*[a-z]|[@$][a-z]|([a-z])\1\1|[^a-z][a-z][ .\-_][a-z][ .\-_][a-z][ .\-_][a-z]")
+# classes of the characters in Latin-1, "?" being every other one: a letter, * sign before or after one, 1 after one only; for
+# SPACED a single character or a separator
+_BY_SIGN = bytes(97 if chr(i).isalpha() or i >= 128 or i == 63 else 42 if chr(i) in "@*$" else 49 if chr(i) in "!+0123456789" else 120 for i in range(256))
+_BY_SPACE = bytes(32 if chr(i) in " .-_*·" else 97 if chr(i).isalnum() or i >= 128 or i == 63 else 120 for i in range(256))
+_LETTER = np.array([c == 97 for c in _BY_SIGN])
 _KEEP = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(256))
 
 
@@ -64,6 +67,23 @@ def byte_words(low: bytes) -> list[bytes]:
     return _WIDE_SIGNS.sub(b" ", low).translate(_KEEP).split()
 
 
+def may_be_masked(text: str) -> bool:
+    """False only if none of SPACED, SIGNED and REPEATED matches anywhere in the text, or in a part of it.
+
+    Each of them needs two or three characters side by side that are looked for here whatever stands around them.
+    """
+    raw = text.encode("latin-1", "replace")
+    by_sign = raw.translate(_BY_SIGN)
+    if b"a1" in by_sign or b"a*" in by_sign or b"*a" in by_sign or "€" in text:
+        return True
+    by_space = raw.translate(_BY_SPACE)
+    if b" a a " in by_space or b" a  a " in by_space:
+        return True
+    codes = np.frombuffer(raw, np.uint8)
+    same = codes[1:] == codes[:-1]
+    return bool(_LETTER[codes[2:][same[1:] & same[:-1]]].any())
+
+
 @dataclass
 class CharModel:
     """Character n-grams with counts; the probability of a letter backs off to shorter contexts."""
@@ -161,14 +181,11 @@ class Classifier:
         """(score, passage) of the worst passage of the whole text; (0, None) for null, empty and harmless texts."""
         if not text:
             return 0.0, None
-        low = text.lower()
-        raw = low.encode("utf-8", "replace")
-        masked = HINT.search(raw) is not None
-        if not masked and self._bytes().isdisjoint(byte_words(raw)):
+        if not may_be_masked(plain(text)) and self._bytes().isdisjoint(byte_words(text.lower().encode("utf-8", "replace"))):
             return 0.0, None
         best = (0.0, None)
         for p in passages(text):
-            q = restore(p, self.chars, self.triggers) if masked else p
+            q = restore(p, self.chars, self.triggers) if may_be_masked(p) else p
             s = self.score(WORD.findall(q.lower()))
             if s > best[0]:
                 best = (s, p)
@@ -180,9 +197,14 @@ class Classifier:
         return self._raw
 
 
+def plain(text: str) -> str:
+    """The text without code and addresses."""
+    return CODE.sub(" ", text) if "`" in text or "://" in text else text
+
+
 def passages(text: str) -> list[str]:
     """Sentences, lines of lists and headings of the text without code and addresses; a broken line does not end one."""
-    return [p for p in PASSAGE.split(CODE.sub(" ", text)) if p and not p.isspace()]
+    return [p for p in PASSAGE.split(plain(text)) if p and not p.isspace()]
 
 
 def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -234,8 +256,7 @@ def fit(rows: list[tuple[str, float]], chars: CharModel, corpus: dict[str, int],
     known = frozenset(OFFENSIVE)
     words_of: list[list[list[str]]] = []
     for t, _ in rows:
-        masked = HINT.search(t.lower().encode("utf-8", "replace")) is not None
-        words_of.append([WORD.findall((restore(p, chars, known) if masked else p).lower()) for p in passages(t)])
+        words_of.append([WORD.findall((restore(p, chars, known) if may_be_masked(p) else p).lower()) for p in passages(t)])
     toxic = np.array([s >= 0.5 for _, s in rows], bool)
     in_toxic: Counter[str] = Counter()
     in_any: Counter[str] = Counter()

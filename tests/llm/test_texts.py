@@ -165,3 +165,22 @@ def test_toxicity_frame(spark):
     labels = spark.createDataFrame([(1, "r1", 1, "abusive", None), (1, "r1", 1, "abusive", None), (2, "r2", 0, None, None), (None, "r", 1, None, None)], "doc_id long, rater string, toxic int, category string, rated_at timestamp")
     assert toxicity.judged(df, labels) == [("You are a worthless idiot and nobody wants you.", 1.0)]
     assert toxicity.train(df.limit(0), labels.limit(0)).document("you fucking worthless idiot")[0] >= toxicity.THRESHOLD
+
+
+def untaught():
+    return toxicity.fit([], toxicity.CharModel({}), {}, 0)
+
+
+@pytest.mark.parametrize("word", ["1d10t", "a55hole", "pu55y", "bi+ch", "m€rde", "i·d·i·o·t", "i d i o t", "i  d  i  o  t", "nud3", "IDIOOOT", "1d1ot", "sal@ud idi0t"])
+def test_every_masked_form_alone_is_decoded(word):
+    m = untaught()
+    for t in (word, f"The report was read. What an {word}, they said.", f"`code` {word}"):
+        assert m.document(t)[0] > 0, t
+
+
+def test_no_masked_form_passes_the_gate():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choice("abIé·€œя  .-_*@$!+1059²") for _ in range(rng.randrange(3, 14)))
+        if any(r.search(t) for r in (toxicity.SPACED, toxicity.SIGNED, toxicity.REPEATED)):
+            assert toxicity.may_be_masked(t), t
