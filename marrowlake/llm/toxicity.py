@@ -1,7 +1,7 @@
 """Abusive, hateful or sexual content (p10).
 
 Masked spellings are restored by a noisy channel: the characters of a suspicious token span a lattice (look-alikes, separators,
-repeated letters, wildcards) that Viterbi decodes under a character language model of the corpus. The restored passages are scored by a logistic
+repeated letters, wildcards); the likeliest known word through it, under a character language model of the corpus, is found by walking a trie. The restored passages are scored by a logistic
 regression, fitted on documents that people judged, with the passage as the unit: a document is as bad as its worst passage.
 """
 
@@ -23,9 +23,8 @@ from marrowlake.runtime import through_table
 
 #: Judged documents that the classifier is fitted on at most (the bound of what reaches the driver).
 FIT_DOCUMENTS = 4_000
-#: Order of the character model. Its contexts are letters of LETTERS, so the table is bounded by len(LETTERS) ** ORDER, and
-#: N_GRAMS keeps the most frequent ones.
-ORDER, N_GRAMS = 4, 60_000
+#: Order of the character model. Its n-grams are of LETTERS and all are kept, so the table is bounded by the alphabet, not by the corpus.
+ORDER = 4
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöœùúûüß"
 BUCKETS = 1 << 19
 THRESHOLD = 0.4
@@ -90,6 +89,7 @@ class CharModel:
 
     counts: dict[str, int]
     heads: dict[str, int] = field(default_factory=dict)
+    _lexicons: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         if not self.heads:
@@ -107,20 +107,39 @@ class CharModel:
                 p = (self.counts.get(h + c, 0) + 4 * p) / (n + 4)
         return math.log(p)
 
-    def decode(self, lattice: list[list[str]], known: frozenset[str], beam: int = 24) -> str:
-        """The likeliest word through the lattice (alternatives of each place, "" for none); of the last paths one that is known wins."""
-        paths = [(0.0, "")]
+    def lexicon(self, known: frozenset[str]) -> tuple[list[dict[str, int]], dict[int, tuple[float, str]]]:
+        """The known words as a trie: the next node by letter of each node, and (log probability, word) where a word ends."""
+        if known not in self._lexicons:
+            after: list[dict[str, int]] = [{}]
+            ends: dict[int, tuple[float, str]] = {}
+            for word in known:
+                at = 0
+                for c in word:
+                    if c not in after[at]:
+                        after[at][c] = len(after)
+                        after.append({})
+                    at = after[at][c]
+                s = "^" * (ORDER - 1) + word + "$"
+                ends[at] = (sum(self.log_p(s[i - ORDER + 1 : i], s[i]) for i in range(ORDER - 1, len(s))), word)
+            self._lexicons[known] = after, ends
+        return self._lexicons[known]
+
+    def decode(self, lattice: list[list[str]], known: frozenset[str]) -> str:
+        """The likeliest known word through the lattice (alternatives of each place, "" for none, which costs 1), or "" if there is none.
+
+        Every path that spells a known word is followed: what is kept for a prefix is its fewest places without a letter, and its probability is the same on each path.
+        """
+        after, ends = self.lexicon(known)
+        paths = {0: 0}
         for options in lattice:
-            nxt: dict[str, float] = {}
-            for s, w in paths:
-                ctx = ("^" * ORDER + w)[-(ORDER - 1) :]
+            nxt: dict[int, int] = {}
+            for at, skipped in paths.items():
                 for o in options:
-                    t = s + (sum(self.log_p((ctx + o[:i])[-(ORDER - 1) :], o[i]) for i in range(len(o))) if o else -1.0)
-                    if t > nxt.get(w + o, -math.inf):
-                        nxt[w + o] = t
-            paths = sorted(((s, w) for w, s in nxt.items()), reverse=True)[:beam]
-        paths = sorted(((s + self.log_p(("^" * ORDER + w)[-(ORDER - 1) :], "$"), w) for s, w in paths), reverse=True)
-        return next((w for _, w in paths if w in known), paths[0][1])
+                    to, n = (after[at].get(o), skipped) if o else (at, skipped + 1)
+                    if to is not None and n < nxt.get(to, n + 1):
+                        nxt[to] = n
+            paths = nxt
+        return max(((ends[at][0] - n, ends[at][1]) for at, n in paths.items() if at in ends), default=(0.0, ""))[1]
 
 
 def restore(passage: str, model: CharModel, known: frozenset[str]) -> str:
@@ -136,8 +155,7 @@ def restore(passage: str, model: CharModel, known: frozenset[str]) -> str:
                 continue
             options = list(LOOK_ALIKES.get(c, c))
             letters.append([*options, ""] if run == 2 or c in "*!+$" and i in (0, len(chars) - 1) else options)
-        word = model.decode(letters, known) if 3 <= len(letters) <= 24 else ""
-        return word if word in known else token
+        return len(letters) >= 3 and model.decode(letters, known) or token
 
     def spaced(m: re.Match) -> str:
         """A run of single characters; other words of one letter may stand at either end of it."""
@@ -234,8 +252,8 @@ def char_model(words: DataFrame) -> CharModel:
     """The character model of all words of LETTERS, each weighted by the logarithm of its frequency."""
     w = words.filter(F.col("word").rlike(f"^[{LETTERS}]+$") & (F.length("word") <= 40)).select(F.concat(F.lit("^" * (ORDER - 1)), "word", F.lit("$")).alias("w"), F.ceil(F.log2(F.col("n") + 1)).cast("long").alias("n"))
     grams = F.explode(F.flatten(F.transform(F.sequence(F.lit(ORDER), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda k: F.substring(F.col("w"), i - k + 1, k)))))
-    top = w.select(grams.alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(N_GRAMS)
-    return CharModel({r["g"]: r["n"] for r in top.collect()})
+    counted = w.select(grams.alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+    return CharModel({r["g"]: r["n"] for r in counted.collect()})
 
 
 def judged(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> list[tuple[str, float]]:
@@ -343,7 +361,7 @@ def toxicity(documents: DataFrame, model: Classifier, keep: list[str], text: str
     """The columns keep with toxicity (0 .. 1, of the worst passage) and that passage. Null and empty texts score 0. One pass, no shuffle."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, N_GRAMS counts
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, the n-grams of words of LETTERS
     schema = StructType([*(documents.schema[c] for c in keep), StructField("toxicity", DoubleType(), False), StructField("passage", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -184,3 +184,39 @@ def test_no_masked_form_passes_the_gate():
         t = "".join(rng.choice("abIé·€œя  .-_*@$!+1059²") for _ in range(rng.randrange(3, 14)))
         if any(r.search(t) for r in (toxicity.SPACED, toxicity.SIGNED, toxicity.REPEATED)):
             assert toxicity.may_be_masked(t), t
+
+
+def spelt(words):
+    """A character model of these words, each counted n times."""
+    counts: dict[str, int] = {}
+    for w, n in words.items():
+        s = "^" * (toxicity.ORDER - 1) + w + "$"
+        for i in range(toxicity.ORDER, len(s) + 1):
+            for k in range(1, toxicity.ORDER + 1):
+                counts[s[i - k : i]] = counts.get(s[i - k : i], 0) + n
+    return toxicity.CharModel(counts)
+
+
+@pytest.mark.parametrize("masked, word", [("f**k", "fuck"), ("b***h", "bitch"), ("c**t", "cunt"), ("w****r", "wanker"), ("a*******h", "arschloch")])
+def test_rare_words_survive_many_wildcards(masked, word):
+    common = {a + b + c + "er": 500 for a in "fbcwa" for b in "aeiourl" for c in "nrstl"}
+    assert toxicity.restore(f"you {masked} there", spelt(common), frozenset({word, "moron"})) == f"you {word} there"
+
+
+def test_decode_against_enumeration():
+    rng = random.Random(5)
+    chars = spelt({"abba": 9, "bab": 3, "caab": 1})
+    for _ in range(300):
+        known = frozenset("".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(6))
+        lattice = [rng.choice([["a"], ["b", ""], ["a", "b", "c"], ["c", "a", ""]]) for _ in range(rng.randrange(3, 7))]
+        score = lambda path: sum(chars.log_p(("^" * 3 + "".join(path) + "$")[i - 3 : i], ("^" * 3 + "".join(path) + "$")[i]) for i in range(3, len("".join(path)) + 4)) - path.count("")
+        spelling = [(score(p), "".join(p)) for p in itertools.product(*lattice) if "".join(p) in known]
+        got = chars.decode(lattice, known)
+        assert got in {w for s, w in spelling if s > max(spelling)[0] - 1e-9} if spelling else got == ""
+
+
+def test_all_n_grams_are_kept(spark):
+    letters = [c for c in toxicity.LETTERS if c.isascii()]
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in "aeo"]
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    assert sum(len(g) == toxicity.ORDER for g in toxicity.char_model(df).counts) > 60_000
