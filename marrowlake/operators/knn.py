@@ -25,12 +25,12 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, dims: int = 64, block: int = BLOCK, least: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, dims: int = 64, block: int = BLOCK, least: float | None = None, itself: bool = True) -> DataFrame:
     """(query_id, id, cosine, relevance, position): the k rows of greatest cosine for each query, exact.
 
     queries: (query_id, vec), rows: (id, vec), both usable. The queries go to the executors in blocks of a fixed size; each batch of rows is
     compared by one matrix product and keeps its own k best, so what is shuffled is k rows a query and task. Ties go to the smaller id. least drops
-    rows below that relevance.
+    rows below that relevance; without itself, rows that have the query's own id are left out before the k best are taken.
     """
     from marrowlake.runtime import cut
 
@@ -54,6 +54,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, dims: int = 64, block: int
                 ids = np.array(batch.column(0).to_pylist(), object)
                 order = np.argsort(ids, kind="stable")
                 s = x @ _matrix(batch.column(1), dims)[order].T
+                if not itself:
+                    s[ids_q.astype(str)[:, None] == ids[order].astype(str)[None, :]] = -np.inf
                 m = min(k, s.shape[1])
                 top = np.argsort(-s, axis=1, kind="stable")[:, :m]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_q, m).tolist(), pa.string()), pa.array(ids[order][top.ravel()].tolist(), pa.string()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "id", "cosine"])
@@ -62,6 +64,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, dims: int = 64, block: int
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "query_id string, id string, cosine double")
+    if not itself:
+        found = found.filter("query_id <> id")  # where a batch has fewer than k others
     # beyond the 12th digit the order would depend on how a sum was split
     found = found.withColumn("cosine", F.round("cosine", 12)).withColumn("relevance", relevance(F.col("cosine")))
     if least is not None:
@@ -79,7 +83,7 @@ def measured(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame
 
 
 def near_duplicate(probes: DataFrame, rows: DataFrame, kind: str = "kind", least: float = 0.94, take: int = 5, dims: int = 64) -> DataFrame:
-    """(query_id, id, relevance): the first of the take nearest rows of the same kind with at least that relevance."""
-    near = knn(probes, rows, take, dims).join(probes.select(F.col("query_id").cast("string"), F.col(kind).alias("_k")), "query_id").join(rows.select(F.col("id").cast("string"), F.col(kind).alias("_r")), "id")
+    """(query_id, id, relevance): the first of the take nearest other rows of the same kind with at least that relevance."""
+    near = knn(probes, rows, take, dims, itself=False).join(probes.select(F.col("query_id").cast("string"), F.col(kind).alias("_k")), "query_id").join(rows.select(F.col("id").cast("string"), F.col(kind).alias("_r")), "id")
     fit = near.filter((F.col("_k") == F.col("_r")) & (F.col("relevance") >= least))
     return fit.groupBy("query_id").agg(F.min_by(F.struct("id", "relevance"), "position").alias("h")).select("query_id", "h.id", "h.relevance")

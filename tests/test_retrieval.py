@@ -172,3 +172,23 @@ def test_windows_of_the_plan_are_partitioned(spark):
     df = spark.range(10).withColumn("g", F.col("id") % 2)
     assert ranking.rank_in_group(df, "g", [("id", False)]).filter("position = 1").count() == 2
     assert Window is not None
+
+
+def test_near_duplicates_search_all_other_rows(spark, tmp_path):
+    from marrowlake.plans import retrieval_queries
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((350, 64)).astype(np.float32)
+    x[100] = x[0] + 0.01 * x[1]
+    x[200], x[201:207] = x[300], x[300]
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["query_id"]: (r["id"], r["relevance"]) for r in retrieval_queries.near_duplicates(spark, str(tmp_path)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    want = {}
+    for i in range(0, 350, 100):
+        j = min((j for j in range(350) if j != i), key=lambda j: (-s[i, j], str(j)))
+        if (1 + s[i, j]) / 2 >= 0.6:
+            want[str(i)] = (str(j), round((1 + s[i, j]) / 2, 6))
+    assert got == want and got["0"][0] == "100" and got["300"][0] == "200"
