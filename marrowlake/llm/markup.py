@@ -1,8 +1,9 @@
 """Markup residue in text (p5): pieces of a text are labelled content or residue by a minimum cut.
 
 A text is split into pieces: code, formulas, markup constructs of HTML, wiki and LaTeX, and the runs of text between them. What a
-classifier would pay for either label of a piece is its capacity to the two terminals; neighbouring pieces and pieces of the same
-HTML element are joined by smoothness edges; a maximum flow gives the cheapest labelling.
+classifier would pay for either label of a piece is its capacity to the two terminals; neighbouring texts and the tags of an
+HTML element are joined by smoothness edges; a maximum flow gives the cheapest labelling. The kind of a construct settles its label; that of
+a text depends on its length, its links, the elements around it and its neighbours.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ COSTS = {
     "media": (80, 2), "magic": (80, 2), "xlink": (70, 4), "quotes": (60, 6), "dispmath": (70, 4), "inmath": (70, 4), "env": (80, 2), "command": (80, 2), "bare": (60, 6),
 }
 NEXT, SAME_ELEMENT = 3, 2
+# fixed values: words in the class, id or role of what a page has around its content
+FURNITURE = frozenset("""nav navbar navigation menu submenu breadcrumb breadcrumbs cookie cookies consent gdpr banner footer sidebar advert advertisement ads
+promo share sharing social newsletter subscribe pager pagination toolbar masthead popup modal contentinfo skiplink""".split())
+BLOCK_TAG = re.compile(r"</?(?:p|div|blockquote|table|tr|td|th|ul|ol|li|section|article|figure|form|pre|center|dl|dt|dd|h[1-6]|nav|header|footer|aside|main|menu|dialog|br|hr)\b", re.I)
 
 
 def min_cut(costs: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -114,16 +119,9 @@ def split(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def text_cost(piece: str) -> tuple[int, int]:
-    """Prose is dear to lose in proportion to its length; blanks cost nothing."""
-    n = len(piece.split())
-    return 0, min(60, 4 * n)
-
-
-def label(parts: list[tuple[str, str]]) -> list[bool]:
-    """Whether each piece is residue."""
-    costs = [text_cost(p) if k == "text" else COSTS[k] for k, p in parts]
-    edges = [(i, i + 1, NEXT) for i in range(len(parts) - 1)]
+def elements(parts: list[tuple[str, str]]) -> list[tuple[int, int, int]]:
+    """(first tag, last tag, first tag of the element around it or -1) of each HTML element that is closed, inner ones first."""
+    out: list[tuple[int, int, int]] = []
     open_tags: list[tuple[str, int]] = []
     for i, (k, p) in enumerate(parts):
         if k == "tag":
@@ -131,14 +129,59 @@ def label(parts: list[tuple[str, str]]) -> list[bool]:
             if p.startswith("</"):
                 for d in range(len(open_tags) - 1, -1, -1):
                     if open_tags[d][0] == name:
-                        edges.append((open_tags[d][1], i, 4 * SAME_ELEMENT))  # the two tags of an element
+                        out.append((open_tags[d][1], i, open_tags[d - 1][1] if d else -1))
                         del open_tags[d:]
                         break
-            else:
-                if open_tags:
-                    edges.append((open_tags[-1][1], i, SAME_ELEMENT))  # parent and child
-                if not p.endswith("/>") and name not in ("br", "img", "hr", "input", "meta", "link", "wbr", "col"):
-                    open_tags.append((name, i))
+            elif not p.endswith("/>") and name not in ("br", "img", "hr", "input", "meta", "link", "wbr", "col"):
+                open_tags.append((name, i))
+    return out
+
+
+def is_furniture(tag: str) -> bool:
+    """Whether a tag opens a part of a page that is there on every page: by its name, role, class or id."""
+    if re.match(r"<(?:footer|menu|dialog)\b", tag, re.I):
+        return True
+    given = re.findall(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", tag, re.I)
+    return any(w in FURNITURE for g in given for w in re.split(r"[\s_-]+", "".join(g).lower()))
+
+
+def text_costs(parts: list[tuple[str, str]], closed: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """What either label of each text with words costs: (content, residue).
+
+    Words are dear to lose, those of a link less so. What speaks for residue is the furniture of a page around the text, and a list or
+    block of three or more short links and nothing else.
+    """
+    words = {i: len(p.split()) for i, (k, p) in enumerate(parts) if k == "text" and not p.isspace()}
+    linked, furniture, menu, kept = set(), set(), set(), set()
+    for a, z, _ in closed:
+        name = re.match(r"<(\w+)", parts[a][1]).group(1).lower()
+        inside = [i for i in range(a + 1, z) if i in words]
+        if name == "a":
+            linked.update(inside)
+        elif re.fullmatch("h[1-6]|pre|code", name):
+            kept.update(inside)
+        if is_furniture(parts[a][1]):
+            furniture.update(inside)
+    for a, z, _ in closed:
+        if re.match(r"<(?:ul|ol|div|p|td|section)\b", parts[a][1], re.I):
+            inside = [i for i in range(a + 1, z) if i in words]
+            if len(inside) >= 3 and linked.issuperset(inside) and all(words[i] <= 2 for i in inside) and all(k in ("tag", "text", "entity") for k, _ in parts[a:z]):
+                menu.update(inside)
+    return {i: (min(50, 12 + 5 * n) * (i in furniture) + 6 * (i in menu), 90 if i in kept and i not in linked else min(60, (2 if i in linked else 4) * n)) for i, n in words.items()}
+
+
+def label(parts: list[tuple[str, str]]) -> list[bool]:
+    """Whether each piece is residue. A text is joined to the next one, more strongly if no block begins or ends between them."""
+    closed = elements(parts)
+    costs = [COSTS.get(k, (0, 0)) for k, _ in parts]
+    texts = text_costs(parts, closed)
+    for i, c in texts.items():
+        costs[i] = c
+    edges = [(a, z, 4 * SAME_ELEMENT) for a, z, _ in closed] + [(around, a, SAME_ELEMENT) for a, _, around in closed if around >= 0]
+    at = list(texts)
+    for i, j in zip(at, at[1:]):
+        inline = all(k in ("tag", "entity", "quotes") and not (k == "tag" and BLOCK_TAG.match(p)) for k, p in parts[i + 1 : j])
+        edges.append((i, j, 4 * NEXT if inline else NEXT))
     return min_cut(costs, edges)
 
 
@@ -180,10 +223,15 @@ def _command(piece: str) -> str:
 def clean(text: str) -> str:
     """The text without markup residue: headings, lists, code, formulas, tables and links become Markdown.
 
-    Code and formulas stay as they are. Scripts, comments, page furniture of wikis, references and labels are dropped.
+    Code and formulas stay as they are. Scripts, comments, page furniture of wikis, references and labels are dropped, and texts that
+    the cut labels residue, with the HTML elements that hold nothing else.
     """
     parts = split(text)
     residue = label(parts)
+    gone = {i for i, (k, p) in enumerate(parts) if k == "text" and residue[i] and not p.isspace()}
+    for a, z, _ in elements(parts) if gone else []:
+        if any(i in gone and parts[i][0] == "text" for i in range(a, z)) and all(i in gone or k in ("tag", "entity", "comment") and not p.lower().startswith("<img") or p.isspace() for i, (k, p) in enumerate(parts[a:z], a)):
+            gone.update(range(a, z + 1))
     out: list[str] = []
     lists: list[list] = []
     links: list[str] = []
@@ -191,7 +239,9 @@ def clean(text: str) -> str:
     pre = False
     env: list[str] = []
     quotes: list[str] = []
-    for (kind, p), bad in zip(parts, residue):
+    for i, ((kind, p), bad) in enumerate(zip(parts, residue)):
+        if i in gone:
+            continue
         if skip:
             if kind == "tag" and p.lower().startswith(f"</{skip}"):
                 skip = None

@@ -220,3 +220,18 @@ def test_all_n_grams_are_kept(spark):
     words = [a + b + c + d for a in letters for b in letters for c in letters for d in "aeo"]
     df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     assert sum(len(g) == toxicity.ORDER for g in toxicity.char_model(df).counts) > 60_000
+
+
+def test_texts_of_page_furniture_are_residue():
+    page = (
+        "<div class=\"top-menu\"><a href=\"/\">Home</a> | <a href=\"/p\">Our products</a></div>\n<ul><li><a href=\"/a\">About</a></li><li><a href=\"/c\">Contact</a></li><li><a href=\"/t\">Terms &amp; More</a></li></ul>\n"
+        "<h2>Menu</h2>\n<p>The <b>report</b> was read, see <a href=\"/r\">here</a>.</p>\n<ul><li>one</li><li>two</li><li><a href=\"/x\">three</a></li></ul>\n<div id='cookie-banner'><p>We use cookies on this site.</p> <span>OK</span></div>\n<pre>x = 1</pre>"
+    )
+    out = markup.clean(page)
+    for lost in ("Home", "products", "About", "Contact", "Terms", "&", "cookies", "OK", "](/)", "](/a)"):
+        assert lost not in out, lost
+    for kept in ("## Menu", "The **report** was read, see [here](/r).", "- one", "- two", "- [three](/x)", "x = 1"):
+        assert kept in out, kept
+    long = "This paragraph stands in a box that somebody named a banner, but it is what the page has to say about the matter."
+    assert markup.clean(f"<div class=banner><p>{long}</p></div>") == long
+    assert markup.clean("<b>a</b> <i>b</i><a href=\"/1\">c</a>") == "**a** *b*[c](/1)"
