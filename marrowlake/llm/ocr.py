@@ -27,6 +27,8 @@ LETTERS = [("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "r
 P_CONFUSION, P_SIGN = 0.02, 1e-7
 #: Weight of the word's own frequency against that of the pair.
 BACKOFF = 4.0
+#: A line that ends or begins like a sentence of the text is page furniture only if it returns on so many pages, and this share of the document's.
+LEAST_PAGES, LEAST_SHARE = 3, 0.5
 
 WORD = re.compile(r"[^\W_][\w!|¢†$@€£]*[\w¢†$@€£]|[^\W\d_]")
 CODE = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`|https?://\S+")
@@ -94,25 +96,33 @@ def skeleton(line: Column) -> Column:
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
-    """(doc_id, number, k, paragraph, alone, edge): alone marks a page number, edge a line that may be a header or footer."""
+    """(doc_id, number, k, paragraph, alone, top, bottom, sentence): alone marks a page number, top and bottom a line that may be a header or footer,
+    sentence one that may as well be text, by its end, numbering or length."""
     parts = F.filter(F.split("markdown", r"\n[ \t]*\n\s*"), lambda p: F.trim(p) != "")
     p = pages.select("doc_id", "number", parts.alias("parts")).select("doc_id", "number", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "paragraph"))
     p = p.withColumn("paragraph", F.regexp_replace("paragraph", r"^\s+|\s+$", ""))
-    edge = ((F.col("k") < 2) | (F.col("k") >= F.col("n") - 2)) & ~F.col("paragraph").contains("\n") & (F.length("paragraph") <= 120) & ~F.col("paragraph").rlike(r"^(#|>|\||[-*+] |\d+[.)] |```)|[.?:;]$")
-    return p.select("doc_id", "number", "k", "paragraph", is_page_number(F.col("paragraph")).alias("alone"), edge.alias("edge"))
+    line = ~F.col("paragraph").contains("\n") & ~F.col("paragraph").rlike(r"^(#|>|\||[-*+] |```)")
+    sentence = F.col("paragraph").rlike(r"^\d+[.)] |[.?:;]$") | (F.length("paragraph") > 120)
+    return p.select("doc_id", "number", "k", "paragraph", is_page_number(F.col("paragraph")).alias("alone"), (line & (F.col("k") < 2)).alias("top"), (line & (F.col("k") >= F.col("n") - 2)).alias("bottom"), sentence.alias("sentence"))
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """(doc_id, number, k) of the paragraphs that are page numbers, or headers and footers that return on another page.
 
-    A header is a single line, no sentence, among the first or last two paragraphs whose skeleton stands there on at least two pages of the document. Counts are
-    pre-aggregated per document and skeleton.
+    A header is a single line among the first or last two paragraphs whose skeleton stands there on at least two pages of the document; a line that may
+    be a sentence of the text must stand at the same edge of LEAST_SHARE of the document's pages, and of LEAST_PAGES. Counts are pre-aggregated per document and skeleton.
     """
-    p = paragraphs(pages).filter("alone or edge")
-    e = p.filter("edge and not alone").withColumn("skeleton", skeleton(F.col("paragraph"))).filter(F.length("skeleton") >= 3)
-    often = e.select("doc_id", "skeleton", "number").distinct().groupBy("doc_id", "skeleton").agg(F.count("*").alias("pages")).filter("pages > 1")
-    heads = e.join(often, ["doc_id", "skeleton"], "left_semi").select("doc_id", "number", "k")
-    return p.filter("alone").select("doc_id", "number", "k").unionByName(heads)
+    p = paragraphs(pages).filter("alone or top or bottom")
+    e = p.filter("not alone").withColumn("skeleton", skeleton(F.col("paragraph"))).filter(F.length("skeleton") >= 3)
+    lines = e.filter("not sentence")
+    often = lines.select("doc_id", "skeleton", "number").distinct().groupBy("doc_id", "skeleton").agg(F.count("*").alias("pages")).filter("pages > 1")
+    heads = lines.join(often, ["doc_id", "skeleton"], "left_semi").select("doc_id", "number", "k")
+    at = e.filter("sentence").withColumn("side", F.explode(F.filter(F.array(F.when(F.col("top"), 0), F.when(F.col("bottom"), 1)), lambda x: x.isNotNull())))
+    there = at.select("doc_id", "skeleton", "side", "number").distinct().groupBy("doc_id", "skeleton", "side").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    whole = pages.groupBy("doc_id").agg(F.count("*").alias("of"))
+    steady = there.join(whole, "doc_id").filter(F.col("pages") >= LEAST_SHARE * F.col("of"))
+    repeated = at.join(steady, ["doc_id", "skeleton", "side"], "left_semi").select("doc_id", "number", "k").distinct()
+    return p.filter("alone").select("doc_id", "number", "k").unionByName(heads).unionByName(repeated)
 
 
 # ---- broken words ----

@@ -235,3 +235,12 @@ def test_texts_of_page_furniture_are_residue():
     long = "This paragraph stands in a box that somebody named a banner, but it is what the page has to say about the matter."
     assert markup.clean(f"<div class=banner><p>{long}</p></div>") == long
     assert markup.clean("<b>a</b> <i>b</i><a href=\"/1\">c</a>") == "**a** *b*[c](/1)"
+
+
+def test_footers_that_look_like_sentences(spark):
+    rows = [(1, n, f"{n + 11}. Acme Proceedings\n\n{w} were read here\n\nby {w} people\n\nand then {w} left\n\n{last}") for n, (w, last) in enumerate([("Reports", "All rights reserved."), ("Changes", "All rights reserved."), ("Notes", "A11 rights reserved."), ("Drafts", "Nobody wrote more.")], 1)]
+    rows += [(2, n, f"Start of {w}\n\nThe {w} were old\n\n{w} went on\n\nover there {w}\n\n{'The report was read.' if n < 3 else w + ' end.'}") for n, w in enumerate("abacus bubble cactus donkey eleven".split(), 1)]
+    long = "Copyright by the society of all authors, who have written this in many years and do not wish that it is copied in part or in whole by anyone"
+    rows += [(3, n, f"{w} one\n\n{w} two\n\n{w} three\n\n{w} four\n\n{long}") for n, w in enumerate("fossil gopher hamlet".split(), 1)]
+    got = {(r["doc_id"], r["number"], r["k"]) for r in ocr.furniture(spark.createDataFrame(rows, "doc_id long, number int, markdown string")).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 0), (1, 1, 4), (1, 2, 4), (1, 3, 4), (3, 1, 4), (3, 2, 4), (3, 3, 4)}
