@@ -24,17 +24,18 @@ form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins
 meta meter nav noframes noscript object ol optgroup option output p param picture pre progress q ref references rp rt ruby s samp
 script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead
 time title tr track tt u ul var video wbr nowiki gallery poem""".split()
-# fixed values: LaTeX commands that stand without an argument
-BARE_COMMANDS = """item alpha beta gamma delta epsilon theta lambda mu pi rho sigma tau phi omega sum prod int frac leq geq neq cdot
-times infty ldots dots quad qquad noindent newline newpage clearpage maketitle tableofcontents centering hline par bigskip medskip
-smallskip LaTeX TeX textbackslash appendix small large Large""".split()
+# fixed values: LaTeX commands that stand without an argument and say nothing, and those that are words or signs of a text; others are formulas
+LAYOUT = frozenset("""noindent indent newline linebreak pagebreak newpage clearpage cleardoublepage maketitle tableofcontents listoffigures listoftables centering
+raggedright raggedleft hline toprule midrule bottomrule par bigskip medskip smallskip hfill vfill hrule quad qquad appendix tiny scriptsize footnotesize small
+normalsize large Large LARGE huge Huge bfseries itshape ttfamily sffamily rmfamily selectfont null relax protect frontmatter mainmatter backmatter""".split())
+SAID = {"LaTeX": "LaTeX", "TeX": "TeX", "ldots": "…", "dots": "…", "textbackslash": "\\"}
 
 CODE = r"(?P<fence>^[ \t]{0,3}(?P<f>`{3,}|~{3,})[^\n]*(?:\n(?!^[ \t]{0,3}(?P=f))[^\n]*)*(?:\n[ \t]{0,3}(?P=f)[`~]*[ \t]*$)?)|(?P<tick>(?P<t>`+)(?!`)(?:(?!\n\s*\n)[\s\S])*?(?<!`)(?P=t)(?!`))"
 MATH = r"(?P<display>\$\$[\s\S]*?\$\$)|(?P<math>(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$])\$(?![\d$]))"
 TAG = rf"(?P<tag></?(?P<name>(?i:{'|'.join(sorted(ELEMENTS, key=len, reverse=True))}))(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"
 HTML = rf"(?P<comment><!--[\s\S]*?(?:-->|\Z))|(?P<doctype><!(?i:doctype)[^>]*>)|(?P<script><(?P<raw>(?i:script|style))\b[^>]*>[\s\S]*?</(?P=raw)\s*>)|{TAG}|(?P<entity>&(?:\#\d{{1,7}}|\#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z][a-zA-Z0-9]{{1,31}});)"
 WIKI = r"(?P<template>\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})|(?P<table>^[ \t]*(?:\{\||\|\}|\|-+(?![^\n]*\|)|\|\+)[^\n]*$)|(?P<cell>^[ \t]*[|!][^|\n]*?(?:\|\||!!)[^\n]*$)|(?P<heading>^(?P<eq>={1,6})[ \t]*[^=\n][^\n]*?(?P=eq)[ \t]*$)|(?P<media>\[\[(?i:category|file|image|media|kategorie|datei|bild|catégorie|fichier|categoría|archivo):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\])|(?P<magic>__[A-Z]{3,}__)|(?P<xlink>\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*)?\](?!\())|(?P<quotes>(?<!')'{2,5}(?!'))"
-LATEX = rf"(?P<dispmath>\\\[[\s\S]*?(?:\\\]|\Z))|(?P<inmath>\\\([\s\S]*?(?:\\\)|\Z))|(?P<env>\\(?:begin|end)\s*\{{[^{{}}\n]*\}}(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?)|(?P<command>\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})|(?P<bare>(?<![\w:\\/.])\\(?:{'|'.join(BARE_COMMANDS)})(?![a-zA-Z\\/.:]))"
+LATEX = rf"(?P<dispmath>\\\[[\s\S]*?(?:\\\]|\Z))|(?P<inmath>\\\([\s\S]*?(?:\\\)|\Z))|(?P<env>\\(?:begin|end)\s*\{{[^{{}}\n]*\}}(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?)|(?P<command>\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})|(?P<bare>(?<![\w:\\/.])(?<!\w%)\\(?![bdfnrstvwzABDSWZ](?![a-zA-Z]))[a-zA-Z]+\*?(?![a-zA-Z\\/:]|\.\w|_[a-zA-Z]{{2}}|-[a-zA-Z])|(?<![:\\/.])\\\\(?:\[[^\]\n]*\])?(?=[ \t]*$))"
 OTHER = r"(?P<autolink><(?:https?|ftp|mailto):[^<>\s]*>)|(?P<generic>\b[A-Z]\w*<(?:[\w:&]+(?:,[ ]?[\w:&]+)*|[A-Z]\w*<[\w:&]+>)>)|(?P<note>\[\[(?!(?i:category|file|image|media|kategorie|datei|bild|catégorie|fichier|categoría|archivo):)[^\[\]\n]*\]\])"
 PIECES = re.compile("|".join((CODE, MATH, OTHER, HTML, WIKI, LATEX)), re.M)
 #: Texts without any of these have no piece that could be markup.
@@ -322,7 +323,11 @@ def clean(text: str) -> str:
         elif kind == "command":
             out.append(p if env and env[-1] in ("equation", "align", "gather", "displaymath", "math") else _command(p))
         elif kind == "bare":
-            out.append("- " if p == "\\item" else p if env else "")
+            name, maths = p[1:].rstrip("*"), bool(env) and env[-1].rstrip("*") in ("equation", "align", "gather", "displaymath", "math")
+            if p.startswith("\\\\"):
+                out.append(p if maths else "")
+            else:
+                out.append("- " if p == "\\item" else p if maths else "" if name in LAYOUT else SAID.get(name, f"${p}$"))
     joined = "".join(out)
     return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", joined)).strip("\n").rstrip() if joined != text else text
 

@@ -244,3 +244,14 @@ def test_footers_that_look_like_sentences(spark):
     rows += [(3, n, f"{w} one\n\n{w} two\n\n{w} three\n\n{w} four\n\n{long}") for n, w in enumerate("fossil gopher hamlet".split(), 1)]
     got = {(r["doc_id"], r["number"], r["k"]) for r in ocr.furniture(spark.createDataFrame(rows, "doc_id long, number int, markdown string")).collect()}
     assert got == {(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 4, 0), (1, 1, 4), (1, 2, 4), (1, 3, 4), (3, 1, 4), (3, 2, 4), (3, 3, 4)}
+
+
+@pytest.mark.parametrize("text", ["a \\hfill b", "\\toprule", "the \\nabla of f", "for \\forall x", "\\partial", "a & b \\\\\nc", "line\\\\[2pt]\nnext", "\\alpha_1 is", "made with \\LaTeX."])
+def test_any_bare_command_is_residue(text):
+    assert markup.needs_cleaning(text)
+
+
+def test_backslashes_that_are_no_commands():
+    for t in ("C:\\temp\\new", "\\\\server\\share\\x", "\\Users\\me", "run \\file.txt", "regex \\d+ and \\w", "a \\n b", "..\\foo", "%TEMP%\\foo", "`\\nabla` and $\\nabla$", "\\my_dir"):
+        assert not markup.needs_cleaning(t), t
+    assert markup.clean("a \\hfill b \\nabla f\\\\\nand \\LaTeX.") == "a  b $\\nabla$ f\nand LaTeX."
