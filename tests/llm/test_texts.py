@@ -255,3 +255,14 @@ def test_backslashes_that_are_no_commands():
     for t in ("C:\\temp\\new", "\\\\server\\share\\x", "\\Users\\me", "run \\file.txt", "regex \\d+ and \\w", "a \\n b", "..\\foo", "%TEMP%\\foo", "`\\nabla` and $\\nabla$", "\\my_dir"):
         assert not markup.needs_cleaning(t), t
     assert markup.clean("a \\hfill b \\nabla f\\\\\nand \\LaTeX.") == "a  b $\\nabla$ f\nand LaTeX."
+
+
+def test_chunks_are_cleaned(spark, small):
+    from marrowlake.llm import queries
+
+    chunks = spark.read.parquet(f"{small}/chunks.parquet")
+    got = queries.QUERIES["p5_clean_chunks"](spark, small).collect()
+    flagged = {(r["doc_id"], r["ord"]) for r in queries.p5_found(spark, small).collect()}
+    assert len(got) == chunks.count() and {(r["doc_id"], r["ord"]) for r in got if r["residue"]} == flagged != set()
+    text = {r["id"]: r["text"] for r in chunks.select("id", "text").collect()}
+    assert all(r["clean"] == (markup.clean(text[r["id"]]) if r["residue"] else text[r["id"]]) for r in got)
