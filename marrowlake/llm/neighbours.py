@@ -307,3 +307,18 @@ def nearest(vectors: DataFrame, sought: DataFrame, k: int = 10, probes: int = 24
 
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return near.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def with_copies(near: DataFrame, units: DataFrame, sought: DataFrame, k: int = 10) -> DataFrame:
+    """What nearest() found among distinct vectors, with all ids that hold them: the k most similar other ids, the sought one's own copies too.
+
+    Of a group of copies the k + 1 smallest ids suffice, as ties go to the smaller id; so a row becomes k + 1 at most.
+    """
+    from pyspark.sql import Window
+
+    links = copy_links(units).withColumn("n", F.row_number().over(Window.partitionBy("id_a").orderBy("id_b"))).filter(F.col("n") <= k)
+    own = sought.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    heads = cut(near.select("id", "neighbour", "cosine").unionByName(own))
+    copies = heads.join(links.withColumnRenamed("id_a", "neighbour"), "neighbour").select("id", F.col("id_b").alias("neighbour"), "cosine")
+    every = heads.unionByName(copies).filter("id <> neighbour").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))).filter(F.col("rank") <= k)

@@ -28,10 +28,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar chunks of every chunk whose doc_id is divisible by 100, against all chunks."""
+    """The 10 most similar chunks of every chunk whose doc_id is divisible by 100, against all chunks, exact copies among them."""
     chunks = table(spark, d, "chunks")
     sought = neighbours.unit_vectors(chunks.filter("doc_id % 100 = 0"), "id", "embedding").groupBy("id").agg(F.min("vec").alias("vec"))
-    return neighbours.nearest(neighbours.distinct_vectors(_vectors(spark, d)), sought)
+    units = _vectors(spark, d)
+    return neighbours.with_copies(neighbours.nearest(neighbours.distinct_vectors(units), sought), units, sought)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -240,3 +240,23 @@ def test_balanced_parts():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     size = np.bincount(neighbours.balanced_parts(x, neighbours.neighbour_graph(x), 10, rng), minlength=10)
     assert size.max() <= np.ceil(neighbours.SLACK * 60) + 1
+
+
+def test_nearest_has_all_copies(spark, tmp_path):
+    from marrowlake.llm import queries
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 64)).astype(np.float32)
+    x[1:4] = x[0]
+    x[20:35] = x[19]
+    x[36] = x[35] + 0.1 * x[37]
+    x[38] = x[36]
+    df = vectors(spark, x).withColumn("doc_id", F.when(F.col("id").isin("v000", "v002", "v019", "v034", "v035"), 100).otherwise(1).cast("long")).withColumnRenamed("e", "embedding")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    got: dict[str, list[str]] = {}
+    for r in queries.p2_nearest(spark, str(tmp_path)).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 5)
+    for i in (0, 2, 19, 34, 35):
+        assert got[f"v{i:03d}"] == [f"v{j:03d}" for j in sorted(set(range(60)) - {i}, key=lambda j: (-s[i, j], j))[:10]], i
