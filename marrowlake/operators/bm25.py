@@ -1,57 +1,154 @@
-"""BM25: index build (A1) and search (A2)."""
+"""BM25: index build (A1, K11) and search (A2).
+
+Terms are counted inside each row, so texts never move; what moves is the counts, once, to the bucket of their term, where they are stored in order. Scores are made from
+the counts of the terms that are asked for, the dictionary (term, df) and three totals.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from marrowlake.functions.stem import stems
-from marrowlake.functions.text import STOP_WORDS, TOKEN_SPLIT, fold_newlines
+from marrowlake.functions.stem import porter
+from marrowlake.functions.text import SEPARATORS, STOP_WORDS, fold_newlines
 from marrowlake.runtime import through_table
 
 K1, B = 1.2, 0.75
+#: Counts of one batch that goes back to the JVM.
+ROWS_OUT = 100_000
+_SPACES = str.maketrans(dict.fromkeys(SEPARATORS, " "))
 
 
-def analysed(rows: DataFrame, keep: list[str], text: Column, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    """keep and `term`, a row an occurrence.
+def row_terms(text: str | None, stop: frozenset[str], stemmed: bool) -> list[str]:
+    """the terms of a text in lower case: split, without stop words, stemmed, without empty ones."""
+    words = [w for w in (text or "").translate(_SPACES).split(" ") if w and w not in stop]
+    return [s for w in words if (s := porter(w))] if stemmed else words
+
+
+def term_counts(rows: DataFrame, row_id: str = "id", text: Column | None = None, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> DataFrame:
+    """(row_id, term, tf, dl) of rows: occurrences of each term in its row, and all terms of the row. No exchange; rows without terms give no row."""
+    source = fold_newlines(F.col("text")) if text is None else text
+    words, kind = frozenset(stop), rows.schema[row_id].dataType
+    schema = StructType([StructField(row_id, kind), StructField("term", StringType()), StructField("tf", IntegerType()), StructField("dl", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            term: list[str] = []
+            tf: list[int] = []
+            dl: list[int] = []
+
+            def out() -> pa.RecordBatch:
+                cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())]
+                return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+            for i, t in enumerate(b.column(1).to_pylist()):
+                counts = Counter(row_terms(t, words, stemmed))
+                if counts:
+                    n = len(counts)
+                    at += [i] * n
+                    term += counts
+                    tf += counts.values()
+                    dl += [sum(counts.values())] * n
+                    if len(at) >= ROWS_OUT:
+                        yield out()
+                        at, term, tf, dl = [], [], [], []
+            yield out()
+
+    return rows.select(row_id, F.lower(source)).mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Index:
+    """counts: (term, row_id, tf, dl), terms: (term, df); both with `bucket` if buckets is set. rows and all_terms are totals over all rows."""
+
+    counts: DataFrame
+    terms: DataFrame
+    rows: int
+    all_terms: int
+    row_id: str = "id"
+    buckets: int | None = None
+    stop: tuple[str, ...] = STOP_WORDS
+    stemmed: bool = True
+
+    def impact(self) -> Column:
+        """What a row adds to the score of a query with the term, from tf, dl and df."""
+        idf = F.log(1 + (F.lit(float(self.rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        mean = self.all_terms / self.rows if self.rows else 1.0
+        return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (mean or 1.0)))
+
+    def postings(self) -> DataFrame:
+        """(term, row_id, tf, impact) of all rows."""
+        return self.counts.join(self.terms.select("term", "df"), "term").select("term", self.row_id, F.col("tf").cast("long").alias("tf"), self.impact().alias("impact"))
 
-    The tokenizer is exploded in one step, so that it runs once, and its tokens are filtered as rows, in generated code. Stems are made of
-    distinct words and joined back by word.
-    """
-    out = rows.select(*keep, F.explode(F.split(F.lower(text), TOKEN_SPLIT)).alias("term")).filter("term <> ''")
-    if stop:
-        out = out.filter(~F.col("term").isin(*stop))
-    if not stemmed:
-        return out
-    return out.join(stems(out), "term").select(*keep, F.col("stem").alias("term"))
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-def postings(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    """(term, row_id, tf, impact): what each row adds to the score of a query with the term.
 
-    N and the mean length count every row, also those without a term. rows must have a unique row_id; null texts have no terms. Rows are spread
-    by row_id once, so counting terms and lengths needs no further exchange; only the join with document frequencies moves counts, by term.
+def build(rows: DataFrame, path: str, row_id: str = "id", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True, buckets: int = 16) -> Index:
+    """The index of rows (row_id unique, text) written below path: counts by bucket and in order of term, the dictionary, totals.
+
+    One pass over the texts and one exchange of counts; the rebalancing splits a bucket that a frequent term makes large and joins small ones.
     """
-    spread = rows.select(row_id, text).repartition(row_id)
-    tf = analysed(spread, [row_id], fold_newlines(F.col(text)), stop, stemmed).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
-    tf = through_table(tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(row_id))), "counts")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*").alias("n"))
-    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_terms"))
-    scored = tf.join(df, "term").crossJoin(n).crossJoin(total)  # two single rows
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all_terms") / F.col("n"))))
-    return scored.select("term", row_id, "tf", (idf * weight).alias("impact"))
-
-
-def search(queries: DataFrame, index: DataFrame, k: int = 20, row_id: str = "id", query_id: str = "query_id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = False, strict: bool = False) -> DataFrame:
+    spark = rows.sparkSession
+    made = term_counts(rows, row_id, stop=stop, stemmed=stemmed).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    made.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", row_id).write.partitionBy("bucket").parquet(f"{path}/counts")
+    counts = spark.read.schema(made.schema).parquet(f"{path}/counts")
+    terms = counts.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    terms.sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+    terms = spark.read.schema(terms.schema).parquet(f"{path}/terms")
+    n = rows.select(row_id).count()
+    total = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Index(counts, terms, n, total, row_id, buckets, stop, stemmed)
+
+
+def opened(spark, path: str, rows: int, all_terms: int, row_id: str, row_type: str, buckets: int, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Index:
+    """The index that build wrote below path; nothing is read but file names."""
+    counts = spark.read.schema(f"{row_id} {row_type}, term string, tf int, dl int, bucket int").parquet(f"{path}/counts")
+    terms = spark.read.schema("bucket int, term string, df long, n long").parquet(f"{path}/terms")
+    return Index(counts, terms, rows, all_terms, row_id, buckets, stop, stemmed)
+
+
+def indexed(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Index:
+    """The index of rows for one use; counts are kept in the shared folder, without buckets."""
+    counts = through_table(term_counts(rows.select(row_id, F.col(text).alias("text")), row_id, stop=stop, stemmed=stemmed), "counts")
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"))
+    t = counts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return Index(counts, terms, rows.count(), t, row_id, None, stop, stemmed)
+
+
+def postings(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> DataFrame:
+    """(term, row_id, tf, impact) of rows with a unique row_id. N and the mean length count every row, also those without a term; null texts have no terms."""
+    return indexed(rows, row_id, text, stop, stemmed).postings()
+
+
+def query_terms(queries: DataFrame, index: Index, query_id: str = "query_id", text: str = "text", strict: bool = False) -> DataFrame:
+    """(query_id, term, times). Line breaks are folded only if strict."""
+    source = fold_newlines(F.col(text)) if strict else F.col(text)
+    return term_counts(queries, query_id, source, index.stop, index.stemmed).select(query_id, "term", F.col("tf").alias("times"))
+
+
+def search(queries: DataFrame, index: Index, k: int = 20, query_id: str = "query_id", text: str = "text", strict: bool = False) -> DataFrame:
     """(query_id, row_id, score, position) of the k best rows of each query.
 
-    A term that a query repeats adds each time. strict folds the query's line breaks as the index does. Ties go to the smaller row_id. The
-    postings are reduced to the terms asked for by the join, summed by (query, row) with partial sums, and cut by a per-group limit.
+    A term that a query repeats adds each time; ties go to the smaller row_id. Only the buckets of the terms asked for are read (their numbers, at most
+    index.buckets, reach the driver), the dictionary is joined to the asked terms first, and what each (query, row) gets is summed with partial sums.
     """
-    source = fold_newlines(F.col(text)) if strict else F.col(text)
-    asked = analysed(queries, [query_id], source, stop, stemmed).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    hits = asked.join(index, "term").groupBy(query_id, row_id).agg(F.round(F.sum(F.col("impact") * F.col("times")), 9).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
+    asked = query_terms(queries, index, query_id, text, strict)
+    counts, terms = index.counts, index.terms
+    if index.buckets:
+        asked = asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+        wanted = [r[0] for r in asked.select("bucket").distinct().collect()]
+        counts = counts.filter(F.col("bucket").isin(wanted) if wanted else F.lit(False)).drop("bucket")
+        asked = asked.drop("bucket")
+    known = asked.join(terms.select("term", "df"), "term")
+    hits = counts.join(known, "term").groupBy(query_id, index.row_id).agg(F.round(F.sum(index.impact() * F.col("times")), 9).alias("score"))
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), index.row_id)
     return hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrowlake.functions.identity import ANALYZER
+from marrowlake.operators.versions import Versions
 
 SETTLE_SECONDS = 600
-FORMAT = 4
+ROW_FORMAT = 4
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -100,26 +101,31 @@ def ignored(path: Column, names: tuple[str, ...] = ("_templates",)) -> Column:
 
 
 def build_pack(chunks: DataFrame, path: str, model: str, dims: int) -> dict:
-    """The chunk table in order of id with its manifest. Refuses to mix rows with and without vectors.
+    """A chunk table in order of id as the newest version below path. Refuses to mix rows with and without vectors.
 
-    Rows are ranged and sorted by id, so a point read touches one file and row group. The manifest is written last: a pack without one is not complete.
+    Rows are ranged and sorted by id, so a point read touches one file and row group. They go to a folder of their own, which a manifest then names: readers keep what they
+    opened, and a failure before that changes nothing. The whole search pack is operators/pack.py.
     """
     n = chunks.agg(F.count("*").alias("rows"), F.count("embedding").alias("vectors")).first()
     if 0 < n["vectors"] < n["rows"]:
         raise ValueError(f"{n['vectors']} of {n['rows']} rows have a vector; a pack has all or none")
-    chunks.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/rows")
-    manifest = {"format": FORMAT, "model_id": model, "dims": dims, "rows": n["rows"], "rows_with_vectors": n["vectors"], "analyzer": ANALYZER}
-    chunks.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    versions = Versions(chunks.sparkSession, f"{path}/manifests")
+    version, folder = (versions.numbers() or [0])[-1] + 1, f"rows-{uuid.uuid4().hex}"
+    chunks.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/{folder}")
+    manifest = {"version": version, "folder": folder, "format": ROW_FORMAT, "model_id": model, "dims": dims, "rows": n["rows"], "rows_with_vectors": n["vectors"], "analyzer": ANALYZER}
+    versions.publish(manifest)
     return manifest
 
 
 def open_pack(spark: SparkSession, path: str, model: str, dims: int) -> DataFrame:
-    """The rows of a pack; raises if format, model, width, analyzer or row count differ from its manifest."""
-    m = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
-    for name, want in (("format", FORMAT), ("model_id", model), ("dims", dims), ("analyzer", ANALYZER)):
+    """The rows of the newest version; raises if format, model, width, analyzer or row count differ from its manifest."""
+    m = Versions(spark, f"{path}/manifests").read()
+    if m is None:
+        raise ValueError(f"no pack at {path}")
+    for name, want in (("format", ROW_FORMAT), ("model_id", model), ("dims", dims), ("analyzer", ANALYZER)):
         if m[name] != want:
             raise ValueError(f"the pack has {name} {m[name]}, not {want}")
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/{m['folder']}")
     if (n := rows.count()) != m["rows"]:
         raise ValueError(f"the pack has {n} rows, its manifest {m['rows']}")
     return rows

@@ -1,5 +1,6 @@
 """SQL that several checks share, for DuckDB."""
 
+from marrowlake.functions.stem import DOUBLED, STEP2, STEP3, STEP4
 from marrowlake.functions.text import STOP_WORDS
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -16,9 +17,82 @@ USABLE = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda
 VEC = f"vec AS (SELECT id, max(embedding)::DOUBLE[] v FROM chunks WHERE id IS NOT NULL AND {USABLE} GROUP BY id)"
 QUERIES = "q AS (SELECT doc_id AS query_id, id AS qdoc, title AS text FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL)"
 QVEC = "qv AS (SELECT query_id, v qv FROM q JOIN vec ON vec.id = qdoc || ':0')"
-POSTINGS = f"""tok AS (SELECT id, unnest({toks(FOLDED)}) t FROM once WHERE text IS NOT NULL), tf AS (SELECT id, t AS term, count(*) tf FROM tok WHERE t <> '' AND t NOT IN ({STOP}) GROUP BY 1, 2),
- dl AS (SELECT id, sum(tf) dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) df FROM tf GROUP BY 1), n AS (SELECT count(*) n FROM once), tt AS (SELECT sum(tf) tt FROM tf),
+
+# ---- Porter's steps over distinct words, by the shape of a word: V for a vowel, C for a consonant ----
+
+
+def _shape(w: str) -> str:
+    """y is a vowel behind a consonant; runs of y are settled from the left."""
+    s = f"regexp_replace(regexp_replace(regexp_replace({w}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g'), '^y', 'C')"
+    for _ in range(3):
+        s = f"regexp_replace(regexp_replace({s}, 'Cy', 'CV', 'g'), 'Vy', 'VC', 'g')"
+    return s
+
+
+def _cut(w: str, n: int) -> str:
+    return f"left({w}, length({w}) - {n})"
+
+
+def _measure(shape: str) -> str:
+    return f"len(regexp_extract_all({shape}, 'V+C'))"
+
+
+def _cvc(w: str, shape: str) -> str:
+    return f"(length({w}) > 2 AND right({shape}, 3) = 'CVC' AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _ends(w: str, ends) -> str:
+    return "(" + " OR ".join(f"ends_with({w}, '{e}')" for e in ends) + ")"
+
+
+def _longest_first(rules) -> list[str]:
+    return sorted(rules, key=lambda r: (-len(r), r))
+
+
+def _swap(rules: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN {_measure(_cut('s', len(e)))} >= 1 THEN {_cut('w', len(e))} || '{rules[e]}' ELSE w END" for e in _longest_first(rules)) + " ELSE w END"
+
+
+def _dropped(e: str) -> str:
+    extra = f" AND {_ends(_cut('w', len(e)), 'st')}" if e == "ion" else ""
+    return f"WHEN ends_with(w, '{e}') THEN CASE WHEN {_measure(_cut('s', len(e)))} > 1{extra} THEN {_cut('w', len(e))} ELSE w END"
+
+
+def _step(n: int, expression: str) -> str:
+    return f"p{n} AS (SELECT t, w, {_shape('w')} s FROM (SELECT t, {expression} w FROM p{n - 1}))"
+
+
+def stems(source: str) -> str:
+    """CTEs that end in stem (t, stem) of the distinct t of source; stems that are empty are left out."""
+    ed = f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_measure(_cut('s', 3))} > 0 THEN {_cut('w', 1)} ELSE w END " + " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN contains({_cut('s', len(e))}, 'V') THEN {_cut('w', len(e))} || '+' ELSE w END" for e in ("ed", "ing")) + " ELSE w END"
+    b, bs = _cut("w", 1), "left(s, length(s) - 1)"  # a word that lost ed or ing carries a plus sign
+    mend = f"""CASE WHEN NOT ends_with(w, '+') THEN w WHEN {_ends(b, ('at', 'bl', 'iz'))} THEN {b} || 'e' WHEN {_ends(b, sorted(DOUBLED))} THEN {_cut('w', 2)}
+  WHEN {_measure(bs)} = 1 AND {_cvc(b, bs)} THEN {b} || 'e' ELSE {b} END"""
+    return ", ".join(
+        (
+            f"p0 AS (SELECT DISTINCT t, t AS w FROM {source} WHERE t <> '')",
+            _step(1, f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_cut('w', 1)} ELSE w END"),
+            _step(2, ed),
+            _step(3, mend),
+            _step(4, f"CASE WHEN ends_with(w, 'y') AND contains({_cut('s', 1)}, 'V') THEN {_cut('w', 1)} || 'i' ELSE w END"),
+            _step(5, _swap(STEP2)),
+            _step(6, _swap(STEP3)),
+            _step(7, "CASE " + " ".join(_dropped(e) for e in _longest_first(STEP4)) + " ELSE w END"),
+            _step(8, f"CASE WHEN ends_with(w, 'e') AND ({_measure(_cut('s', 1))} > 1 OR ({_measure(_cut('s', 1))} = 1 AND NOT {_cvc(_cut('w', 1), _cut('s', 1))})) THEN {_cut('w', 1)} ELSE w END"),
+            _step(9, f"CASE WHEN ends_with(w, 'll') AND {_measure(_cut('s', 1))} > 1 THEN {_cut('w', 1)} ELSE w END"),
+            "stem AS (SELECT t, w AS stem FROM p9 WHERE w <> '')",
+        )
+    )
+
+
+_TOKENS = f"tok AS (SELECT id, t FROM (SELECT id, unnest({toks(FOLDED)}) t FROM once WHERE text IS NOT NULL) WHERE t <> '' AND t NOT IN ({STOP}))"
+_ASKED = f"asked AS (SELECT query_id, t FROM (SELECT query_id, unnest({toks('text')}) t FROM q) WHERE t <> '' AND t NOT IN ({STOP}))"
+_SCORED = """dl AS (SELECT id, sum(tf) dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) df FROM tf GROUP BY 1), n AS (SELECT count(*) n FROM once), tt AS (SELECT sum(tf) tt FROM tf),
  postings AS (SELECT term, id, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (tt / n))) impact FROM tf JOIN dl USING (id) JOIN df USING (term), n, tt)"""
+#: The index of stemmed terms, of all chunks and the query set; needs once and q.
+POSTINGS = f"{_TOKENS}, {_ASKED}, {stems('(SELECT t FROM tok UNION SELECT t FROM asked)')}, tf AS (SELECT id, stem AS term, count(*) tf FROM tok JOIN stem USING (t) GROUP BY 1, 2), {_SCORED}"
+#: The same without the stemmer.
+POSTINGS_UNSTEMMED = f"{_TOKENS}, {_ASKED}, stem AS (SELECT DISTINCT t, t AS stem FROM (SELECT t FROM tok UNION SELECT t FROM asked)), tf AS (SELECT id, t AS term, count(*) tf FROM tok GROUP BY 1, 2), {_SCORED}"
 REL = "least(greatest((1 + cosine) / 2, 0.0), 1.0)"
 
 
@@ -28,7 +102,7 @@ def knn(k: int) -> str:
 
 
 def words(k: int) -> str:
-    return f"""qt AS (SELECT query_id, t AS term, count(*) times FROM (SELECT query_id, unnest({toks('text')}) t FROM q) WHERE t <> '' AND t NOT IN ({STOP}) GROUP BY 1, 2),
+    return f"""qt AS (SELECT query_id, stem AS term, count(*) times FROM asked JOIN stem USING (t) GROUP BY 1, 2),
  bm AS (SELECT query_id, id, round(sum(impact * times), 9) score FROM qt JOIN postings USING (term) GROUP BY 1, 2),
  kw AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) p FROM bm QUALIFY p <= {k})"""
 

@@ -8,7 +8,7 @@ from typing import Any
 
 @dataclass(frozen=True)
 class Profile:
-    """What a tier may spend: candidates a list, graph hops and neighbours, the trade of rank against variety."""
+    """What a tier may spend: candidates a list, the width of the vector search, graph hops and neighbours, the trade of rank against variety."""
 
     name: str
     candidates: int
@@ -17,15 +17,16 @@ class Profile:
     hops: int = 0
     neighbours: int = 0
     budget_ms: int = 0
+    efs: int = 64
 
 
 # fixed values: the shipped tiers and surfaces
 TIERS = (
-    Profile("instant", 5, 1.0, budget_ms=150),
-    Profile("fast", 20, 0.7, budget_ms=220),
-    Profile("balanced", 30, 0.7, hops=1, neighbours=5, budget_ms=320),
-    Profile("thorough", 40, 0.6, hops=1, neighbours=8, budget_ms=700),
-    Profile("exhaustive", 80, 0.5, hops=2, neighbours=12, budget_ms=1600),
+    Profile("instant", 5, 1.0, budget_ms=150, efs=32),
+    Profile("fast", 20, 0.7, budget_ms=220, efs=50),
+    Profile("balanced", 30, 0.7, hops=1, neighbours=5, budget_ms=320, efs=64),
+    Profile("thorough", 40, 0.6, hops=1, neighbours=8, budget_ms=700, efs=100),
+    Profile("exhaustive", 80, 0.5, hops=2, neighbours=12, budget_ms=1600, efs=200),
 )
 SURFACES = {"hook": (1, 0.66, 1500), "mcp": (3, 0.55, 4000)}
 

@@ -11,35 +11,57 @@ from marrowlake.operators import bm25, budget, fusion, knn, usage
 from marrowlake.plans import fragments as q
 from marrowlake.plans import retrieve
 from marrowlake.plans.profiles import SURFACES, TIERS
-from marrowlake.runtime import cut, table
+from marrowlake.operators.pack import Pack, publish
+from marrowlake.runtime import cut, scratch_path, table
 
 Spark = SparkSession
 #: The time that decay is counted to: 2026-06-01 UTC.
 NOW = 1_780_272_000
 
 
-def pack_of(spark: Spark, d: str) -> retrieve.Pack:
-    return retrieve.build_pack(table(spark, d, "documents"), table(spark, d, "chunks"))
+_PACKS: dict[tuple[str, str, bool], str] = {}
 
 
-def query_set(spark: Spark, d: str, pack: retrieve.Pack) -> DataFrame:
+def pack_of(spark: Spark, d: str, stemmed: bool = True) -> Pack:
+    """The pack of the tables below d, published in the shared folder when first asked for and opened by path after that.
+
+    The stamps of the tables' files are the sources' stamps, so a table that changed is indexed anew.
+    """
+    documents, chunks = table(spark, d, "documents"), table(spark, d, "chunks")
+    path = _PACKS.setdefault((spark.sparkContext.applicationId, d, stemmed), scratch_path(spark, "pack"))
+    return publish(spark, path, documents, chunks, stemmed=stemmed, stamps=file_stamps(spark, [*documents.inputFiles(), *chunks.inputFiles()]))
+
+
+def file_stamps(spark: Spark, files: list[str]) -> DataFrame:
+    """(uri, stamp) of the files of a table, by their time and length."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    rows = []
+    for f in sorted(set(files)):
+        s = path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f))
+        rows.append((f, f"{s.getModificationTime()}:{s.getLen()}"))
+    return spark.createDataFrame(rows, "uri string, stamp string")
+
+
+def query_set(spark: Spark, d: str, pack: Pack) -> DataFrame:
     """The stated query set: titles of the documents whose doc_id is divisible by 100, with the vector of their first chunk."""
     t = table(spark, d, "documents").filter("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.concat("id", F.lit(":0")).alias("id"), F.col("title").alias("text"))
     return cut(t.join(pack.vectors, "id", "left").select("query_id", "text", "vec"))
 
 
 def bm25_postings(spark: Spark, d: str) -> DataFrame:
-    return bm25.postings(pack_of(spark, d).chunks).select("term", "id", "tf", F.round("impact", 6).alias("impact"))
+    """A1: the stored index, scored."""
+    return pack_of(spark, d).postings.select("term", "id", "tf", F.round("impact", 6).alias("impact"))
 
 
 def bm25_search(spark: Spark, d: str) -> DataFrame:
     p = pack_of(spark, d)
-    return bm25.search(query_set(spark, d, p).select("query_id", "text"), p.postings).select("query_id", "id", F.round("score", 6).alias("score"), "position")
+    return retrieve.keyword_hits(query_set(spark, d, p), p, 20).select("query_id", "id", F.round("score", 6).alias("score"), "position")
 
 
-def bm25_stemmed(spark: Spark, d: str) -> DataFrame:
-    p = retrieve.build_pack(table(spark, d, "documents"), table(spark, d, "chunks"), stemmed=True)
-    return bm25.search(query_set(spark, d, p).select("query_id", "text"), p.postings, stemmed=True)
+def bm25_unstemmed(spark: Spark, d: str) -> DataFrame:
+    """A2 without the stemmer, over a pack of its own."""
+    p = pack_of(spark, d, stemmed=False)
+    return retrieve.keyword_hits(query_set(spark, d, p), p, 20).select("query_id", "id", F.round("score", 6).alias("score"), "position")
 
 
 def knn_exact(spark: Spark, d: str) -> DataFrame:
@@ -56,10 +78,7 @@ def knn_embeddings(spark: Spark, d: str) -> DataFrame:
 
 
 def near_duplicates(spark: Spark, d: str) -> DataFrame:
-    """For the same queries, the nearest other vector of the same label among the 5 nearest of all others, at a relevance of 0.6.
-
-    The registered SQL leaves vec_id divisible by 100 out of what is searched, so it lacks or differs in what lies nearest there.
-    """
+    """For the same queries, the nearest other vector of the same label among the 5 nearest of all others, at a relevance of 0.6."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("kind"))
     probes = e.filter("cast(id as long) % 100 = 0").withColumnRenamed("id", "query_id")
     return knn.near_duplicate(probes, e, least=0.6).withColumn("relevance", F.round("relevance", 6))
@@ -73,10 +92,10 @@ def measured_hits(spark: Spark, d: str) -> DataFrame:
     return knn.measured(h, lead, v).withColumn("relevance", F.round("relevance", 6))
 
 
-def _lists(spark: Spark, d: str, tier: int) -> tuple[retrieve.Pack, DataFrame, DataFrame]:
+def _lists(spark: Spark, d: str, tier: int) -> tuple[Pack, DataFrame, DataFrame]:
     p = pack_of(spark, d)
     asked = query_set(spark, d, p)
-    return p, asked, retrieve.stage_lists(asked, p, TIERS[tier])
+    return p, asked, retrieve.stage_lists(asked, p, TIERS[tier], exact=True)
 
 
 def rrf_fusion(spark: Spark, d: str) -> DataFrame:
@@ -100,20 +119,19 @@ def weighted_gate(spark: Spark, d: str) -> DataFrame:
 def _tier(n: int):
     def run(spark: Spark, d: str) -> DataFrame:
         p = pack_of(spark, d)
-        return retrieve.search(query_set(spark, d, p), p, TIERS[n], now=NOW).select("query_id", "position", "chunk_id", F.round("relevance", 6).alias("relevance"))
+        return retrieve.search(query_set(spark, d, p), p, TIERS[n], now=NOW, exact=True).select("query_id", "position", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
     run.__name__ = f"hybrid_tier{n}"
-    run.__doc__ = f"R1 at tier {n}, {TIERS[n].name}."
+    run.__doc__ = f"R1 at tier {n}, {TIERS[n].name}, with an exact vector list, so that SQL can say the same."
     return run
 
 
 def authority_search(spark: Spark, d: str) -> DataFrame:
     """R1 with authority 0.3 and usage decay (M6, M8)."""
     p = pack_of(spark, d)
-    p.max_inbound = p.documents.agg(F.coalesce(F.max("inbound"), F.lit(0))).first()[0]
     used = usage.folded(table(spark, d, "hits").select(F.substring_index("chunk_id", ":", 1).alias("doc_id"), F.unix_timestamp("searched_at").alias("ts")))
     w = weights.Weights(authority=0.3, decay=True)
-    return retrieve.search(query_set(spark, d, p), p, TIERS[1], now=NOW, weights=w, usage=used).select("query_id", "position", "chunk_id", F.round("relevance", 6).alias("relevance"))
+    return retrieve.search(query_set(spark, d, p), p, TIERS[1], now=NOW, weights=w, usage=used, exact=True).select("query_id", "position", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
 def token_budget(spark: Spark, d: str) -> DataFrame:
@@ -132,7 +150,7 @@ def token_budget(spark: Spark, d: str) -> DataFrame:
 def injected_context(spark: Spark, d: str) -> DataFrame:
     """The rendered context of every query at tier 1."""
     p = pack_of(spark, d)
-    hits = retrieve.search(query_set(spark, d, p), p, TIERS[1], least=0.5, now=NOW)
+    hits = retrieve.search(query_set(spark, d, p), p, TIERS[1], least=0.5, now=NOW, exact=True)
     return rendered_hits(retrieve.injected(hits, SURFACES["hook"][2]))
 
 
@@ -162,7 +180,7 @@ def usage_decay(spark: Spark, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_postings, bm25_search, bm25_stemmed, knn_exact, knn_embeddings, near_duplicates, measured_hits, rrf_fusion, explain_stages, weighted_gate,
+        bm25_postings, bm25_search, bm25_unstemmed, knn_exact, knn_embeddings, near_duplicates, measured_hits, rrf_fusion, explain_stages, weighted_gate,
         *(_tier(n) for n in range(5)), authority_search, token_budget, injected_context, mmr_select, usage_fold, usage_decay,
     )
 }
@@ -181,11 +199,12 @@ def _pool(k: int) -> str:
 _ENTRY = "chr(10) || '[' || coalesce(title, '') || CASE WHEN coalesce(heading_path, '') <> '' THEN ' > ' || heading_path ELSE '' END || CASE WHEN page_no IS NOT NULL THEN ' p.' || page_no ELSE '' END || '](' || uri || ')' || chr(10) || o.text || chr(10)"
 _EMB = "SELECT CAST(a.vec_id AS VARCHAR) query_id, CAST(b.vec_id AS VARCHAR) id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) cosine, a.label la, b.label lb FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
 SQL = {
-    "bm25_postings": f"WITH {q.ONCE}, {q.POSTINGS} SELECT term, id, tf, round(impact, 6) impact FROM postings",
+    "bm25_postings": f"WITH {q.ONCE}, {q.QUERIES}, {q.POSTINGS} SELECT term, id, tf, round(impact, 6) impact FROM postings",
     "bm25_search": f"WITH {q.ONCE}, {q.QUERIES}, {q.POSTINGS}, {q.words(20)} SELECT query_id, id, round(score, 6) score, CAST(p AS INTEGER) AS position FROM kw",
+    "bm25_unstemmed": f"WITH {q.ONCE}, {q.QUERIES}, {q.POSTINGS_UNSTEMMED}, {q.words(20)} SELECT query_id, id, round(score, 6) score, CAST(p AS INTEGER) AS position FROM kw",
     "knn_exact": f"WITH {q.VEC}, {q.QUERIES}, {q.QVEC}, {q.knn(10)} SELECT query_id, id, round(relevance, 6) relevance, CAST(p AS INTEGER) AS position FROM near",
     "knn_embeddings": f"SELECT query_id, id, round({q.REL}, 6) relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS INTEGER) AS position FROM ({_EMB}) QUALIFY position <= 10",
-    "near_duplicates": f"SELECT query_id, id, round(relevance, 6) relevance FROM (SELECT *, {q.REL} relevance, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) p FROM ({_EMB} AND b.vec_id % 100 <> 0) QUALIFY p <= 5) WHERE la = lb AND relevance >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) = 1",
+    "near_duplicates": f"SELECT query_id, id, round(relevance, 6) relevance FROM (SELECT *, {q.REL} relevance, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) p FROM ({_EMB} AND a.vec_id <> b.vec_id) QUALIFY p <= 5) WHERE la = lb AND relevance >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) = 1",
     "measured_hits": f"WITH {q.VEC}, h AS (SELECT DISTINCT query_id, chunk_id id FROM hits), l AS (SELECT query_id, min(id) id FROM h GROUP BY 1), m AS (SELECT h.query_id, h.id, round(list_cosine_similarity(a.v, b.v), 12) cosine FROM h JOIN l ON l.query_id = h.query_id JOIN vec a ON a.id = l.id JOIN vec b ON b.id = h.id) SELECT query_id, id, round({q.REL}, 6) relevance FROM m",
     "rrf_fusion": f"{_pool(20)} SELECT query_id, id AS chunk_id, round(score, 6) score, round(relevance, 6) relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS position FROM fused",
     "explain_stages": f"{_pool(20)} SELECT query_id, 'vector' AS stage, count(*) hits, CAST(max(p) AS INTEGER) AS last FROM near GROUP BY 1 UNION ALL SELECT query_id, 'keyword', count(*), CAST(max(p) AS INTEGER) FROM kw GROUP BY 1",

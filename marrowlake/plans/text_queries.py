@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrowlake.functions import identity, text, weights
-from marrowlake.operators.bm25 import analysed
 from marrowlake.plans import fragments as q
-from marrowlake.plans.retrieve import build_pack
+from marrowlake.plans.retrieval_queries import pack_of
 from marrowlake.runtime import table
 
 Spark = SparkSession
@@ -36,7 +35,7 @@ def memory_identity(spark: Spark, d: str) -> DataFrame:
 
 def tokenize_counts(spark: Spark, d: str) -> DataFrame:
     """occurrences and documents of each term."""
-    t = analysed(table(spark, d, "documents"), ["doc_id"], text.fold_newlines(F.col("text")))
+    t = table(spark, d, "documents").select("doc_id", F.explode(text.without_stop_words(text.tokens(text.fold_newlines(F.col("text"))))).alias("term"))
     per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
 
@@ -60,7 +59,7 @@ def link_keys(spark: Spark, d: str) -> DataFrame:
 
 def rendered_chunks(spark: Spark, d: str) -> DataFrame:
     """chunks as prompt entries."""
-    p = build_pack(table(spark, d, "documents"), table(spark, d, "chunks"))
+    p = pack_of(spark, d)
     j = p.chunks.join(p.documents.withColumnRenamed("id", "doc"), "doc")
     e = text.rendered_entry(F.col("title"), F.col("heading_path"), F.col("page_no"), F.col("uri"), F.col("text"))
     return j.select("id", F.octet_length(e).alias("bytes"), F.sha2(e, 256).alias("entry"))
@@ -68,7 +67,7 @@ def rendered_chunks(spark: Spark, d: str) -> DataFrame:
 
 def lifecycle_ladder(spark: Spark, d: str) -> DataFrame:
     """M11, M12 by status and stage."""
-    p = build_pack(table(spark, d, "documents"), table(spark, d, "chunks"))
+    p = pack_of(spark, d)
     return p.documents.groupBy("lifecycle").agg(F.count("*").alias("documents"), F.sum("inbound").alias("inbound"))
 
 
