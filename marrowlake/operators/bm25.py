@@ -1,6 +1,6 @@
 """BM25: index build (A1, K11) and search (A2).
 
-Terms are counted inside each row, so texts never move; what moves is the counts, once, to the bucket of their term, where they are stored in order. Scores are made from
+Terms are counted inside each row, so texts never move; what moves is blocks of counts, once, to the bucket of their term, where they are stored in order. Scores are made from
 the counts of the terms that are asked for, the dictionary (term, df) and three totals.
 """
 
@@ -10,18 +10,19 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marrowlake.functions.stem import porter
 from marrowlake.functions.text import SEPARATORS, STOP_WORDS, fold_newlines
 from marrowlake.runtime import through_table
 
 K1, B = 1.2, 0.75
-#: Counts of one batch that goes back to the JVM.
-ROWS_OUT = 100_000
+#: Rows whose counts go back to the JVM at once.
+ROWS_AT_ONCE = 1_000
 _SPACES = str.maketrans(dict.fromkeys(SEPARATORS, " "))
 
 
@@ -31,6 +32,22 @@ def row_terms(text: str | None, stop: frozenset[str], stemmed: bool) -> list[str
     return [s for w in words if (s := porter(w))] if stemmed else words
 
 
+def _flat(texts: list[str | None], stop: frozenset[str], stemmed: bool) -> tuple[list[int], list[str], list[int], list[int]]:
+    """(place of the text, term, occurrences, terms of the text), one entry a text and distinct term."""
+    at: list[int] = []
+    term: list[str] = []
+    tf: list[int] = []
+    dl: list[int] = []
+    for i, t in enumerate(texts):
+        counts = Counter(row_terms(t, stop, stemmed))
+        n = len(counts)
+        at += [i] * n
+        term += counts
+        tf += counts.values()
+        dl += [sum(counts.values())] * n
+    return at, term, tf, dl
+
+
 def term_counts(rows: DataFrame, row_id: str = "id", text: Column | None = None, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> DataFrame:
     """(row_id, term, tf, dl) of rows: occurrences of each term in its row, and all terms of the row. No exchange; rows without terms give no row."""
     source = fold_newlines(F.col("text")) if text is None else text
@@ -39,36 +56,38 @@ def term_counts(rows: DataFrame, row_id: str = "id", text: Column | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at: list[int] = []
-            term: list[str] = []
-            tf: list[int] = []
-            dl: list[int] = []
-
-            def out() -> pa.RecordBatch:
-                cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())]
-                return pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-            for i, t in enumerate(b.column(1).to_pylist()):
-                counts = Counter(row_terms(t, words, stemmed))
-                if counts:
-                    n = len(counts)
-                    at += [i] * n
-                    term += counts
-                    tf += counts.values()
-                    dl += [sum(counts.values())] * n
-                    if len(at) >= ROWS_OUT:
-                        yield out()
-                        at, term, tf, dl = [], [], [], []
-            yield out()
+            for a in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(a, ROWS_AT_ONCE)
+                at, term, tf, dl = _flat(part.column(1).to_pylist(), words, stemmed)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], names=schema.names)
+
+    return rows.select(row_id, F.lower(source)).mapInArrow(run, schema)
+
+
+def term_blocks(rows: DataFrame, row_id: str = "id", text: Column | None = None, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> DataFrame:
+    """term_counts by blocks: (term, rows, tfs, dls) of the rows of one batch that hold the term. No exchange; no block holds more rows than a batch has."""
+    source = fold_newlines(F.col("text")) if text is None else text
+    words, kind = frozenset(stop), rows.schema[row_id].dataType
+    schema = StructType([StructField("term", StringType()), StructField("rows", ArrayType(kind)), *(StructField(c, ArrayType(IntegerType())) for c in ("tfs", "dls"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, term, tf, dl = _flat(b.column(1).to_pylist(), words, stemmed)
+            coded = pa.array(term, pa.string()).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))]).astype(np.int32))
+            values = (b.column(0).take(pa.array(np.array(at, np.int64)[order])), pa.array(np.array(tf, np.int32)[order]), pa.array(np.array(dl, np.int32)[order]))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(ends, v) for v in values)], names=schema.names)
 
     return rows.select(row_id, F.lower(source)).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
 class Index:
-    """counts: (term, row_id, tf, dl), terms: (term, df); both with `bucket` if buckets is set. rows and all_terms are totals over all rows."""
+    """postings: blocks (bucket, term, rows, tfs, dls) if buckets is set, else counts (term, row_id, tf, dl); terms: (term, df). rows and all_terms are totals over all rows."""
 
-    counts: DataFrame
+    stored: DataFrame
     terms: DataFrame
     rows: int
     all_terms: int
@@ -83,9 +102,16 @@ class Index:
         mean = self.all_terms / self.rows if self.rows else 1.0
         return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (mean or 1.0)))
 
+    def entries(self, terms: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+        """The columns of terms (term and others) with row_id, tf and dl of each row that holds the term. Blocks are opened behind the join."""
+        if self.buckets is None:
+            return terms.join(self.stored, "term")
+        blocks = self.stored if buckets is None else self.stored.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+        return blocks.drop("bucket").join(terms, "term").select(*terms.columns, F.inline(F.arrays_zip("rows", "tfs", "dls")).alias(self.row_id, "tf", "dl"))
+
     def postings(self) -> DataFrame:
         """(term, row_id, tf, impact) of all rows."""
-        return self.counts.join(self.terms.select("term", "df"), "term").select("term", self.row_id, F.col("tf").cast("long").alias("tf"), self.impact().alias("impact"))
+        return self.entries(self.terms.select("term", "df")).select("term", self.row_id, F.col("tf").cast("long").alias("tf"), self.impact().alias("impact"))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -93,27 +119,28 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def build(rows: DataFrame, path: str, row_id: str = "id", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True, buckets: int = 16) -> Index:
-    """The index of rows (row_id unique, text) written below path: counts by bucket and in order of term, the dictionary, totals.
+    """The index of rows (row_id unique, text) written below path: blocks of postings by bucket and in order of term, the dictionary.
 
-    One pass over the texts and one exchange of counts; the rebalancing splits a bucket that a frequent term makes large and joins small ones.
+    One pass over the texts and one exchange of blocks; the rebalancing splits a bucket that a frequent term makes large and joins small ones.
     """
     spark = rows.sparkSession
-    made = term_counts(rows, row_id, stop=stop, stemmed=stemmed).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    made.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", row_id).write.partitionBy("bucket").parquet(f"{path}/counts")
-    counts = spark.read.schema(made.schema).parquet(f"{path}/counts")
-    terms = counts.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    made = term_blocks(rows, row_id, stop=stop, stemmed=stemmed).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    made.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(made.schema).parquet(f"{path}/blocks")
+    n_in = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    terms = blocks.groupBy("bucket", "term").agg(F.sum(F.size("tfs")).alias("df"), F.sum(n_in).alias("n"))
     terms.sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
     terms = spark.read.schema(terms.schema).parquet(f"{path}/terms")
     n = rows.select(row_id).count()
     total = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Index(counts, terms, n, total, row_id, buckets, stop, stemmed)
+    return Index(blocks, terms, n, total, row_id, buckets, stop, stemmed)
 
 
 def opened(spark, path: str, rows: int, all_terms: int, row_id: str, row_type: str, buckets: int, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Index:
     """The index that build wrote below path; nothing is read but file names."""
-    counts = spark.read.schema(f"{row_id} {row_type}, term string, tf int, dl int, bucket int").parquet(f"{path}/counts")
+    blocks = spark.read.schema(f"term string, rows array<{row_type}>, tfs array<int>, dls array<int>, bucket int").parquet(f"{path}/blocks")
     terms = spark.read.schema("bucket int, term string, df long, n long").parquet(f"{path}/terms")
-    return Index(counts, terms, rows, all_terms, row_id, buckets, stop, stemmed)
+    return Index(blocks, terms, rows, all_terms, row_id, buckets, stop, stemmed)
 
 
 def indexed(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Index:
@@ -141,14 +168,10 @@ def search(queries: DataFrame, index: Index, k: int = 20, query_id: str = "query
     A term that a query repeats adds each time; ties go to the smaller row_id. Only the buckets of the terms asked for are read (their numbers, at most
     index.buckets, reach the driver), the dictionary is joined to the asked terms first, and what each (query, row) gets is summed with partial sums.
     """
-    asked = query_terms(queries, index, query_id, text, strict)
-    counts, terms = index.counts, index.terms
+    asked, wanted = query_terms(queries, index, query_id, text, strict), None
     if index.buckets:
-        asked = asked.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-        wanted = [r[0] for r in asked.select("bucket").distinct().collect()]
-        counts = counts.filter(F.col("bucket").isin(wanted) if wanted else F.lit(False)).drop("bucket")
-        asked = asked.drop("bucket")
-    known = asked.join(terms.select("term", "df"), "term")
-    hits = counts.join(known, "term").groupBy(query_id, index.row_id).agg(F.round(F.sum(index.impact() * F.col("times")), 9).alias("score"))
+        wanted = [r[0] for r in asked.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]
+    known = asked.join(index.terms.select("term", "df"), "term")
+    hits = index.entries(known, wanted).groupBy(query_id, index.row_id).agg(F.round(F.sum(index.impact() * F.col("times")), 9).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), index.row_id)
     return hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
