@@ -80,6 +80,23 @@ def head_and_tail(text: Column, head: int = 4000, tail: int = 8000) -> Column:
     return F.when(F.length(text) <= head + tail, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("\n[…]\n"), F.right(text, F.lit(tail))))
 
 
+def distill_input(text: Column, head: int = 4000, tail: int = 8000) -> Column:
+    """F11 as a whole: the user's and assistant's sections of a session without tool lines, then its two ends."""
+    sections = F.filter(F.split(text, r"(?m)^(?=## \S+ \(turn \d+\)$)"), lambda s: s.rlike(r"^## (?:user|assistant) \(turn \d+\)\n"))
+    lines = lambda s: F.array_join(F.filter(F.split(s, "\n"), lambda x: ~x.rlike(r"^\[(?:tool: |result\] )")), "\n")
+    return head_and_tail(F.array_join(F.transform(sections, lines), ""), head, tail)
+
+
+def enrichment_prompt(title: Column, text: Column, most: int = 4000) -> Column:
+    """what a model is asked in order to enrich a document: title and the beginning of its text."""
+    return F.concat(F.lit("Say in one sentence what this document is about.\n\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\n\n"), excerpt(text, most))
+
+
+def enriched(embed: Column, blurb: Column) -> Column:
+    """the text to embed behind what the model said; a missing or blank answer changes nothing."""
+    return F.when(F.trim(F.coalesce(blurb, F.lit(""))) != "", F.concat(F.trim(blurb), F.lit("\n\n"), embed)).otherwise(embed)
+
+
 def rendered_entry(title: Column, heading_path: Column, page_no: Column, uri: Column, text: Column) -> Column:
     """a hit as it is put into a prompt."""
     head = F.when(F.coalesce(heading_path, F.lit("")) != "", F.concat(F.lit(" > "), heading_path)).otherwise("")

@@ -50,6 +50,23 @@ def spread(values: DataFrame, value: str = "relevance", group: list[str] = []) -
     return values.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), *at, F.max(v).alias("max")).filter("n > 0")
 
 
+def ranked_quantiles(rows: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Per group, near_<name> and floor_<name>: the elements of rank ceil(q n) and floor((n - 1) q) + 1 of its values (A21, M17, M18). Nulls are left out.
+
+    Values are counted first; the running counts are taken in slices of each group's own distinct values, cut at approximate quantiles, so no task sorts a whole group.
+    """
+    c = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    cuts = c.groupBy(group).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
+    c = c.join(cuts, group).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    per = c.groupBy(group, "_slice").agg(F.sum("_c").alias("_s"))
+    before = per.withColumn("_before", F.sum("_s").over(Window.partitionBy(group).orderBy("_slice")) - F.col("_s")).drop("_s")  # 64 slices a group
+    c = c.join(before, [group, "_slice"]).withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(group, "_slice").orderBy(value)))
+    n = F.col("_n")
+    ranks = {f"near_{k}": F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(q)))) for k, q in at.items()} | {f"floor_{k}": F.floor((n - 1) * F.lit(q)) + 1 for k, q in at.items()}
+    holds = lambda r: F.when((F.col("_to") >= r) & (F.col("_to") - F.col("_c") < r), F.col(value))
+    return c.groupBy(group).agg(*(F.max(holds(r)).alias(k) for k, r in ranks.items()))
+
+
 def origin(pool: DataFrame, stages: DataFrame) -> DataFrame:
     """pool with the stage that produced each hit: vector before keyword before graph (J16). stages: query_id, chunk_id, stage."""
     order = F.when(F.col("stage") == "vector", 0).when(F.col("stage") == "keyword", 1).when(F.col("stage") == "graph", 2).otherwise(3)
@@ -154,18 +171,32 @@ def golden_report(cases: DataFrame, documents: DataFrame, expected: DataFrame) -
     return bad.unionByName(dup).unionByName(gone).unionByName(echo).unionByName(few)
 
 
-def comparability(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(change, before, after) between two one-row provenances (A27); no rows mean comparable. Unknown counts are a change of their own."""
+def comparability(before: DataFrame, after: DataFrame, key: str | None = None) -> DataFrame:
+    """(change, before, after) between two provenances (A27); no rows mean comparable. Unknown counts are a change of their own.
+
+    Provenances are one row each, or with key one row a value of it, which are then compared value by value and shown with it. Columns that a frame lacks are unknown.
+    """
     names = ["golden_sha256", "cases", "documents", "chunks", "memories", "no_graph"]
-    b = before.select(*(F.coalesce(F.col(n).cast("string"), F.lit("false") if n == "no_graph" else F.lit(None)).alias(f"b_{n}") for n in names))
-    a = after.select(*(F.coalesce(F.col(n).cast("string"), F.lit("false") if n == "no_graph" else F.lit(None)).alias(f"a_{n}") for n in names))
-    both = b.crossJoin(a)  # one row each
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        values = (F.coalesce(F.col(n).cast("string") if n in df.columns else F.lit(None).cast("string"), F.lit("false") if n == "no_graph" else F.lit(None)).alias(f"{mark}_{n}") for n in names)
+        return df.select(*([key] if key else []), *values)
+
+    b, a = side(before, "b"), side(after, "a")
+    both = b.join(a, key) if key else b.crossJoin(a)  # one row each
     rows = F.array(*(F.struct(F.lit(n).alias("change"), F.col(f"b_{n}").alias("before"), F.col(f"a_{n}").alias("after")) for n in names))
     unknown = F.array(F.struct(F.when(F.expr("b_documents is null or a_documents is null or b_chunks is null or a_chunks is null"), "corpus_unknown").alias("change"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
-    x = both.select(F.explode(F.concat(rows, unknown)).alias("x")).select("x.*")
+    x = both.select(*([key] if key else []), F.explode(F.concat(rows, unknown)).alias("x")).select(*([key] if key else []), "x.*")
     return x.filter("(change = 'corpus_unknown') or (change = 'golden_sha256' and not (before <=> after)) or before <> after")
 
 
+def corpus_view(documents: DataFrame | None, reason: str | None = None) -> DataFrame | str:
+    """(uri, title) of the indexed documents, each uri once, or why there are none to check a golden set against."""
+    if documents is None:
+        return f"unavailable: {reason or 'no index'}"
+    return documents.groupBy("uri").agg(F.min("title").alias("title"))
+
+
 def memory_bench(hits: DataFrame, targets: DataFrame, gate: float) -> DataFrame:
     """(query_id, kind, best, found): the largest relevance of the wanted memory and whether it passes the gate (A28). targets: query_id, kind, memory_id."""
     best = targets.join(hits.select("query_id", F.col("chunk_id").alias("memory_id"), "relevance"), ["query_id", "memory_id"], "left").groupBy("query_id", "kind").agg(F.coalesce(F.max("relevance"), F.lit(0.0)).alias("best"))

@@ -94,6 +94,12 @@ def document_nodes(documents: DataFrame, chunks: DataFrame, edges: DataFrame) ->
     return d.select("id", "uri", "title", "source_type", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("inbound", F.lit(0)).alias("inbound"), F.coalesce("lifecycle", F.lit(CURRENT)).alias("lifecycle"))
 
 
+def document_details(documents: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """A10: document_nodes with chunk_ids, the document's chunks in order; empty where it has none. A list is one document's."""
+    ids = chunks.groupBy(F.col("doc").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("id").alias("c")))), lambda x: x["c"]).alias("chunk_ids"))
+    return document_nodes(documents, chunks, edges).join(ids, "id", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+
+
 def all_edges(documents: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (src, dst, kind): links, tags, mentioned projects, source domains and the order of chunks."""
     tag = F.lower(F.trim(F.regexp_replace(F.trim("t"), "^#+", "")))

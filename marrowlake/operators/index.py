@@ -67,6 +67,95 @@ def stat_first(listing: DataFrame, stamps: DataFrame) -> DataFrame:
     return listing.select("uri", "stamp").join(known, "uri", "left").select("uri", "stamp", state.alias("state"))
 
 
+def scan_result(listing: DataFrame, stamps: DataFrame, deferred: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """S4 as a whole: (uri, state, stamp, live) of a listing against the last run's stamps.
+
+    deferred and failed (uri) are files that are put off and files that could not be loaded. State: unchanged, new, changed, deferred, skipped or failed; stamp is what to
+    remember: a deferred or failed file keeps its old one, so it is looked at again. All but files that could not even be listed (null stamp, never indexed) are live.
+    """
+    s = stat_first(listing, stamps).join(stamps.select("uri", F.col("stamp").alias("_old")), "uri", "left")
+    none = listing.select("uri").limit(0)
+    s = s.join((deferred if deferred is not None else none).select("uri", F.lit(True).alias("_d")).distinct(), "uri", "left").join((failed if failed is not None else none).select("uri", F.lit(True).alias("_f")).distinct(), "uri", "left")
+    todo = F.col("state").isin("new", "changed")
+    state = F.when(todo & F.col("_f").isNotNull(), "failed").when(todo & F.col("_d").isNotNull(), "deferred").otherwise(F.col("state"))
+    s = s.withColumn("state", state)
+    kept = F.col("state").isin("failed", "deferred", "skipped")
+    return s.select("uri", "state", F.when(kept, F.col("_old")).otherwise(F.col("stamp")).alias("stamp"), (~((F.col("state") == "skipped") & F.col("_old").isNull())).alias("live"))
+
+
+def merged_scans(parts: list[DataFrame]) -> DataFrame:
+    """The results of partial scans as one; a uri that several list takes its most telling state (failed, changed, new, deferred, unchanged, skipped)."""
+    order = {"failed": 0, "changed": 1, "new": 2, "deferred": 3, "unchanged": 4, "skipped": 5}
+    rank = F.coalesce(*(F.when(F.col("state") == k, v) for k, v in order.items()))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    best = both.groupBy("uri").agg(F.min(F.struct(rank.alias("r"), "state", "stamp")).alias("b"), F.max("live").alias("live"))
+    return best.select("uri", "b.state", "b.stamp", "live")
+
+
+def may_reindex(last: Column, now: Column | int, least_seconds: int = 900) -> Column:
+    """Whether the last index is old enough for another run; no last index always is."""
+    return F.coalesce(F.lit(now) - last >= least_seconds if isinstance(now, int) else now - last >= least_seconds, F.lit(True))
+
+
+def ordered_response(response: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """(group, value in order of index) of an embedder's responses; raises in the job where the indices are not exactly 0 .. n - 1. A response is one request's batch."""
+    got = response.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("r"))
+    fits = F.transform("r", lambda x: x["i"].cast("int")) == F.sequence(F.lit(0), F.size("r") - 1)
+    checked = F.when(fits, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("response indices are not 0..n-1 for "), F.col(group).cast("string"))))
+    return got.select(group, F.transform(checked, lambda x: x["v"]).alias("values"))
+
+
+def response_faults(response: DataFrame, group: str, index: str) -> DataFrame:
+    """P9 without raising: the groups whose indices are not exactly 0 .. n - 1. Counts only, so a group may be of any size."""
+    i = F.col(index)
+    agg = response.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(i).alias("d"), F.min(i).alias("lo"), F.max(i).alias("hi"))
+    return agg.filter("n <> d or lo <> 0 or hi <> n - 1").select(group)
+
+
+def backfilled(chunks: DataFrame, embed, budget: int, dims: int, batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(id, embedding) of the first `budget` chunks, by id, that have no usable vector, and (left), how many still wait after them.
+
+    embed maps a list of at most `batch` texts to as many vectors of dims numbers; another count or width fails the batch (M3). Chunks: id, embed_text, embedding; an
+    id with a vector in any of its rows does not wait. Texts are embedded where they lie.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    wait = chunks.groupBy("id").agg(F.max(F.col("embedding").isNotNull()).alias("_has"), F.min("embed_text").alias("embed_text")).filter("not _has and embed_text is not null").select("id", "embed_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, batch):
+                part = b.slice(a, batch)
+                texts = part.column(1).to_pylist()
+                vectors = embed(texts)
+                if len(vectors) != len(texts) or any(len(v) != dims for v in vectors):
+                    raise ValueError(f"{len(texts)} texts gave {len(vectors)} vectors, or not all of {dims} numbers")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], names=["id", "embedding"])
+
+    made = wait.orderBy("id").limit(budget).mapInArrow(run, "id string, embedding array<float>")
+    return made, wait.agg(F.greatest(F.count("*") - budget, F.lit(0)).alias("left"))
+
+
+def hash_embedding(dims: int):
+    """A deterministic embedder for tests: numbers from SHA-256 of text and place, of length one."""
+    import hashlib
+    import math
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            raw = [int.from_bytes(hashlib.sha256(f"{i}:{t}".encode()).digest()[:4], "big") / 2**31 - 1 for i in range(dims)]
+            n = math.sqrt(sum(x * x for x in raw)) or 1.0
+            out.append([x / n for x in raw])
+        return out
+
+    return embed
+
+
 def young_enough(modified: Column, now: int, max_days: int) -> Column:
     """Unreadable times are kept."""
     return modified.isNull() | (now - modified <= max_days * 86400)

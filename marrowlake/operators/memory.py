@@ -39,6 +39,38 @@ def evicted(memories: DataFrame, most: int, growth: int = 0) -> DataFrame:
     return eps.crossJoin(total).filter(F.col("r") <= F.col("n") + growth - most).select("id")
 
 
+def edited(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, outcomes) after edits (id, text), one an id: the id follows the text.
+
+    An edit of an unknown id is not_found; one whose new id another memory holds, or another edit takes first (by old id), is a duplicate and changes nothing; the same text
+    again is unchanged. Outcomes: id, new_id, outcome.
+    """
+    c = changes.groupBy("id").agg(F.max("text").alias("_text"))
+    j = c.join(memories, "id", "left").withColumn("new_id", F.when(F.col("kind").isNotNull(), memory_id(F.col("kind"), F.col("_text"))))
+    held = memories.select(F.col("id").alias("new_id"), F.lit(True).alias("_held"))
+    first = Window.partitionBy("new_id").orderBy("id")
+    j = j.join(held, "new_id", "left").withColumn("_n", F.row_number().over(first))
+    outcome = F.when(F.col("kind").isNull(), "not_found").when(F.col("new_id") == F.col("id"), "unchanged").when(F.col("_held") | (F.col("_n") > 1), "duplicate").otherwise("edited")
+    done = j.select("id", "new_id", outcome.alias("outcome"), "_text")
+    ok = done.filter("outcome = 'edited'").select("id", "new_id", "_text")
+    out = memories.join(ok, "id", "left").withColumn("text", F.coalesce("_text", "text")).withColumn("id", F.coalesce("new_id", "id")).drop("_text", "new_id")
+    return out.select(*memories.columns), done.drop("_text")
+
+
+def forgotten(memories: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, outcomes) after memories are forgotten by a prefix of their id; an ambiguous or unknown prefix forgets nothing. Outcomes: prefix, status, id."""
+    found = resolved_prefix(memories, prefixes)
+    gone = found.filter("status = 'found'").select("id").distinct()
+    return memories.join(gone, "id", "left_anti"), found
+
+
+def rebuilt(memories: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The memories of a store made anew; raises in the job if one that is indexed (id) would be lost."""
+    lost = indexed.select("id").join(memories.select("id"), "id", "left_anti").agg(F.count("*").alias("_lost"))
+    checked = memories.crossJoin(lost)  # one row
+    return checked.filter(F.when(F.col("_lost") == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a rebuild would lose "), F.col("_lost").cast("string"), F.lit(" memories"))))).drop("_lost")
+
+
 def listed(memories: DataFrame, kind: str | None = None, project: str | None = None, contains: str | None = None) -> DataFrame:
     """Newest first, then by id; contains looks into text, title and id without regard to case."""
     m = memories
@@ -53,8 +85,12 @@ def listed(memories: DataFrame, kind: str | None = None, project: str | None = N
 
 
 def resolved_prefix(memories: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(prefix, status, id): found, not_found or ambiguous."""
-    m = prefixes.join(memories.select("id"), F.col("id").startswith(F.col("prefix")), "left").groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    """(prefix, status, id): found, not_found or ambiguous (R12). A join by equality: each id is cut to the lengths that prefixes have, at most those of an id."""
+    lengths = prefixes.select(F.length("prefix").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # one row, at most as many as an id has characters and one
+    cut = memories.select("id").crossJoin(lengths).select("id", F.explode(F.filter("lengths", lambda n: n <= F.length("id"))).alias("n"))
+    cut = cut.select("id", F.substring(F.col("id"), F.lit(1), F.col("n")).alias("prefix"))
+    known = cut.groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    m = prefixes.select("prefix").distinct().join(known, "prefix", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return m.select("prefix", F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found").alias("status"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
 
 

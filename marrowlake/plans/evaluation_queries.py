@@ -115,23 +115,17 @@ def golden_report(spark: Spark, d: str) -> DataFrame:
 
 
 def latency_summary(spark: Spark, d: str) -> DataFrame:
-    """p50 and p95 of event values by type, by nearest and by floor rank. Floor ranks come from counts, not from collected lists."""
-    e = table(spark, d, "events").filter("value is not null")
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    at = e.withColumn("i", F.row_number().over(w) - 1).join(n, "event_type")
-    floor = at.groupBy("event_type").agg(*(F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * F.lit(p)), F.col("value"))).alias(f"floor_{name}") for p, name in ((0.5, "p50"), (0.95, "p95"))))
-    near = e.groupBy("event_type").agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"near_{name}") for p, name in ((0.5, "p50"), (0.95, "p95"))))
-    return floor.join(near, "event_type")
+    """p50 and p95 of event values by type, by nearest and by floor rank."""
+    return evaluation.ranked_quantiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 def run_comparability(spark: Spark, d: str) -> DataFrame:
     """Each indexing run against the one before, by listed uris and distinct hashes."""
     s = table(spark, d, "scans").groupBy("run_id").agg(F.countDistinct("uri").alias("documents"), F.countDistinct("content_hash").alias("chunks"))
     w = Window.orderBy("run_id")  # one row a run
-    p = s.select("run_id", "documents", "chunks", F.lag("documents").over(w).alias("d0"), F.lag("chunks").over(w).alias("c0")).filter("d0 is not null")
-    rows = F.array(F.struct(F.lit("documents").alias("change"), F.col("d0").alias("before"), F.col("documents").alias("after")), F.struct(F.lit("chunks").alias("change"), F.col("c0").alias("before"), F.col("chunks").alias("after")))
-    return p.select("run_id", F.explode(rows).alias("x")).select("run_id", "x.change", "x.before", "x.after").filter("before <> after")
+    p = cut(s.withColumn("previous", F.lag("run_id").over(w)))
+    before = p.select(F.col("run_id").alias("previous"), "documents", "chunks").join(p.filter("previous is not null").select("previous", F.col("run_id").alias("of")), "previous")
+    return evaluation.comparability(before.select(F.col("of").alias("run_id"), "documents", "chunks"), p.drop("previous"), "run_id")
 
 
 def _memories(spark: Spark, d: str) -> DataFrame:
@@ -239,7 +233,7 @@ SQL = {
     "faulty_cases": "SELECT doc_id case_id, 'blank' fault FROM documents WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT doc_id, 'contradictory' FROM documents WHERE source_type = 'memory' AND len(links) > 0 UNION ALL SELECT doc_id, 'unnamed' FROM documents WHERE source_type <> 'memory' AND coalesce(len(links), 0) = 0",
     "latency_summary": """SELECT event_type, quantile_disc(value, 0.5) near_p50, quantile_disc(value, 0.95) near_p95, list(value ORDER BY value)[CAST(floor((count(*) - 1) * 0.5) AS BIGINT) + 1] floor_p50, list(value ORDER BY value)[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] floor_p95 FROM events WHERE value IS NOT NULL GROUP BY 1""",
     "run_comparability": """WITH s AS (SELECT run_id, count(DISTINCT uri) a, count(DISTINCT content_hash) b FROM scans GROUP BY 1), p AS (SELECT *, lag(a) OVER (ORDER BY run_id) a0, lag(b) OVER (ORDER BY run_id) b0 FROM s)
- SELECT run_id, 'documents' AS change, a0 AS before, a AS after FROM p WHERE a0 <> a UNION ALL SELECT run_id, 'chunks', b0, b FROM p WHERE b0 <> b""",
+ SELECT run_id, 'documents' AS change, a0::VARCHAR AS before, a::VARCHAR AS after FROM p WHERE a0 <> a UNION ALL SELECT run_id, 'chunks', b0::VARCHAR, b::VARCHAR FROM p WHERE b0 <> b""",
     "memory_eviction": f"WITH {_MEM} SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created, id) r FROM m WHERE kind = 'episode') WHERE r <= (SELECT count(*) FROM m) - 20",
     "memory_graph": f"WITH {_MEM} SELECT id AS a, 'memory' AS b, 'node' AS kind FROM m UNION ALL SELECT DISTINCT project, 'project', 'node' FROM m WHERE project IS NOT NULL UNION ALL SELECT id, project, 'scoped-to' FROM m WHERE project IS NOT NULL",
     "memory_list": f"WITH {_MEM} SELECT id, kind, created FROM m WHERE contains(lower(text), 'cache') OR contains(lower(title), 'cache') OR contains(lower(id), 'cache')",

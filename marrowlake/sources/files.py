@@ -71,50 +71,83 @@ def markdown_documents(files: DataFrame) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    """Main content of a page as Markdown: headings, paragraphs, lists and code; navigation, scripts and forms are skipped."""
+    """The blocks of a page as Markdown with what speaks for or against each: its words, those inside links, commas, and the elements around it."""
 
-    SKIP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "template", "button"}
+    SKIP = frozenset(("script", "style", "noscript", "svg", "template", "button", "form"))
+    EDGE = frozenset(("nav", "header", "footer", "aside", "menu"))
+    BLOCK = frozenset(("p", "div", "section", "article", "main", "table", "ul", "ol", "blockquote", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "body", "td", "th", "dl", "dt", "dd", "figure"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.title, self.skip, self.in_title, self.pre = "", 0, False, False
+        self.blocks: list[dict] = []
+        self.title, self.skip, self.edge, self.link, self.main, self.in_title, self.pre = "", 0, 0, 0, 0, False, False
+        self._open("")
+
+    def _open(self, mark: str) -> None:
+        self.blocks.append({"mark": mark, "text": [], "linked": 0, "edge": self.edge > 0, "main": self.main > 0, "pre": self.pre})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
         elif tag == "title":
             self.in_title = True
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append(f"\n\n{'#' * int(tag[1])} ")
-        elif tag in ("p", "div", "section", "article", "table", "ul", "ol", "blockquote"):
-            self.out.append("\n\n")
-        elif tag in ("li", "tr", "br"):
-            self.out.append("\n- " if tag == "li" else "\n")
-        elif tag == "pre":
+        elif tag == "a":
+            self.link += 1
+        elif tag == "br":
+            self.blocks[-1]["text"].append("\n")
+        self.edge += tag in self.EDGE
+        self.main += tag in ("article", "main")
+        if tag == "pre":
             self.pre = True
-            self.out.append("\n\n```\n")
+        if tag in self.BLOCK:
+            self._open("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else "")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag == "title":
             self.in_title = False
-        elif tag == "pre":
+        elif tag == "a":
+            self.link = max(0, self.link - 1)
+        self.edge = max(0, self.edge - (tag in self.EDGE))
+        self.main = max(0, self.main - (tag in ("article", "main")))
+        if tag == "pre":
             self.pre = False
-            self.out.append("\n```\n\n")
-        elif re.fullmatch("h[1-6]|p", tag):
-            self.out.append("\n\n")
+        if tag in self.BLOCK:
+            self._open("")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
         elif not self.skip:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
-
-
-def html_documents(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, title, text, domain) of pages of at most 8 MiB; a page without title is called by its url."""
+            b = self.blocks[-1]
+            b["text"].append(data if self.pre else re.sub(r"[^\S\n]+|\n", " ", data))
+            b["linked"] += len(data.split()) if self.link else 0
+
+    def markdown(self) -> str:
+        """The blocks that are content: those inside article or main if the page has any with words; of the rest, not those in navigation and not those that are mostly links."""
+        rows = [(b, text) for b in self.blocks if (text := "".join(b["text"]).strip("\n" if b["pre"] else None))]
+        inside = [r for r in rows if r[0]["main"] and not r[0]["edge"]]
+        if sum(len(t.split()) for _, t in inside) >= 5:
+            rows = inside
+        out = []
+        for b, text in rows:
+            n = len(text.split())
+            # links weigh against a block, full sentences and headings for it
+            if not n or b["edge"] or (b["linked"] > 0.5 * n and not b["mark"].startswith("#") and text.count(",") + text.count(". ") < 2 and n < 40):
+                continue
+            out.append(f"```\n{text}\n```" if b["pre"] else b["mark"] + text)
+        joined = []
+        for i, t in enumerate(out):
+            joined.append(("\n" if i and t.startswith("- ") and out[i - 1].startswith("- ") else "\n\n" if i else "") + t)
+        return "".join(joined)
+
+
+def html_documents(pages: DataFrame, url: str = "url", html: str = "html", most_bytes: int = MOST_HTML) -> DataFrame:
+    """(url, title, text, domain, refused) of pages; a page without title is called by its url.
+
+    A page of more than most_bytes is listed with the reason it was refused and without text; null pages have an empty text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,16 +157,27 @@ def html_documents(pages: DataFrame, url: str = "url", html: str = "html") -> Da
                 p.feed(h or "")
                 p.close()
                 titles.append(re.sub(r"\s+", " ", p.title).strip() or None)
-                texts.append(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n|\n[ \t]+(?=\S)", "\n", "".join(p.out))).strip())
+                texts.append(p.markdown())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=["url", "title", "text"])
 
-    small = pages.filter(F.octet_length(html) <= MOST_HTML).select(url, html)
-    d = small.mapInArrow(run, "url string, title string, text string")
-    return d.select("url", F.coalesce("title", "url").alias("title"), "text", F.try_parse_url("url", F.lit("HOST")).alias("domain"))
+    fits = F.coalesce(F.octet_length(html), F.lit(0)) <= most_bytes
+    read = pages.filter(fits).select(url, html).mapInArrow(run, "url string, title string, text string").withColumn("refused", F.lit(None).cast("string"))
+    large = pages.filter(~fits).select(F.col(url).alias("url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.concat(F.lit(f"more than {most_bytes} bytes: "), F.octet_length(html).cast("string")).alias("refused"))
+    return read.unionByName(large).select("url", F.coalesce("title", "url").alias("title"), "text", F.try_parse_url("url", F.lit("HOST")).alias("domain"), "refused")
+
+
+def load_one(spark: SparkSession, target: str, html: str | None = None) -> DataFrame:
+    """The document of one target: a page (its html given, as nothing is fetched here) or one Markdown file."""
+    if html is not None:
+        d = html_documents(spark.createDataFrame([(target, html)], "url string, html string"))
+        return d.select(doc_id(F.col("url")).alias("id"), F.col("url").alias("uri"), "title", F.lit("web").alias("source_type"), "text", content_hash(F.col("text")).alias("content_hash"), F.to_json(F.struct("domain")).alias("meta"))
+    path = re.sub(r"^file:/+", "/", target)
+    f = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "content")
+    return markdown_documents(f)
 
 
 def read_golden(spark: SparkSession, text: str, strict: bool = True) -> DataFrame:
-    """Cases of a golden set in TOML: case_id, query, acceptable, absent, negative. A strict reading refuses faulty cases."""
+    """Cases of a golden set in TOML, given as text: case_id, query, acceptable, absent, negative. A strict reading refuses faulty cases."""
     rows = []
     for i, c in enumerate(tomllib.loads(text).get("case", []), 1):
         ok = [*([c["expect"]] if c.get("expect") else []), *c.get("expect_any", [])]
@@ -144,6 +188,22 @@ def read_golden(spark: SparkSession, text: str, strict: bool = True) -> DataFram
     return spark.createDataFrame(rows, "case_id int, query string, acceptable array<string>, absent array<string>, negative boolean")
 
 
+def read_memory_cases(spark: SparkSession, text: str) -> DataFrame:
+    """The memory cases of a golden set: case_id, kind, text, queries, negatives. A case without kind, text or queries is refused."""
+    rows = []
+    for i, c in enumerate(tomllib.loads(text).get("memory_case", []), 1):
+        kind, body, asked = str(c.get("kind", "")).strip(), str(c.get("text", "")).strip(), list(c.get("queries", []))
+        if not (kind and body and asked):
+            raise ValueError(f"memory case {i} needs a kind, a text and queries")
+        rows.append((i, kind, body, asked, list(c.get("negatives", []))))
+    return spark.createDataFrame(rows, "case_id int, kind string, text string, queries array<string>, negatives array<string>")
+
+
+def golden_text(spark: SparkSession, path: str) -> str:
+    """The text of a golden set's file; a golden set is a file that people write."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def injections(lines: DataFrame, value: str = "value") -> DataFrame:
     """(path, line, n, title, uri, bytes): entries "[title](uri)" of every injected context in a session log.
 
