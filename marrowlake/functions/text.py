@@ -82,7 +82,7 @@ def head_and_tail(text: Column, head: int = 4000, tail: int = 8000) -> Column:
 
 def distill_input(text: Column, head: int = 4000, tail: int = 8000) -> Column:
     """F11 as a whole: the user's and assistant's sections of a session without tool lines, then its two ends."""
-    sections = F.filter(F.split(text, r"(?m)^(?=## \S+ \(turn \d+\)$)"), lambda s: s.rlike(r"^## (?:user|assistant) \(turn \d+\)\n"))
+    sections = F.filter(F.split(text, r"(?m)^(?=## .* \(turn \d+\)$)"), lambda s: s.rlike(r"^## (?:user|assistant) \(turn \d+\)\n"))
     lines = lambda s: F.array_join(F.filter(F.split(s, "\n"), lambda x: ~x.rlike(r"^\[(?:tool: |result\] )")), "\n")
     return head_and_tail(F.array_join(F.transform(sections, lines), ""), head, tail)
 

@@ -398,4 +398,90 @@ QUERIES = {
         session_names, distill_windows, enrichment_prompts, hit_similarity, budget_bodies, search_report, rerank_overlap, stream_usage, stream_once, young_events,
     )
 }
-SQL: dict[str, str] = {}
+_MEM = "m AS (SELECT string_split(regexp_replace(uri, '^memory://', ''), '/')[1] kind, text, CAST(floor(epoch(indexed_at)) AS BIGINT) created, doc_id FROM documents WHERE source_type = 'memory' AND text IS NOT NULL), k AS (SELECT *, substr(sha256(kind || '|' || trim(text, ' ')), 1, 12) id FROM m), known AS (SELECT id, min(kind) kind, min(text) AS text FROM k GROUP BY 1)"
+_HITS = "h AS (SELECT query_id, chunk_id, max(relevance)::DOUBLE r, max(doc_id) doc_id FROM hits GROUP BY 1, 2)"
+_LEFT = "SELECT once.id, v FROM once LEFT JOIN vec ON vec.id = once.id JOIN documents d ON d.id = once.doc WHERE d.doc_id % 7 <> 0"
+
+
+def _budget(tokens: int, least: float) -> str:
+    """Entries of hits in order of relevance, and which of them the budget takes."""
+    room = tokens * 4
+    return f"""{q.ONCE}, {_HITS}, e AS (SELECT query_id, chunk_id, r, o.text, strlen(o.text) n, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id) p FROM h JOIN once o ON o.id = chunk_id WHERE r >= {least} AND o.text IS NOT NULL),
+ s AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY p) after FROM e), t AS (SELECT *, {room} - (after - n) room, sum(CASE WHEN after > {room} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY p) overs FROM s),
+ taken AS (SELECT *, CASE WHEN overs > 0 THEN substr(text, 1, CAST(room AS BIGINT)) ELSE text END shown FROM t WHERE overs = 0 OR (overs = 1 AND after > {room} AND room > 200))"""
+
+
+_TIER0 = f"""WITH {q.ONCE}, {q.VEC}, {q.QUERIES}, {q.QVEC}, {q.POSTINGS}, {q.knn(5)}, {q.words(5)},
+ lists AS (SELECT query_id, id, p, relevance FROM near UNION ALL SELECT query_id, id, p, NULL FROM kw), fused AS (SELECT query_id, id, coalesce(max(relevance), 0.0) relevance FROM lists GROUP BY 1, 2),
+ pool AS (SELECT f.query_id, f.id, CASE WHEN f.relevance > 0 THEN f.relevance ELSE coalesce({q.REL.replace('cosine', 'c.cosine')}, 0.0) END relevance FROM fused f LEFT JOIN cosq c ON c.query_id = f.query_id AND c.id = f.id), {q.EDGES}, {q.LIFECYCLES},
+ weighted AS (SELECT query_id, p.id, round(relevance * (CASE WHEN source_type = 'transcript' THEN 0.45 ELSE 1.0 END * CASE WHEN lifecycle = 3 THEN 0.88 ELSE 1.0 END), 12) relevance, title, o.heading_path, o.page_no, uri, o.text FROM pool p JOIN once o ON o.id = p.id JOIN documents d ON d.id = o.doc JOIN life ON life.id = o.doc)"""
+_ENTRY = "chr(10) || '[' || coalesce(title, '') || CASE WHEN coalesce(heading_path, '') <> '' THEN ' > ' || heading_path ELSE '' END || CASE WHEN page_no IS NOT NULL THEN ' p.' || page_no ELSE '' END || '](' || uri || ')' || chr(10) || text || chr(10)"
+_COUNT = "(SELECT count(*) FROM documents)"
+_LISTED = "SELECT uri, s.stamp AS stamp FROM (SELECT uri, arg_max({{'stamp': stamp, 'h': content_hash}}, (seen_at, coalesce(stamp, ''), coalesce(content_hash, ''))) s FROM scans WHERE run_id = {n} AND uri IS NOT NULL GROUP BY 1)"
+_SECTION = "'## ' || r || ' (turn ' || n || ')' || chr(10) || chr(10)"
+SQL = {
+    "knn_cells": f"WITH {q.VEC}, {q.QUERIES}, {q.QVEC}, {q.knn(10)} SELECT query_id, id, round(relevance, 6) relevance, CAST(p AS INTEGER) AS position FROM near",
+    "ann_recall": "SELECT * FROM (VALUES ('instant', 32, true), ('fast', 50, true), ('balanced', 64, true), ('thorough', 100, true), ('exhaustive', 200, true)) t(tier, efs, enough)",
+    "publish_steps": f"""WITH {q.VEC}, n AS (SELECT (SELECT count(DISTINCT id) FROM chunks) r, (SELECT count(*) FROM vec) v, {_COUNT} d)
+ SELECT step, CAST(version AS INTEGER) AS version, r AS rows, CASE WHEN has THEN v ELSE 0 END rows_with_vectors, d AS stamps FROM n, (VALUES ('texts first', 1, false), ('vectors', 2, true), ('unchanged', 2, true), ('changed', 3, true)) t(step, version, has)""",
+    "pack_meta": f"SELECT 'documents' AS key, {_COUNT}::VARCHAR AS value",
+    "pack_columns": f"WITH {q.EDGES}, {q.LIFECYCLES}, u AS (SELECT string_split(chunk_id, ':')[1] id, CAST(max(floor(epoch(searched_at))) AS BIGINT) last_used FROM hits GROUP BY 1) SELECT id, coalesce(inbound, 0) inbound, CAST(lifecycle AS INTEGER) lifecycle, last_used FROM life LEFT JOIN inb USING (id) LEFT JOIN u USING (id)",
+    "compacted_pack": f"""WITH {q.ONCE}, {q.VEC}, left_ AS ({_LEFT}), {q.QUERIES}, {q.POSTINGS} SELECT 'chunks' AS name, count(*) AS rows FROM left_ UNION ALL SELECT 'vectors', count(v) FROM left_
+ UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'postings', count(*) FROM tf JOIN left_ USING (id)""",
+    "vector_backfill": "WITH w AS (SELECT id FROM chunks GROUP BY id HAVING count(embedding) = 0 AND min(embed_text) IS NOT NULL), f AS (SELECT id FROM w ORDER BY id LIMIT 100) SELECT (SELECT count(*) FROM f) made, (SELECT min(id) FROM f) AS first, (SELECT max(id) FROM f) AS last, 64 AS dims, greatest(count(*) - 100, 0) AS left FROM w",
+    "embeddings_set": "WITH c AS (SELECT id, max(embedding) e FROM chunks GROUP BY id) SELECT CASE WHEN d.doc_id IS NOT NULL THEN true ELSE e[1] = 1 END AS set, count(*) chunks FROM c LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON d.id || ':0' = c.id GROUP BY 1",
+    "backup_restore": f"SELECT generation, uploaded, {_COUNT} AS rows, true AS same FROM (VALUES (2, 0), (3, 1)) t(generation, uploaded)",
+    "scan_states": f"""WITH a AS ({_LISTED.format(n=1)}), b AS ({_LISTED.format(n=3)}), s AS (SELECT b.uri, b.stamp, a.stamp old, substr(sha256(b.uri), 1, 1) c, CASE WHEN b.stamp IS NULL THEN 'skipped' WHEN a.stamp IS NULL THEN 'new' WHEN a.stamp = b.stamp THEN 'unchanged' ELSE 'changed' END st FROM b LEFT JOIN (SELECT * FROM a WHERE stamp IS NOT NULL) a USING (uri)),
+ t AS (SELECT *, CASE WHEN st IN ('new', 'changed') AND c = 'f' THEN 'failed' WHEN st IN ('new', 'changed') AND c = '0' THEN 'deferred' ELSE st END state FROM s)
+ SELECT state, NOT (state = 'skipped' AND old IS NULL) live, count(*) files, count(CASE WHEN state IN ('failed', 'deferred', 'skipped') THEN old ELSE stamp END) with_stamp FROM t GROUP BY 1, 2""",
+    "document_details": f"""WITH {q.LINKED_EDGES}, {q.LIFECYCLES}, {q.ONCE}, n AS (SELECT doc AS id, count(*) n, string_agg(id, ',' ORDER BY ord, id) ids FROM once GROUP BY 1)
+ SELECT life.id, coalesce(n, 0) chunks, coalesce(inbound, 0) inbound, CAST(lifecycle AS INTEGER) lifecycle, sha256(coalesce(ids, '')) chunk_ids FROM life LEFT JOIN inb ON inb.id = life.id LEFT JOIN n ON n.id = life.id""",
+    "vault_documents": "SELECT doc_id, 't' || doc_id title, 'a,b' tags, 'accepted' status, sha256(text) text_hash FROM documents WHERE source_type = 'markdown' AND text <> ''",
+    "html_pages": r"""WITH t AS (SELECT doc_id, regexp_replace(title, '[<>&]', '', 'g') title, trim(regexp_replace(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[<>&\s\x00]+', ' ', 'g'), '^[#>| *-]+', '')), '\s+', ' ', 'g')) x FROM documents WHERE source_type = 'web' AND text IS NOT NULL AND title IS NOT NULL),
+ n AS (SELECT *, strlen('<html><head><title></title></head><body><nav><a href=''/''>Home</a></nav><ul><li><a href=''/a''>More links</a></li><li><a href=''/b''>Other links</a></li></ul><p></p><footer>Imprint</footer></body></html>') + strlen(title) + strlen(x) bytes FROM t)
+ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE sha256(x) END text_hash, doc_id % 10 = 0 refused FROM n WHERE doc_id % 10 <> 0 OR bytes * 40 > 6000""",
+    "codex_sessions": rf"""WITH m AS (SELECT session, row_id, message.role r, regexp_replace(coalesce(message.content, ''), '[\[\]{{}}<>#]', '', 'g') c FROM finished WHERE session IS NOT NULL AND message.role IN ('user', 'assistant')),
+ e AS (SELECT session, row_id * 2 AS i, r, CASE WHEN trim(c, ' ') <> '' THEN c END x, true AS msg FROM m UNION ALL SELECT session, row_id * 2 + 1, 'assistant', '[tool: shell ls]', false FROM m),
+ f AS (SELECT *, CASE WHEN msg OR coalesce(lag(r) OVER (PARTITION BY session ORDER BY i) <> 'assistant', true) THEN 1 ELSE 0 END AS opens FROM e WHERE x IS NOT NULL),
+ g AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY i) n FROM f), s AS (SELECT session, n, arg_min(r, i) r, string_agg(x, chr(10) ORDER BY i) x FROM g GROUP BY 1, 2)
+ SELECT session, count(*) turns, sha256(string_agg({_SECTION} || x || chr(10) || chr(10), '' ORDER BY n)) text_hash FROM s GROUP BY 1""",
+    "injection_audit": "WITH h AS (SELECT DISTINCT query_id, uri FROM hits) SELECT string_split(uri, '://')[1] AS scheme, count(*) n FROM h WHERE contains(uri, '://') GROUP BY 1 UNION ALL SELECT 'without file', count(*) FROM (SELECT query_id FROM h GROUP BY 1 HAVING NOT bool_or(starts_with(uri, 'file://')))",
+    "golden_cases": "SELECT 'case' AS kind, 'about ' || source AS query, CAST(CASE WHEN (n - 1) % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) acceptable, (n - 1) % 3 = 0 AS negative FROM (SELECT source, row_number() OVER (ORDER BY source) n FROM mix_targets) UNION ALL SELECT 'memory', 'cold cache', 0, false",
+    "usage_log": "SELECT CAST(user_id AS VARCHAR) doc_id, CAST(min(floor(epoch(ts))) AS BIGINT) first_seen, CAST(max(floor(epoch(ts))) AS BIGINT) last_used FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
+    "memory_round_trip": f"WITH {_MEM} SELECT id, min(kind) kind, min(sha256(text)) text_hash FROM k WHERE id NOT IN (SELECT id FROM k WHERE doc_id % 2 = 0) GROUP BY 1",
+    "memory_edits": f"""WITH {_MEM}, c AS (SELECT id, kind, CASE substr(id, 1, 1) WHEN '0' THEN text || chr(10) || 'more' WHEN '1' THEN text ELSE 'one and the same' END t FROM known WHERE substr(id, 1, 1) IN ('0', '1', '2')),
+ n AS (SELECT *, substr(sha256(kind || '|' || trim(t, ' ')), 1, 12) new FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY id) i FROM n),
+ r AS (SELECT CASE WHEN new = id THEN 'unchanged' WHEN new IN (SELECT id FROM known) OR i > 1 THEN 'duplicate' ELSE 'edited' END outcome FROM o UNION ALL SELECT 'not_found') SELECT outcome, count(*) edits FROM r GROUP BY 1""",
+    "memory_forgets": f"""WITH {_MEM}, p AS (SELECT substr(id, 1, 6) x FROM known UNION SELECT substr(id, 1, 1) FROM known UNION SELECT 'zzz'), r AS (SELECT x, count(id) n, min(id) id FROM p LEFT JOIN known ON starts_with(id, x) GROUP BY 1)
+ SELECT CASE WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END status, count(*) n FROM r GROUP BY 1 UNION ALL SELECT 'left', count(*) FROM known WHERE id NOT IN (SELECT id FROM r WHERE n = 1)""",
+    "memory_targets": "WITH t AS (SELECT query_id, min(chunk_id) c, arg_min(source_type, (chunk_id, source_type)) kind FROM hits GROUP BY 1), b AS (SELECT t.query_id, kind, coalesce(max(relevance::DOUBLE), 0.0) best FROM t JOIN hits h ON h.query_id = t.query_id AND h.chunk_id = t.c GROUP BY 1, 2) SELECT kind, count(*) queries, count(*) FILTER (WHERE best >= 0.6) found, round(avg(best), 6) mean_best FROM b GROUP BY 1",
+    "interval_guard": "WITH t AS (SELECT run_id, floor(epoch(started_at)) a, lag(floor(epoch(finished_at))) OVER (ORDER BY run_id) b FROM index_runs) SELECT run_id, b IS NULL OR a - b >= 900 due, b IS NULL OR a - b >= 10000000 due_later FROM t",
+    "gate_partition": f"WITH {_budget(1500, 0.5)} SELECT h.query_id, CASE WHEN h.r < 0.5 THEN 'below' WHEN taken.chunk_id IS NOT NULL THEN 'admitted' ELSE 'over_budget' END AS label, count(*) hits FROM h LEFT JOIN taken ON taken.query_id = h.query_id AND taken.chunk_id = h.chunk_id GROUP BY 1, 2",
+    "response_order": "WITH c AS (SELECT DISTINCT id, doc_id, ord FROM chunks WHERE doc_id IS NOT NULL) SELECT doc_id, CAST(CASE WHEN ok THEN n ELSE -1 END AS INTEGER) n, CASE WHEN ok THEN l END AS last FROM (SELECT doc_id, count(*) n, list_sort(list(ord)) = range(0, count(*)) ok, arg_max(id, ord) l FROM c GROUP BY 1)",
+    "key_suggestions": "WITH n AS (SELECT source, left(source, length(source) - 1) typed FROM mix_targets), x AS (SELECT n.typed, m.source, damerau_levenshtein(n.typed, m.source) d FROM n, mix_targets m) SELECT typed, arg_min(source, (d, source)) FILTER (WHERE d <= greatest(length(typed) // 3, 1)) suggested FROM x GROUP BY 1",
+    "tier_table": "SELECT * FROM (VALUES (0, 'instant', 5, 32, 0, NULL), (1, 'fast', 20, 50, 0, 'hook'), (2, 'balanced', 30, 64, 1, NULL), (3, 'thorough', 40, 100, 1, 'mcp'), (4, 'exhaustive', 80, 200, 2, NULL)) t(tier, name, candidates, efs, hops, surface)",
+    "stage_bytes": "SELECT CAST(CASE WHEN doc_id % 6 > 3 THEN 0 ELSE doc_id % 6 END AS INTEGER) stage, count(*) documents FROM documents GROUP BY 1",
+    "stripped_spans": "SELECT doc_id, sha256(text) text_hash FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%<hook%'",
+    "session_names": "SELECT DISTINCT session, left(rpad(session, 36, '0'), 36) hidden, session AS plain FROM finished WHERE session IS NOT NULL",
+    "distill_windows": rf"""WITH m AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id) n, coalesce(message.role, 'unknown') r, 'say ' || row_id x FROM finished WHERE session IS NOT NULL),
+ t AS (SELECT session, coalesce(string_agg({_SECTION} || x || chr(10) || chr(10), '' ORDER BY n) FILTER (WHERE r IN ('user', 'assistant')), '') t FROM m GROUP BY 1)
+ SELECT session, sha256(CASE WHEN length(t) <= 100 THEN t ELSE left(t, 40) || chr(10) || '[…]' || chr(10) || right(t, 60) END) AS "window" FROM t""",
+    "enrichment_prompts": "SELECT doc_id, sha256('Say in one sentence what this document is about.' || chr(10) || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || chr(10) || CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '…' ELSE text END) prompt, sha256(CASE WHEN doc_id % 2 = 0 THEN 'an answer' || chr(10) || chr(10) ELSE '' END || text) enriched FROM documents WHERE text IS NOT NULL",
+    "hit_similarity": rf"""WITH {q.ONCE}, {_HITS}, w AS (SELECT query_id, chunk_id, r, doc_id, list_distinct(list_filter(regexp_split_to_array(o.text, '\s+'), lambda x: x <> '')) w FROM h JOIN once o ON o.id = chunk_id WHERE o.text IS NOT NULL),
+ b AS (SELECT query_id, arg_min(chunk_id, (-r, chunk_id)) c FROM w GROUP BY 1)
+ SELECT w.query_id, w.chunk_id, round(least(1.0, 0.6 * CAST(w.doc_id = x.doc_id AS INTEGER) + 0.4 * CASE WHEN len(list_distinct(w.w || x.w)) > 0 THEN len(list_intersect(w.w, x.w)) / len(list_distinct(w.w || x.w))::DOUBLE ELSE 0 END), 6) similarity
+ FROM w JOIN b USING (query_id) JOIN w x ON x.query_id = w.query_id AND x.chunk_id = b.c WHERE w.chunk_id <> b.c""",
+    "budget_bodies": f"WITH {_budget(500, -1)} SELECT query_id, count(*) admitted, sha256(string_agg(shown, '' ORDER BY p)) body FROM taken GROUP BY 1",
+    "search_report": f"""{_TIER0}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) p FROM weighted WHERE relevance >= 0.66), e AS (SELECT *, {_ENTRY} entry FROM g WHERE p <= 10),
+ s AS (SELECT *, strlen(entry) n, sum(strlen(entry)) OVER (PARTITION BY query_id ORDER BY p) after FROM e), t AS (SELECT *, 6000 - (after - n) room, sum(CASE WHEN after > 6000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY p) overs FROM s),
+ i AS (SELECT query_id, count(*) k, string_agg(id, ',' ORDER BY p) ids FROM t WHERE overs = 0 OR (overs = 1 AND after > 6000 AND room > 200) GROUP BY 1)
+ SELECT q.query_id, (SELECT count(*) FROM near x WHERE x.query_id = q.query_id) AS vector, (SELECT count(*) FROM kw x WHERE x.query_id = q.query_id) AS keyword, CAST(0 AS BIGINT) AS graph, (SELECT count(*) FROM fused x WHERE x.query_id = q.query_id) AS fused,
+  (SELECT count(*) FROM g x WHERE x.query_id = q.query_id) AS gated, (SELECT count(*) FROM e x WHERE x.query_id = q.query_id) AS returned, coalesce(k, 0) AS injected, coalesce(ids, '') AS injected_ids FROM q LEFT JOIN i ON i.query_id = q.query_id""",
+    "rerank_overlap": f"""{_TIER0}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) p FROM weighted), w AS (SELECT query_id, list(DISTINCT t) w FROM asked GROUP BY 1),
+ v AS (SELECT g.query_id, id, p, CASE WHEN p <= 5 AND len(w) > 0 AND text IS NOT NULL THEN len(list_intersect(w, {q.toks('text')})) / len(w)::DOUBLE END v FROM g LEFT JOIN w ON w.query_id = g.query_id),
+ a AS (SELECT *, count(*) FILTER (WHERE p <= 5) OVER (PARTITION BY query_id) = count(v) OVER (PARTITION BY query_id) whole FROM v)
+ SELECT query_id, id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p > 5, CASE WHEN whole THEN v END DESC NULLS LAST, p) AS INTEGER) AS position, round(v, 6) AS value FROM a QUALIFY position <= 10""",
+    "stream_usage": "SELECT CAST(user_id AS VARCHAR) doc_id, CAST(min(floor(epoch(ts))) AS BIGINT) first_seen, CAST(max(floor(epoch(ts))) AS BIGINT) last_used FROM events GROUP BY 1",
+    "stream_once": 'SELECT session, count(*) messages FROM (SELECT DISTINCT session, type, cwd, "timestamp", message.role r, message.content c FROM finished) GROUP BY 1',
+    "young_events": "SELECT event_type, count(*) events FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1",
+}

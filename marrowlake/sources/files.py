@@ -99,7 +99,7 @@ class _Page(HTMLParser):
         self.main += tag in ("article", "main")
         if tag == "pre":
             self.pre = True
-        if tag in self.BLOCK:
+        if tag in self.BLOCK or tag in self.EDGE:
             self._open("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else "")
 
     def handle_endtag(self, tag: str) -> None:
@@ -113,7 +113,7 @@ class _Page(HTMLParser):
         self.main = max(0, self.main - (tag in ("article", "main")))
         if tag == "pre":
             self.pre = False
-        if tag in self.BLOCK:
+        if tag in self.BLOCK or tag in self.EDGE:
             self._open("")
 
     def handle_data(self, data: str) -> None:
