@@ -243,3 +243,23 @@ SQL = {
     "distill_candidates": f"""WITH s AS (SELECT uri, arg_min(stamp, (run_id, stamp)) s0, arg_max(stamp, (run_id, stamp)) s1 FROM scans WHERE stamp IS NOT NULL GROUP BY 1)
  SELECT uri, s1 AS stamp FROM documents JOIN s USING (uri) WHERE source_type = 'transcript' AND strlen(text) >= 4096 AND {NOW} - floor(epoch(indexed_at)) >= 86400 AND s0 <> s1""",
 }
+_T, _Q = (f"list_filter({q.toks(c)}, lambda x: x <> '' AND x NOT IN ({q.STOP}))" for c in ("title", "line"))
+SQL |= {
+    "title_echo": f"""WITH x AS (SELECT doc_id case_id, uri, {_T} t, {_Q} q FROM (SELECT *, string_split(text, chr(10))[1] line FROM documents WHERE text IS NOT NULL AND title IS NOT NULL)),
+ y AS (SELECT *, len(list_distinct(t)) n, CASE WHEN len(t) > 0 THEN len(list_intersect(list_distinct(t), list_distinct(q))) / len(list_distinct(t))::DOUBLE ELSE 0 END overlap, ' ' || array_to_string(q, ' ') || ' ' hay FROM x),
+ z AS (SELECT *, coalesce(list_max(list_transform(flatten(list_transform(range(1, len(t) + 1), lambda i: list_transform(range(i, len(t) + 1), lambda j: [i, j]))), lambda p: CASE WHEN contains(hay, ' ' || array_to_string(t[p[1]:p[2]], ' ') || ' ') THEN p[2] - p[1] + 1 ELSE 0 END)), 0) run FROM y)
+ SELECT case_id, uri, round(overlap, 6) overlap, CAST(run AS INTEGER) run FROM z WHERE (n >= 3 AND overlap >= 0.6) OR run >= 3""",
+    "golden_report": f"""WITH f AS ({SQL["faulty_cases"]}), d AS ({SQL["duplicate_queries"]}) SELECT 'error' AS level, fault AS "check", count(*) findings FROM f GROUP BY 2 UNION ALL SELECT 'warning', 'duplicate', count(*) FROM d HAVING count(*) > 0
+ UNION ALL SELECT 'warning', 'echo', count(*) FROM documents WHERE source_type <> 'memory' AND title IS NOT NULL AND len({_T}) >= 3 HAVING count(*) > 0
+ UNION ALL SELECT 'warning', 'few negatives', 1 FROM documents HAVING count(*) FILTER (WHERE source_type = 'memory') < 5""",
+    "lessons": f"""WITH {_MEM}, l AS (SELECT coalesce(project, 'global') project, id, created, '- [' || id || ' · ' || strftime(to_timestamp(created) AT TIME ZONE 'UTC', '%Y-%m-%d') || ' · ' || coalesce(project, 'global') || '] ' || trim(text, ' ') || chr(10) line FROM m WHERE kind = 'lesson'),
+ u AS (SELECT *, row_number() OVER w p, 11 + sum(strlen(line)) OVER (w ROWS UNBOUNDED PRECEDING) used FROM l WINDOW w AS (PARTITION BY project ORDER BY created DESC, id)),
+ g AS (SELECT project, count(*) FILTER (WHERE used <= 2000) shown, count(*) FILTER (WHERE used > 2000) omitted, string_agg(line, '' ORDER BY p) FILTER (WHERE used <= 2000) body FROM u GROUP BY 1)
+ SELECT project, CASE WHEN shown > 0 THEN '# Lessons' || chr(10) || body || CASE WHEN omitted > 0 THEN '(' || omitted || ' more)' || chr(10) ELSE '' END || chr(10) END body, shown, omitted FROM g""",
+    "remember": f"""WITH {_MEM}, {q.VEC}, w AS (SELECT m.*, v, substr(sha256(kind || '|' || trim(text, ' ')), 1, 12) own, CASE WHEN length(trim(text, ' ')) NOT BETWEEN 10 AND 2000 OR doc_id % 101 < 60 THEN true ELSE false END bad FROM m LEFT JOIN vec ON vec.id = m.doc || ':0'),
+ c AS (SELECT a.doc_id seq, a.kind, a.id own, b.kind bk, b.id bid, round(list_cosine_similarity(a.v, b.v), 12) cosine FROM w a, w b WHERE b.doc_id % 2 = 0 AND a.v IS NOT NULL AND b.v IS NOT NULL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY cosine DESC, bk || '/' || bid) p FROM c WHERE {q.REL} >= 0.94 QUALIFY p <= 5), near_ AS (SELECT seq, arg_min(bid, p) of_ FROM n WHERE bk = kind AND bid <> own GROUP BY 1),
+ s AS (SELECT w.doc_id seq, own AS id, kind, bad, EXISTS (SELECT 1 FROM m z WHERE z.doc_id % 2 = 0 AND z.id = w.own AND trim(z.text, ' ') = trim(w.text, ' ')) same, CASE WHEN of_ <> own THEN of_ END of_ FROM w LEFT JOIN near_ ON near_.seq = w.doc_id),
+ o AS (SELECT *, CASE WHEN bad THEN 'rejected' WHEN same THEN 'duplicate' WHEN of_ IS NOT NULL AND kind = 'episode' THEN 'duplicate' WHEN of_ IS NOT NULL THEN 'replaced' ELSE 'saved' END outcome FROM s)
+ SELECT seq, id, outcome, CASE WHEN outcome IN ('duplicate', 'replaced') THEN CASE WHEN same THEN id ELSE of_ END END AS of FROM o""",
+}

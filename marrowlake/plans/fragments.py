@@ -125,3 +125,37 @@ LINKED_EDGES = EDGES.replace("unnest(links) l FROM documents)", f"unnest(links)
     "FROM named JOIN uniq USING (key) WHERE src <> uniq.id)",
     f"FROM named JOIN uniq USING (key) WHERE src <> uniq.id UNION SELECT a.id, b.id, CASE a.doc_id % 3 WHEN 1 THEN 'superseded-by' ELSE 'supersedes' END FROM documents a JOIN documents b ON b.doc_id = {_PARTNER} WHERE a.doc_id % 3 > 0 AND a.id <> b.id)",
 )
+
+
+def mmr(cand: str, lam: float, take: int = 10) -> str:
+    """CTEs that end in picked (query_id, position, id): greedy choice among cand (query_id, id, doc, text, p), one recursive step a position."""
+    return rf"""mc AS (SELECT query_id, id, doc, p, count(*) OVER (PARTITION BY query_id) n, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) w FROM {cand}),
+ ms AS (SELECT a.query_id, a.id, map_from_entries(list((b.id, least(1.0, 0.6 * CAST(a.doc = b.doc AS INTEGER) + 0.4 * CASE WHEN len(a.w) + len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) ELSE 0.0 END)))) m
+  FROM mc a JOIN mc b ON b.query_id = a.query_id AND b.id <> a.id GROUP BY 1, 2),
+ mv AS (SELECT mc.query_id, mc.id, p, CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - (p - 1) / (n - 1)::DOUBLE END norm, m FROM mc LEFT JOIN ms USING (query_id, id)),
+ mr AS (SELECT DISTINCT query_id, 0 step, []::VARCHAR[] chosen FROM mc UNION ALL
+  SELECT query_id, step + 1, list_append(chosen, best) FROM (SELECT mr.query_id, step, chosen, arg_max(mv.id, ({lam}::DOUBLE * norm - (1::DOUBLE - {lam}::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda x: m[x])), 0.0::DOUBLE), -p)) best
+   FROM mr JOIN mv ON mv.query_id = mr.query_id AND NOT list_contains(chosen, mv.id) WHERE step < {take} GROUP BY 1, 2, 3)),
+ last AS (SELECT query_id, arg_max(chosen, step) chosen FROM mr GROUP BY 1), picked AS (SELECT query_id, unnest(chosen) id, CAST(generate_subscripts(chosen, 1) AS INTEGER) AS position FROM last)"""
+
+
+def expansion(hops: int, most: int) -> str:
+    """CTEs adj, lnk and mixed (query_id, id): what lies beside and behind seeds (query_id, chunk_id, doc, ord)."""
+    reach = "SELECT s.query_id, f.dst doc FROM seeds s JOIN foll f ON f.src = s.doc" + (" UNION SELECT s.query_id, g.dst FROM seeds s JOIN foll f ON f.src = s.doc JOIN foll g ON g.src = f.dst" if hops > 1 else "")
+    free = "NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = {t}.query_id AND z.chunk_id = o.id)"
+    return f"""adj AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc, ord) p FROM (SELECT DISTINCT s.query_id, o.id, o.doc, o.ord FROM seeds s JOIN once o ON o.doc = s.doc AND abs(o.ord - s.ord) BETWEEN 1 AND {hops} WHERE {free.format(t='s')}) QUALIFY p <= {most}),
+ foll AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('wikilink', 'superseded-by')), reach AS ({reach}),
+ lnk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc, ord) p FROM (SELECT DISTINCT r.query_id, o.id, o.doc, o.ord FROM reach r JOIN once o ON o.doc = r.doc AND o.ord = 0 WHERE {free.format(t='r')}) QUALIFY p <= {most}),
+ mixed AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k) p FROM (SELECT query_id, id, min((p, l)) k FROM (SELECT query_id, id, p, 0 l FROM adj UNION ALL SELECT query_id, id, p, 1 FROM lnk) GROUP BY 1, 2) QUALIFY p <= {most})"""
+
+
+def tier(candidates: int, hops: int, neighbours: int, lam: float, weight: str = "1.0", gate: float = 0.0, extra: str = "") -> str:
+    """CTEs of a whole search that end in picked, with weighted (query_id, id, relevance, title, heading_path, page_no, uri, text). weight multiplies the usual weights."""
+    graph = f"seeds AS (SELECT query_id, o.id AS chunk_id, o.doc, o.ord FROM near JOIN once o ON o.id = near.id WHERE p <= 5), {expansion(hops, neighbours)}, " if hops else ""
+    more = " UNION ALL SELECT query_id, id, NULL FROM mixed" if hops else ""
+    return f"""WITH RECURSIVE {ONCE}, {VEC}, {QUERIES}, {QVEC}, {POSTINGS}, {knn(candidates)}, {words(candidates)}, {EDGES}, {LIFECYCLES}, {graph}{extra}
+ lists AS (SELECT query_id, id, relevance FROM near UNION ALL SELECT query_id, id, NULL FROM kw{more}), fused AS (SELECT query_id, id, coalesce(max(relevance), 0.0) relevance FROM lists GROUP BY 1, 2),
+ pool AS (SELECT f.query_id, f.id, CASE WHEN f.relevance > 0 THEN f.relevance ELSE coalesce({REL.replace('cosine', 'c.cosine')}, 0.0) END relevance FROM fused f LEFT JOIN cosq c ON c.query_id = f.query_id AND c.id = f.id),
+ weighted AS (SELECT query_id, p.id, round(relevance * (CASE WHEN source_type = 'transcript' THEN 0.45 ELSE 1.0 END * CASE WHEN lifecycle = 3 THEN 0.88 ELSE 1.0 END * {weight}), 12) relevance, o.doc, title, o.heading_path, o.page_no, uri, o.text
+  FROM pool p JOIN once o ON o.id = p.id JOIN documents d ON d.id = o.doc JOIN life ON life.id = o.doc),
+ ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) p FROM weighted WHERE relevance >= {gate}), {mmr('ordered', lam)}"""

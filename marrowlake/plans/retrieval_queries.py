@@ -217,3 +217,15 @@ SQL = {
     "usage_decay": f"""SELECT doc_id, round(CASE WHEN age > 90 THEN greatest(0.1, pow(0.5, (age - 90) / 100)) ELSE 1.0 END, 6) decay, round(0.85 + 0.15 * pow(0.5, greatest(first, 0) / 30), 6) episode
  FROM (SELECT CAST(user_id AS VARCHAR) doc_id, ({NOW} - max(floor(epoch(ts)))) / 86400.0 age, ({NOW} - min(floor(epoch(ts)))) / 86400.0 AS first FROM events GROUP BY 1)""",
 }
+_FOUND = "SELECT query_id, position, id AS chunk_id, round(relevance, 6) relevance FROM picked JOIN ordered USING (query_id, id)"
+for _n, _t in enumerate(TIERS):
+    if _t.mmr < 1:
+        SQL[f"hybrid_tier{_n}"] = f"{q.tier(_t.candidates, _t.hops, _t.neighbours, _t.mmr)} {_FOUND}"
+_USED = "used AS (SELECT string_split(chunk_id, ':')[1] uid, max(floor(epoch(searched_at))) last_used FROM hits GROUP BY 1),"
+_AGE = f"(({NOW} - (SELECT last_used FROM used WHERE uid = o.doc)) / 86400.0)"
+SQL["authority_search"] = f"""{q.tier(20, 0, 0, 0.7, f"CASE WHEN source_type = 'transcript' AND coalesce({_AGE} > 90, false) THEN greatest(0.1, pow(0.5, ({_AGE} - 90) / 100)) ELSE 1.0 END * (1 + 0.3 * coalesce((SELECT inbound FROM inb WHERE inb.id = o.doc), 0) / greatest((SELECT coalesce(max(inbound), 0) FROM inb), 1))", extra=_USED)} {_FOUND}"""
+SQL["injected_context"] = f"""{q.tier(20, 0, 0, 0.7, gate=0.5)}, e AS (SELECT query_id, picked.position, title, uri, relevance, text, strlen({_ENTRY.replace('o.text', 'text')}) n FROM picked JOIN ordered USING (query_id, id)),
+ s AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY position) after FROM e), t AS (SELECT *, 6000 - (after - n) room, sum(CASE WHEN after > 6000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY position) overs FROM s)
+ SELECT query_id, string_agg('### [' || coalesce(title, '') || '](' || uri || ') (' || printf('%.3f', relevance) || ')' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) rendered FROM t WHERE overs = 0 OR (overs = 1 AND after > 6000 AND room > 200) GROUP BY 1"""
+SQL["mmr_select"] = f"""WITH RECURSIVE {q.ONCE}, h AS (SELECT query_id, chunk_id, max(relevance) r, max(doc_id) doc FROM hits GROUP BY 1, 2), hp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id) hpos FROM h),
+ hc AS (SELECT query_id, chunk_id AS id, hp.doc, o.text, row_number() OVER (PARTITION BY query_id ORDER BY hpos) p FROM hp JOIN once o ON o.id = chunk_id), {q.mmr('hc', 0.6)} SELECT query_id, id AS chunk_id, position FROM picked"""

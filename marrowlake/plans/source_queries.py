@@ -120,3 +120,32 @@ SQL = {
     "session_agents": "SELECT doc_id, CASE WHEN starts_with(uri, 'claude-session://') THEN 'claude' ELSE 'codex' END AS agent FROM documents WHERE starts_with(uri, 'claude-session://') OR starts_with(uri, 'codex-session://')",
     "upsert_edges": f"WITH {q.LINKED_EDGES}, n AS (SELECT id, doc_id FROM documents) SELECT kind, count(*) edges FROM edges JOIN n s ON s.id = src JOIN n t ON t.id = dst WHERE s.doc_id % 5 <> 0 AND s.doc_id % 7 <> 0 AND t.doc_id % 7 <> 0 GROUP BY 1",
 }
+_EXT, _END, _HOSTS = (", ".join(f"'{x}'" for x in v) for v in (transcripts.EXTENSIONS, transcripts.HOST_ENDINGS, transcripts.HOSTS))
+
+
+def _mentions(source: str, key: str) -> str:
+    """CTEs that end in mention (key, file) of source (key, text), by splitting words, then tokens, then the dotted parts of a path's end."""
+    return rf"""wd AS (SELECT {key}, unnest(regexp_split_to_array(text, '\s+')) w FROM {source}), tk AS (SELECT {key}, unnest(regexp_split_to_array(split_part(split_part(split_part(w, 'http://', 1), 'https://', 1), 'www.', 1), '[^\p{{L}}\p{{N}}_./-]+')) t FROM wd),
+ pt AS (SELECT {key}, t, string_split(t, '/')[-1] e, string_split(string_split(t, '/')[-1], '.') x, string_split(string_split(t, '/')[1], '.') h FROM tk WHERE contains(t, '.')),
+ ok AS (SELECT *, list_filter(range(2, len(x) + 1), lambda i: list_contains([{_EXT}], x[i]) AND regexp_matches(x[i - 1], '[A-Za-z]'))[1] a FROM pt WHERE NOT list_has_any(list_transform(h[2:], lambda y: lower(y)), [{_END}])),
+ mention AS (SELECT DISTINCT {key}, ltrim(CASE WHEN a = 2 THEN left(t, length(t) - length(e)) ELSE '' END || x[a - 1] || '.' || x[a], './-') AS file FROM ok WHERE a IS NOT NULL)"""
+
+
+_CODELESS = r"regexp_replace(regexp_replace({t}, '(?ms)^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\z)|^[ \t]*~~~.*?(?:^[ \t]*~~~[ \t]*$|\z)', ' ', 'g'), '`[^`\n]*`', ' ', 'g')"
+_BODY = r"regexp_replace(regexp_replace(text, '^﻿', ''), '(?s)\A---[ \t]*\r?\n.*?\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)', '')"
+_TARGET = "coalesce(" + ", ".join(f"CASE WHEN NOT regexp_matches(json_extract_string(i.input, '$.{k}'), '^[\\[{{]') THEN json_extract_string(i.input, '$.{k}') END" for k in transcripts.TARGET_KEYS) + ", '')"
+_RESULT = "trim(CASE json_type(i.content) WHEN 'ARRAY' THEN array_to_string(list_filter(list_transform(from_json(i.content, '[{\"type\":\"VARCHAR\",\"text\":\"VARCHAR\"}]'), lambda y: y.text), lambda z: trim(coalesce(z, ''), ' ') <> ''), chr(10)) ELSE json_extract_string(i.content, '$') END, ' ')"
+_LINES = f"""CASE i.type WHEN 'tool_use' THEN '[tool: ' || coalesce(i.name, 'tool') || CASE WHEN {_TARGET} <> '' THEN ' ' || {_TARGET} ELSE '' END || ']'
+  WHEN 'tool_result' THEN CASE WHEN {_RESULT} <> '' THEN '[result] ' || CASE WHEN length({_RESULT}) > 600 THEN substr({_RESULT}, 1, 600) || '…' ELSE {_RESULT} END END WHEN 'thinking' THEN NULL ELSE i.text END"""
+_SECTIONS = rf"""fm AS (SELECT row_id, session, cwd, "timestamp" at_, coalesce(message.role, 'unknown') r, message.content c FROM finished),
+ ff AS (SELECT *, CASE WHEN regexp_matches(c, '^\s*\[') AND json_valid(c) THEN array_to_string(list_filter(list_transform(from_json(c, '[{{"type":"VARCHAR","text":"VARCHAR","name":"VARCHAR","input":"JSON","content":"JSON"}}]'), lambda i: {_LINES}), lambda z: trim(coalesce(z, ''), ' ') <> ''), chr(10)) ELSE c END x FROM fm),
+ fs AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY row_id) turn FROM ff WHERE trim(x, ' ') <> ''), sec AS (SELECT session, CAST(turn AS INTEGER) turn, r, '## ' || r || ' (turn ' || turn || ')' || chr(10) || chr(10) || x || chr(10) || chr(10) s FROM fs)"""
+SQL |= {
+    "file_mentions": f"WITH {_mentions('(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)', 'doc_id')} SELECT doc_id, file FROM mention WHERE file NOT IN ({_HOSTS})",
+    "wikilinks": rf"WITH l AS (SELECT doc_id, trim(unnest(regexp_extract_all({_CODELESS.format(t='text')}, '\[\[([^\[\]|#\n]+)(?:[#|][^\[\]\n]*)?\]\]', 1)), ' ') t FROM documents WHERE text IS NOT NULL) SELECT t AS target, count(*) links, count(DISTINCT doc_id) documents FROM l WHERE t <> '' GROUP BY 1",
+    "first_headings": rf"SELECT doc_id, nullif(trim(regexp_extract({_CODELESS.format(t=_BODY)}, '(?m)^ {{0,3}}#{{1,6}}[ \t]+(.*?)[ \t]*#*[ \t]*$', 1), ' '), '') heading FROM documents WHERE text IS NOT NULL",
+    "session_sections": f'WITH {_SECTIONS} SELECT session, turn, r AS "role", sha256(s) AS section FROM sec',
+    "session_transcripts": rf"""WITH {_SECTIONS}, tx AS (SELECT session, string_agg(s, '' ORDER BY turn) AS text, count(*) turns FROM sec GROUP BY 1), pj AS (SELECT session, arg_min(cwd, row_id) FILTER (WHERE coalesce(cwd, '') <> '') cwd FROM fm GROUP BY 1),
+ {_mentions('tx', 'session')}, fl AS (SELECT session, list(file ORDER BY file) files FROM mention WHERE file NOT IN ({_HOSTS}) GROUP BY 1)
+ SELECT tx.session, coalesce(string_split(cwd, '/')[-1], 'unknown') || ' session (' || left(tx.session, 8) || ')' title, sha256(text) text_hash, turns, cwd AS project, coalesce(files, []) files FROM tx LEFT JOIN pj USING (session) LEFT JOIN fl USING (session)""",
+}
