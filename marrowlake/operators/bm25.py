@@ -156,22 +156,26 @@ def postings(rows: DataFrame, row_id: str = "id", text: str = "text", stop: tupl
     return indexed(rows, row_id, text, stop, stemmed).postings()
 
 
-def query_terms(queries: DataFrame, index: Index, query_id: str = "query_id", text: str = "text", strict: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text", strict: bool = False, stop: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> DataFrame:
     """(query_id, term, times). Line breaks are folded only if strict."""
     source = fold_newlines(F.col(text)) if strict else F.col(text)
-    return term_counts(queries, query_id, source, index.stop, index.stemmed).select(query_id, "term", F.col("tf").alias("times"))
+    return term_counts(queries, query_id, source, stop, stemmed).select(query_id, "term", F.col("tf").alias("times"))
 
 
-def search(queries: DataFrame, index: Index, k: int = 20, query_id: str = "query_id", text: str = "text", strict: bool = False) -> DataFrame:
-    """(query_id, row_id, score, position) of the k best rows of each query.
+def search(queries: DataFrame, index: Index | DataFrame, k: int = 20, query_id: str = "query_id", text: str = "text", strict: bool = False, row_id: str = "id") -> DataFrame:
+    """(query_id, row_id, score, position) of the k best rows of each query, over an index or over postings (term, row_id, impact) made with the default analysis.
 
     A term that a query repeats adds each time; ties go to the smaller row_id. Only the buckets of the terms asked for are read (their numbers, at most
     index.buckets, reach the driver), the dictionary is joined to the asked terms first, and what each (query, row) gets is summed with partial sums.
     """
-    asked, wanted = query_terms(queries, index, query_id, text, strict), None
-    if index.buckets:
-        wanted = [r[0] for r in asked.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]
-    known = asked.join(index.terms.select("term", "df"), "term")
-    hits = index.entries(known, wanted).groupBy(query_id, index.row_id).agg(F.round(F.sum(index.impact() * F.col("times")), 9).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), index.row_id)
+    if isinstance(index, Index):
+        row_id, wanted = index.row_id, None
+        asked = query_terms(queries, query_id, text, strict, index.stop, index.stemmed)
+        if index.buckets:
+            wanted = [r[0] for r in asked.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]
+        found = index.entries(asked.join(index.terms.select("term", "df"), "term"), wanted).withColumn("impact", index.impact())
+    else:
+        found = query_terms(queries, query_id, text, strict).join(index, "term")
+    hits = found.groupBy(query_id, row_id).agg(F.round(F.sum(F.col("impact") * F.col("times")), 9).alias("score"))
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
     return hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrowlake.functions.text import STOP_WORDS, tokens, without_stop_words
+from marrowlake.runtime import cut
 
 # fixed values: the gates that are priced, the default gate, and the least number of negative cases that supports a recommendation
 GATES = [0.50, 0.55, 0.60, 0.62, 0.64, 0.66, 0.68, 0.70, 0.72, 0.74, 0.76, 0.78, 0.80, 0.85, 0.90]
@@ -45,17 +46,17 @@ def classified(ranked: DataFrame, cases: DataFrame, expected: DataFrame) -> Data
 
 def spread(values: DataFrame, value: str = "relevance", group: list[str] = []) -> DataFrame:
     """n, min, p10, p25, p50, p75, p90 and max by nearest rank (A18, M17), by group; empty groups have no row."""
-    v = F.col(value)
-    at = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name) for q, name in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"))]
-    return values.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), *at, F.max(v).alias("max")).filter("n > 0")
+    keyed = values.select(F.struct(*group).alias("_g") if group else F.struct(F.lit(0).alias("_")).alias("_g"), value)
+    at = ranked_quantiles(keyed, "_g", value, {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, ends=True)
+    return at.select(*(F.col("_g")[c].alias(c) for c in group), "n", "min", *(F.col(f"near_{p}").alias(p) for p in ("p10", "p25", "p50", "p75", "p90")), "max")
 
 
-def ranked_quantiles(rows: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
-    """Per group, near_<name> and floor_<name>: the elements of rank ceil(q n) and floor((n - 1) q) + 1 of its values (A21, M17, M18). Nulls are left out.
+def ranked_quantiles(rows: DataFrame, group: str, value: str, at: dict[str, float], ends: bool = False) -> DataFrame:
+    """Per group (not null), near_<name> and floor_<name>: the elements of rank ceil(q n) and floor((n - 1) q) + 1 of its values (A21, M17, M18); with ends also n, min and max. Nulls are left out.
 
     Values are counted first; the running counts are taken in slices of each group's own distinct values, cut at approximate quantiles, so no task sorts a whole group.
     """
-    c = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    c = cut(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c")))
     cuts = c.groupBy(group).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
     c = c.join(cuts, group).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     per = c.groupBy(group, "_slice").agg(F.sum("_c").alias("_s"))
@@ -64,7 +65,8 @@ def ranked_quantiles(rows: DataFrame, group: str, value: str, at: dict[str, floa
     n = F.col("_n")
     ranks = {f"near_{k}": F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(q)))) for k, q in at.items()} | {f"floor_{k}": F.floor((n - 1) * F.lit(q)) + 1 for k, q in at.items()}
     holds = lambda r: F.when((F.col("_to") >= r) & (F.col("_to") - F.col("_c") < r), F.col(value))
-    return c.groupBy(group).agg(*(F.max(holds(r)).alias(k) for k, r in ranks.items()))
+    more = (F.sum("_c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")) if ends else ()
+    return c.groupBy(group).agg(*more, *(F.max(holds(r)).alias(k) for k, r in ranks.items()))
 
 
 def origin(pool: DataFrame, stages: DataFrame) -> DataFrame:

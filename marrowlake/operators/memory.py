@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marrowlake.functions.identity import memory_id
 from marrowlake.functions.weights import civil_date
+from marrowlake.operators.ranking import rank_in_group
 
 # fixed values: lengths of a memory, the floor of confidence, the similarity of near duplicates, and the least size of a session worth distilling
 LEAST_CHARS, MOST_CHARS, MIN_CONFIDENCE, DUPLICATE, LEAST_BYTES = 10, 2000, 60, 0.94, 4096
@@ -33,10 +34,10 @@ def remembered(incoming: DataFrame, stored: DataFrame, near: DataFrame) -> DataF
 
 
 def evicted(memories: DataFrame, most: int, growth: int = 0) -> DataFrame:
-    """Ids of the oldest episodes beyond the cap; other kinds are never evicted."""
+    """Ids of the oldest episodes beyond the cap; other kinds are never evicted (W13). Episodes are numbered in slices of time, so any number may be beyond the cap."""
     total = memories.agg(F.count("*").alias("n"))
-    eps = memories.filter("kind = 'episode'").withColumn("r", F.row_number().over(Window.orderBy("created", "id")))  # memories are capped by `most`
-    return eps.crossJoin(total).filter(F.col("r") <= F.col("n") + growth - most).select("id")
+    eps = rank_in_group(memories.filter("kind = 'episode'").select("id", "created", F.lit(0).alias("_g")), "_g", [("created", False), ("id", False)], "r", "row_number")
+    return eps.crossJoin(total).filter(F.col("r") <= F.col("n") + growth - most).select("id")  # total is one row
 
 
 def edited(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

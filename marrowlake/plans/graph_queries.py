@@ -123,11 +123,14 @@ def sessions_by_agent(spark: Spark, d: str) -> DataFrame:
 
 
 def status_snapshot(spark: Spark, d: str) -> DataFrame:
-    """Totals in one row."""
+    """Totals in one row; skipped are the uris that the newest run could not read."""
     c = pack_of(spark, d)
     n = table(spark, d, "documents").agg(F.count("*").alias("documents"))
     m = c.chunks.select("id").join(c.vectors.select("id", F.lit(1).alias("v")), "id", "left").agg(F.count("*").alias("chunks"), F.count_if(F.col("v").isNull()).alias("without_vector"))
-    return n.crossJoin(m).withColumn("model", F.lit(model_id("hash", 64, "none")))  # single rows
+    scans = table(spark, d, "scans")
+    last = scans.join(scans.agg(F.max("run_id").alias("run_id")), "run_id", "left_semi").filter("uri is not null").groupBy("uri").agg(F.max(F.struct("seen_at", "content_hash")).alias("s"))
+    skipped = last.agg(F.count_if(F.col("s.content_hash").isNull()).alias("skipped"))
+    return n.crossJoin(m).crossJoin(skipped).withColumn("model", F.lit(model_id("hash", 64, "none")))  # single rows
 
 
 def live_bytes(spark: Spark, d: str) -> DataFrame:
@@ -172,6 +175,6 @@ SQL = {
     "counts_by_source": "SELECT s AS source_type, count(d.id) documents FROM (VALUES ('markdown'), ('pdf'), ('web'), ('transcript'), ('memory'), ('audio')) v(s) LEFT JOIN documents d ON source_type = s GROUP BY 1",
     "counts_rollup": "SELECT source_type, l AS lang, count(*) documents, CAST(grouping(source_type, l) AS INTEGER) AS level FROM (SELECT source_type, lower(trim(lang)) l FROM documents) GROUP BY ROLLUP (source_type, l)",
     "sessions_by_agent": "SELECT a AS agent, count(id) sessions FROM (VALUES ('claude'), ('codex')) v(a) LEFT JOIN documents ON starts_with(uri, a || '-session://') GROUP BY 1",
-    "status_snapshot": f"WITH {q.ONCE}, {q.VEC} SELECT (SELECT count(*) FROM documents) documents, count(*) chunks, count(*) FILTER (WHERE v IS NULL) without_vector, 'hash@64+none' AS model FROM once LEFT JOIN vec USING (id)",
+    "status_snapshot": "WITH " + q.ONCE + ", " + q.VEC + " SELECT (SELECT count(*) FROM documents) documents, count(*) chunks, count(*) FILTER (WHERE v IS NULL) without_vector, (SELECT count(*) FROM (SELECT uri, max({'t': seen_at, 'h': content_hash}) s FROM scans WHERE run_id = (SELECT max(run_id) FROM scans) AND uri IS NOT NULL GROUP BY 1) WHERE s.h IS NULL) skipped, 'hash@64+none' AS model FROM once LEFT JOIN vec USING (id)",
     "live_bytes": "SELECT CAST(sum(strlen(id) + coalesce(strlen(text), 0) + coalesce(strlen(heading_path), 0) + 4 * coalesce(len(embedding), 0)) AS BIGINT) AS bytes FROM chunks",
 }

@@ -53,8 +53,8 @@ def embed_dedup(spark: Spark, d: str) -> DataFrame:
 
 
 def vector_backlog(spark: Spark, d: str) -> DataFrame:
-    """A batch of 64 chunks without a vector."""
-    return index.backlog(table(spark, d, "chunks").select("id", "embedding").distinct(), 64).select("id")
+    """A batch of 64 chunks without a vector in any of their rows."""
+    return index.backlog(table(spark, d, "chunks").groupBy("id").agg(F.max("embedding").alias("embedding")), 64).select("id")
 
 
 def settled_sessions(spark: Spark, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ SQL = {
     "upsert": f"WITH {_run(1)}, {_run(3)} SELECT * FROM l1 WHERE uri NOT IN (SELECT uri FROM l3) UNION ALL SELECT * FROM l3",
     "prune_missing": f"WITH {_run(6)} SELECT doc_id, uri FROM documents WHERE (starts_with(uri, 'file://') OR starts_with(uri, 'claude-session://') OR starts_with(uri, 'codex-session://')) AND uri NOT IN (SELECT uri FROM l6)",
     "embed_dedup": "WITH c AS (SELECT *, sha256(embed_text) h FROM chunks WHERE embed_text IS NOT NULL) SELECT h AS embed_hash, CAST(length(min(embed_text)) AS INTEGER) chars FROM c WHERE doc_id % 2 = 1 AND h NOT IN (SELECT h FROM c WHERE doc_id % 2 = 0 AND embedding IS NOT NULL) GROUP BY 1",
-    "vector_backlog": "SELECT id FROM (SELECT DISTINCT id, embedding FROM chunks) WHERE embedding IS NULL ORDER BY id LIMIT 64",
+    "vector_backlog": "SELECT id FROM chunks GROUP BY id HAVING count(embedding) = 0 ORDER BY id LIMIT 64",
     "settled_sessions": f"SELECT doc_id, {NOW} - floor(epoch(indexed_at)) >= 600 settled, indexed_at IS NULL OR {NOW} - floor(epoch(indexed_at)) <= 2592000 young FROM documents WHERE source_type = 'transcript'",
     "ignored_paths": "SELECT doc_id, uri FROM documents WHERE NOT list_has_any(string_split(uri, '/'), ['vault-ops', 'papers'])",
     "pack_round_trip": f"WITH {q.ONCE}, {q.VEC} SELECT doc, count(*) AS rows, max(ord) AS last FROM once JOIN vec USING (id) GROUP BY 1",
