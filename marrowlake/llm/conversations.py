@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marrowlake.llm.components import connected_components
 from marrowlake.operators.ranking import rank_in_group
+from marrowlake.runtime import cut
 
 # fixed values: the speakers behind the spellings of a role, and the roles that are left out
 USER_ROLES = ["user", "human"]
@@ -30,20 +31,35 @@ def instant(stamp: Column) -> Column:
     return F.when(s.rlike(INSTANT), s.try_cast("timestamp"))
 
 
-def is_items(content: Column) -> Column:
+def opens_items(content: Column) -> Column:
+    """Whether content starts an array of items."""
     return F.coalesce(content.rlike(r"^\s*\[\s*\{"), F.lit(False))
 
 
+def valid_json(content: Column) -> Column:
+    # the parser ignores what follows the value, so the array must also end the text
+    return F.try_parse_json(content).isNotNull() & content.rlike(r"\]\s*$")
+
+
+def is_items(content: Column) -> Column:
+    """Whether content is a JSON array of items: of objects, or of nothing. Other brackets, such as "[1]", are plain text."""
+    bracket = content.rlike(r"^\s*\[\s*[{\]]")
+    objects = F.forall(F.from_json(content, "array<string>"), lambda x: x.rlike(r"^\s*\{"))
+    return F.coalesce(F.when(bracket, valid_json(content) & objects), F.lit(False))
+
+
 def message_text(content: Column) -> Column:
-    """Plain content, or the text items of an array joined by line breaks; null if blank or invalid."""
+    """Plain content, or the text items of an array joined by line breaks; null if blank or an array of items that is not valid JSON."""
     items = F.filter(F.from_json(content, ITEMS), lambda x: (x["type"] == "text") & (F.regexp_replace(x["text"], r"\s+", "") != ""))
-    text = F.when(is_items(content), F.when(valid_items(content), F.array_join(F.transform(items, lambda x: x["text"]), "\n"))).otherwise(content)
+    text = F.when(is_items(content), F.array_join(F.transform(items, lambda x: x["text"]), "\n")).when(~opens_items(content), content)
     return F.when(F.regexp_replace(text, r"[\s\p{Z}]+", "") != "", text)
 
 
-def valid_items(content: Column) -> Column:
-    # the parser ignores what follows the value, so the array must also end the text
-    return F.try_parse_json(content).isNotNull() & content.rlike(r"\]\s*$")
+SAME = ["session", "type", "cwd", "timestamp", "role", "content"]
+
+
+def _raw(log: DataFrame) -> DataFrame:
+    return log.select("row_id", "session", "type", "cwd", "timestamp", F.col("message.role").alias("role"), F.col("message.content").alias("content"))
 
 
 def message_rows(log: DataFrame) -> DataFrame:
@@ -52,27 +68,38 @@ def message_rows(log: DataFrame) -> DataFrame:
     Columns: row_id, session (null if blank), speaker, text, at, cwd, broken. broken marks a role that is
     unknown, a timestamp that is no instant and an array of items that is not valid JSON.
     """
-    m = log.select("row_id", "session", "type", "cwd", "timestamp", F.col("message.role").alias("role"), F.col("message.content").alias("content"))
-    m = m.groupBy("session", "type", "cwd", "timestamp", "role", "content").agg(F.min("row_id").alias("row_id"))
+    m = _raw(log).groupBy(*SAME).agg(F.min("row_id").alias("row_id"))
     session = F.when(F.regexp_replace("session", BLANKS, "") != "", F.col("session"))
-    m = m.select("row_id", session.alias("session"), speaker(F.col("role")).alias("speaker"), message_text(F.col("content")).alias("text"), instant(F.col("timestamp")).alias("at"), "cwd", (is_items(F.col("content")) & ~valid_items(F.col("content"))).alias("bad_items"))
+    c = F.col("content")
+    m = m.select("row_id", session.alias("session"), speaker(F.col("role")).alias("speaker"), message_text(c).alias("text"), instant(F.col("timestamp")).alias("at"), "cwd", (opens_items(c) & ~is_items(c)).alias("bad_items"))
     return m.withColumn("broken", F.col("speaker").isNull() | F.col("at").isNull() | F.col("bad_items")).drop("bad_items")
 
 
+def representatives(log: DataFrame) -> DataFrame:
+    """(row_id, kept): for every row of the log the row_id that message_rows keeps in its place."""
+    raw = _raw(log)
+    kept = raw.groupBy(*SAME).agg(F.min("row_id").alias("kept")).select(*(F.col(c).alias(f"_{c}") for c in SAME), "kept")
+    same = F.lit(True)
+    for c in SAME:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return raw.join(kept, same).select("row_id", "kept")
+
+
 def link_edges(rows: DataFrame, reply_to: str | None = None) -> DataFrame:
     """(a, b) between nodes of the link graph, of which at least one lacks a session.
 
     A node is a session (contracted: its rows need no links among themselves) or a row without one. A quote link joins a
-    row whose first line is a Markdown quote to the rows of the same cwd that hold just this line as their first line;
-    a reply link joins a row to the row_id in the column reply_to.
+    row whose first line is a Markdown quote to the one node of the same cwd that holds just this line as a first line; a line that several nodes hold
+    ("Thanks") says nothing and links nothing. A reply link joins a row to the row_id in the column reply_to.
     """
     node = F.coalesce(F.concat(F.lit("s:"), "session"), F.concat(F.lit("r:"), F.col("row_id").cast("string")))
     n = rows.select("row_id", node.alias("node"), F.col("session").isNull().alias("loose"), "cwd", "text", *([reply_to] if reply_to else []))
     first_line = F.regexp_replace(F.substring_index("text", "\n", 1), BLANKS, "")
-    quoting = n.filter("loose and text like '>%'").select(F.col("node").alias("a"), "cwd", F.xxhash64(F.regexp_replace(first_line, r"^>\s*", "")).alias("h"))
-    # a line that many rows hold is reduced to its earliest node first: a star instead of all pairs
-    quoted = n.filter("text is not null and text not like '>%'").groupBy("cwd", F.xxhash64(first_line).alias("h")).agg(F.min_by("node", "row_id").alias("b"))
-    edges = quoting.join(quoted, (quoting.h == quoted.h) & quoting.cwd.eqNullSafe(quoted.cwd)).select("a", "b")
+    quoting = n.filter("text like '>%'").select(F.col("node").alias("a"), "loose", "cwd", F.regexp_replace(first_line, r"^>\s*", "").alias("line")).filter("line <> ''")
+    quoted = n.filter("text is not null and text not like '>%'").select(F.col("cwd").alias("_cwd"), first_line.alias("_line"), "node", F.col("loose").alias("l2"))
+    # a line that many rows hold is reduced to its ends first: never all pairs
+    quoted = quoted.groupBy("_cwd", "_line").agg(F.min("node").alias("b"), F.max("node").alias("z"), F.max("l2").alias("l2")).filter("b = z")
+    edges = quoting.join(quoted, (F.col("line") == F.col("_line")) & F.col("cwd").eqNullSafe(F.col("_cwd"))).filter("loose or l2").select("a", "b")
     if reply_to:
         target = n.select(F.col("row_id").alias("t"), F.col("node").alias("b"), F.col("loose").alias("l2"))
         replies = n.filter(F.col(reply_to).isNotNull()).select(F.col("node").alias("a"), F.col(reply_to).alias("t"), "loose")
@@ -88,7 +115,12 @@ def conversation_rows(log: DataFrame, reply_to: str | None = None) -> DataFrame:
     """
     rows = message_rows(log)
     if reply_to:
-        rows = rows.join(log.select("row_id", reply_to), "row_id", "left")
+        # replies to a row that was delivered again go to the one that is kept
+        kept = cut(representatives(log))
+        given = log.select("row_id", F.col(reply_to).alias("_to")).join(kept, "row_id").filter("_to is not null").groupBy("kept").agg(F.min("_to").alias("_to"))
+        given = given.join(kept.select(F.col("row_id").alias("_to"), F.col("kept").alias(reply_to)), "_to").select(F.col("kept").alias("row_id"), reply_to)
+        rows = rows.join(given, "row_id", "left")
+    rows = cut(rows)
     parts = connected_components(link_edges(rows, reply_to))
     named = parts.groupBy("component").agg(F.min(F.when(F.col("node").startswith("s:"), F.col("node"))).alias("s"))
     name = parts.join(named, "component").select("node", F.coalesce("s", "component").alias("conv"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marrowlake.llm import conversations, distinctive, markup, mixing, neighbours, ocr, packing, score_fusion, tokens, toxicity
@@ -44,6 +44,30 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "finished"))
 
 
+def p3_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions hidden and rebuilt from links: rows and recovered rows, by whether the session lost some or all of its names.
+
+    Every third row (row_id) loses its session, and all rows of a session whose first row_id is divisible by 10 do. Contents are replaced by "ref <row_id>" and a line; a row
+    answers the row before it in its session by reply_to, or every seventh by quoting its first line where both have the same cwd and the earlier one quotes none. A row is recovered if its
+    component is one whole session and nothing else.
+    """
+    f = table(spark, d, "finished").filter(F.trim("session") != "").withColumnRenamed("session", "hidden")
+    w = Window.partitionBy("hidden").orderBy("row_id")  # planting, not the operator
+    f = f.withColumn("before", F.lag("row_id").over(w)).withColumn("cwd0", F.lag("cwd").over(w)).withColumn("first", F.min("row_id").over(Window.partitionBy("hidden")))
+    quotes = (F.col("row_id") % 7 == 0) & (F.col("before") % 7 != 0) & F.col("cwd").eqNullSafe(F.col("cwd0"))
+    body = F.concat(F.when(quotes, F.concat(F.lit("> ref "), F.col("before").cast("string"))).otherwise(F.concat(F.lit("ref "), F.col("row_id").cast("string"))), F.lit("\nbody "), F.col("row_id").cast("string"))
+    answer = F.when(~quotes, F.col("before"))
+    lost = F.col("first") % 10 == 0
+    log = f.select("row_id", "hidden", lost.alias("lost"), F.when(~lost & (F.col("row_id") % 3 != 0), F.col("hidden")).alias("session"), "type", "cwd", "timestamp", "loaded_at", F.struct("message.role", body.alias("content")).alias("message"), answer.alias("reply_to"))
+    log = cut(log.withColumn("reply_to", F.coalesce("reply_to", F.lit(None).cast("long"))))
+    rows = conversations.conversation_rows(log.drop("hidden", "lost"), "reply_to").select("row_id", "conversation").join(log.select("row_id", "hidden", "lost", "session"), "row_id")
+    whole = rows.groupBy("conversation").agg(F.min("hidden").alias("a"), F.max("hidden").alias("b"), F.count("*").alias("n")).filter("a = b")
+    sizes = rows.groupBy("hidden").agg(F.count("*").alias("size"))
+    good = whole.join(sizes, whole["a"] == sizes["hidden"]).filter("n = size").select("conversation", F.lit(1).alias("ok"))
+    got = rows.filter("session is null").join(good, "conversation", "left")
+    return got.groupBy(F.when(F.col("lost"), "all names").otherwise("some names").alias("lost")).agg(F.count("*").alias("rows"), F.count("ok").alias("recovered"))
+
+
 def _enriched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     words = distinctive.enrichment(distinctive.chunk_terms(table(spark, d, "chunks")), "doc_id", "term")
     tags = distinctive.enrichment(distinctive.document_tags(table(spark, d, "documents")), "doc_id", "term")
@@ -131,7 +155,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p4_found, p4_terms, p5_found, p5_clean, p5_clean_chunks, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
+        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p5_found, p5_clean, p5_clean_chunks, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
         p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates,
     )
 }
@@ -143,17 +167,23 @@ _WORST_FIRST = "greatest(a, b, c), a + b + c - greatest(a, b, c) - least(a, b, c
 _WORDS = r"""SELECT doc_id, t FROM (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')) t
  FROM (SELECT id, min(doc_id) doc_id, min(text) text FROM chunks WHERE text IS NOT NULL GROUP BY id)) WHERE regexp_full_match(t, '[a-z]{5,}')"""
 
+_MESSAGES = r"""m AS (SELECT session, type, cwd, "timestamp" ts, message.role r, message.content c, min(row_id) row_id FROM finished WHERE trim(session) <> '' GROUP BY ALL),
+ x AS (SELECT *, CASE WHEN lower(trim(r)) IN ('user', 'human') THEN 'u' WHEN lower(trim(r)) IN ('assistant', 'ai', 'model') THEN 'a' WHEN lower(trim(r)) IN ('system', 'developer') THEN 'x' END w, try_cast(trim(ts) AS TIMESTAMPTZ) at_,
+  coalesce(regexp_matches(c, '^\s*\[\s*\{'), false) starts, coalesce(CASE WHEN json_valid(c) AND json_type(c) = 'ARRAY' THEN list_bool_and([true] || list_transform(from_json(c, '["JSON"]'), lambda i: json_type(i) = 'OBJECT')) END, false) items FROM m),
+ y0 AS (SELECT *, w IS NULL OR at_ IS NULL OR (starts AND NOT items) bad, CASE WHEN items THEN array_to_string(list_transform(list_filter(from_json(c, '[{"type":"VARCHAR","text":"VARCHAR"}]'), lambda i: i.type = 'text' AND regexp_replace(i.text, '\s+', '', 'g') <> ''), lambda i: i.text), chr(10)) WHEN NOT starts THEN c END t FROM x),
+ y AS (SELECT *, CASE WHEN regexp_replace(t, '\s+', '', 'g') <> '' THEN t END said FROM y0),
+ g AS (SELECT session, bool_or(bad) bad, count(*) FILTER (WHERE said IS NOT NULL AND w IN ('u', 'a')) n, arg_min(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said IS NOT NULL AND w IN ('u', 'a')) f,
+  arg_max(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said IS NOT NULL AND w IN ('u', 'a')) l FROM y GROUP BY 1)"""
+
 SQL = {
     "p1_found": f"SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a + b + c, {_WORST_FIRST}) p FROM ({_RANKS}) WHERE n >= 8) WHERE p = 1",
     "p1_leximin": f"SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_WORST_FIRST}) AS INTEGER) AS position FROM ({_RANKS})",
-    "p3_found": r"""WITH m AS (SELECT session, type, cwd, "timestamp" ts, message.role r, message.content c, min(row_id) row_id FROM finished WHERE trim(session) <> '' GROUP BY ALL),
- x AS (SELECT session, row_id, CASE WHEN lower(trim(r)) IN ('user', 'human') THEN 'u' WHEN lower(trim(r)) IN ('assistant', 'ai', 'model') THEN 'a' WHEN lower(trim(r)) IN ('system', 'developer') THEN 'x' END w, try_cast(trim(ts) AS TIMESTAMPTZ) at_,
-  coalesce(regexp_matches(c, '^\s*\[\s*\{'), false) items, coalesce(json_valid(c), false) valid, c FROM m),
- y AS (SELECT *, w IS NULL OR at_ IS NULL OR (items AND NOT valid) bad, CASE WHEN items AND valid THEN len(list_filter(from_json(c, '[{"type":"VARCHAR","text":"VARCHAR"}]'), lambda i: i.type = 'text' AND regexp_replace(i.text, '\s+', '', 'g') <> '')) > 0
-  WHEN items THEN false ELSE coalesce(regexp_replace(c, '\s+', '', 'g') <> '', false) END said FROM x),
- g AS (SELECT session, bool_or(bad) bad, count(*) FILTER (WHERE said AND w IN ('u', 'a')) n, arg_min(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said AND w IN ('u', 'a')) f,
-  arg_max(w, (coalesce(at_, TIMESTAMPTZ '9999-12-31'), row_id)) FILTER (WHERE said AND w IN ('u', 'a')) l FROM y GROUP BY 1)
- SELECT session FROM g WHERE bad OR n = 0 OR f = 'a' OR l = 'u'""",
+    "p3_found": f"WITH {_MESSAGES} SELECT session FROM g WHERE bad OR n = 0 OR f = 'a' OR l = 'u'",
+    "p3_turns": f"""WITH {_MESSAGES}, ok AS (SELECT session FROM g WHERE NOT (bad OR n = 0 OR f = 'a' OR l = 'u')), k AS (SELECT session, arg_min(cwd, (at_, row_id)) FILTER (WHERE cwd IS NOT NULL) known FROM y GROUP BY 1)
+ SELECT session AS conversation, CAST(row_number() OVER (PARTITION BY session ORDER BY at_, row_id) AS INTEGER) AS turn, CASE w WHEN 'u' THEN 'user' ELSE 'assistant' END speaker, said AS text, at_ AT TIME ZONE 'UTC' AS at, coalesce(cwd, known) cwd
+ FROM y JOIN ok USING (session) LEFT JOIN k USING (session) WHERE said IS NOT NULL AND w IN ('u', 'a')""",
+    "p3_linked": """WITH s AS (SELECT session, min(row_id) f FROM finished WHERE trim(session, ' ') <> '' GROUP BY 1), r AS (SELECT row_id, f % 10 = 0 l FROM finished JOIN s USING (session))
+ SELECT CASE WHEN l THEN 'all names' ELSE 'some names' END lost, count(*) AS rows, count(*) recovered FROM r WHERE l OR row_id % 3 = 0 GROUP BY 1""",
     "p4_found": rf"""WITH k AS (SELECT doc_id, t, count(*) k FROM ({_WORDS}) GROUP BY 1, 2), d AS (SELECT t, count(*) df FROM k GROUP BY 1),
  g AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) t FROM (SELECT doc_id, unnest(tags) x FROM documents)), e AS (SELECT t, count(*) df FROM g WHERE t <> '' GROUP BY 1)
  SELECT doc_id, t AS term FROM k JOIN d USING (t) WHERE k >= 4 AND df <= 3 UNION SELECT doc_id, t FROM g JOIN e USING (t) WHERE df <= 3""",
