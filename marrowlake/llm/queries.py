@@ -135,21 +135,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
     documents = table(spark, d, "documents")
-    return toxicity.toxicity(documents, toxicity.train(documents, table(spark, d, "review_labels")), ["doc_id", "source"])
+    model = toxicity.train(documents, table(spark, d, "review_labels"))
+    return toxicity.toxicity(documents, model, ["doc_id", "source"]), model.threshold
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).filter(F.col("toxicity") >= toxicity.THRESHOLD).select("doc_id")
+    scored, threshold = _scored(spark, d)
+    return scored.filter(F.col("toxicity") >= threshold).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
+    return _scored(spark, d)[0]
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.toxicity_rates(cut(_scored(spark, d).select("source", "toxicity")))
+    scored, threshold = _scored(spark, d)
+    return toxicity.toxicity_rates(cut(scored.select("source", "toxicity")), threshold=threshold)
 
 
 QUERIES = {

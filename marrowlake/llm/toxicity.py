@@ -2,7 +2,8 @@
 
 Masked spellings are restored by a noisy channel: the characters of a suspicious token span a lattice (look-alikes, separators,
 repeated letters, wildcards); the likeliest known word through it, under a character language model of the corpus, is found by walking a trie. The restored passages are scored by a logistic
-regression, fitted on documents that people judged, with the passage as the unit: a document is as bad as its worst passage.
+regression, fitted on documents that people judged, with the passage as the unit: a document is as bad as its worst passage. What speaks for the class are words that a test finds more
+frequent in documents judged toxic than in the corpus, and a short prior list; a passage without any of them has the model's base probability.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ FIT_DOCUMENTS = 4_000
 ORDER = 4
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöœùúûüß"
 BUCKETS = 1 << 19
-THRESHOLD = 0.4
+#: The decision where fewer than LEAST_TOXIC documents were judged toxic; with more it is found by cross-validation over FOLDS parts of the judged documents.
+THRESHOLD, LEAST_TOXIC, FOLDS = 0.5, 20, 5
 
 # fixed values: characters that stand for letters in masked words; * may be any letter
 LOOK_ALIKES = {"@": "a", "4": "a", "3": "e", "€": "e", "1": "il", "!": "il", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z", "*": LETTERS}
@@ -189,20 +191,28 @@ class Classifier:
     triggers: frozenset[str]
     chars: CharModel
 
+    threshold: float = THRESHOLD
+
+    @property
+    def base(self) -> float:
+        """The probability of a passage without evidence."""
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias))))
+
     def score(self, words: list[str]) -> float:
-        """Probability; 0 without any trigger word."""
+        """The probability of a passage."""
         if self.triggers.isdisjoint(words):
-            return 0.0
+            return self.base
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + float(self.weights[features(words)].sum())))))
 
     def document(self, text: str | None) -> tuple[float, str | None]:
-        """(score, passage) of the worst passage of the whole text; (0, None) for null, empty and harmless texts."""
+        """(score, passage) of the worst passage of the whole text; its evidence may be masked. (0, None) for null and empty texts, (base, None) for texts without evidence."""
         if not text:
             return 0.0, None
-        if not may_be_masked(plain(text)) and self._bytes().isdisjoint(byte_words(text.lower().encode("utf-8", "replace"))):
-            return 0.0, None
-        best = (0.0, None)
-        for p in passages(text):
+        p = plain(text)
+        if self._bytes().isdisjoint(byte_words(p.lower().encode("utf-8", "replace"))) and (not may_be_masked(p) or restore(p, self.chars, self.triggers) == p):
+            return self.base, None
+        best = (self.base, None)
+        for p in PASSAGE.split(p):
             q = restore(p, self.chars, self.triggers) if may_be_masked(p) else p
             s = self.score(WORD.findall(q.lower()))
             if s > best[0]:
@@ -250,115 +260,279 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def char_model(words: DataFrame) -> CharModel:
     """The character model of all words of LETTERS, each weighted by the logarithm of its frequency."""
-    w = words.filter(F.col("word").rlike(f"^[{LETTERS}]+$") & (F.length("word") <= 40)).select(F.concat(F.lit("^" * (ORDER - 1)), "word", F.lit("$")).alias("w"), F.ceil(F.log2(F.col("n") + 1)).cast("long").alias("n"))
+    w = words.filter(F.col("word").rlike(f"^[{LETTERS}]+$")).select(F.concat(F.lit("^" * (ORDER - 1)), "word", F.lit("$")).alias("w"), F.ceil(F.log2(F.col("n") + 1)).cast("long").alias("n"))
     grams = F.explode(F.flatten(F.transform(F.sequence(F.lit(ORDER), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda k: F.substring(F.col("w"), i - k + 1, k)))))
     counted = w.select(grams.alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
     return CharModel({r["g"]: r["n"] for r in counted.collect()})
 
 
-def judged(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> list[tuple[str, float]]:
-    """(text, share of raters that found it toxic) of up to most judged documents, by smallest hash of doc_id."""
+def verdicts(labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
+    """(doc_id, share): the share of raters that found a document toxic, of up to most documents by smallest hash; a rater's last word counts."""
     votes = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "rater", "toxic", "rated_at").distinct()
     votes = votes.groupBy("doc_id", "rater").agg(F.max_by("toxic", F.struct(F.coalesce("rated_at", F.lit("1970-01-01").cast("timestamp")), "toxic")).alias("toxic")).groupBy("doc_id").agg(F.avg("toxic").alias("share"))
-    votes = votes.orderBy(F.xxhash64("doc_id")).limit(most)
-    return [(r["text"], r["share"]) for r in documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(votes), "doc_id").select("text", "share").collect()]  # at most `most` rows
+    return votes.orderBy(F.xxhash64("doc_id")).limit(most)
+
+
+def judged_texts(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
+    """(doc_id, text, share) of the judged documents that have a text."""
+    return documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(verdicts(labels, most)), "doc_id").select("doc_id", "text", "share")  # at most `most` votes
+
+
+def judged(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> list[tuple[str, float]]:
+    """judged_texts on the driver, for small texts; train() leaves texts where they are."""
+    return [(r["text"], r["share"]) for r in judged_texts(documents, labels, most).select("text", "share").collect()]
+
+
+def heard(text: str, chars: CharModel, known: frozenset[str]) -> list[list[str]]:
+    """The words of each passage, masked ones restored."""
+    return [WORD.findall((restore(p, chars, known) if may_be_masked(p) else p).lower()) for p in passages(text)]
+
+
+def fold_of(text: str) -> int:
+    return xxhash.xxh32_intdigest(text) % FOLDS
+
+
+@dataclass
+class Example:
+    """A judged document: its passages with evidence, how many others it has, and the fold it is held out in."""
+
+    toxic: bool
+    passages: list[list[str]]
+    others: int
+    fold: int
 
 
-def fit(rows: list[tuple[str, float]], chars: CharModel, corpus: dict[str, int], documents: int, rounds: int = 3, steps: int = 200) -> Classifier:
-    """Logistic regression over passages by alternation: the worst passage of a document judged toxic stands for it, all passages of others are clean.
+@dataclass
+class Counted:
+    """By word: in how many judged documents of each fold and class it occurs (folds x 2, toxic last), and how often in the corpus."""
+
+    seen: dict[str, np.ndarray]
+    documents_of: np.ndarray
+    corpus: dict[str, int]
+    documents: int
+
+    def evidence(self, without: int | None = None) -> tuple[frozenset[str], dict[str, float]]:
+        """(words that speak for the class, log odds of those that were learned), by all folds but one.
 
-    Weights are drawn towards a prior that knows OFFENSIVE words, so few judgements suffice to start from. corpus holds the number of
-    occurrences of words in all documents: a word may speak for the class only if it is LIFT times as frequent in toxic documents as in
-    the corpus, a pair only with such a word in it. Those words are the triggers. Words and pairs of a single judged document are not learned.
+        A word is learned if it occurs in toxic documents LIFT times as often as in the corpus and a binomial test says that less than one word
+        would by chance. A word of OFFENSIVE counts unless the judged documents speak against it.
+        """
+        use = np.ones(FOLDS, bool)
+        if without is not None:
+            use[without] = False
+        toxic = int(self.documents_of[use, 1].sum())
+        rate = lambda w: min(1.0, (self.corpus.get(w, 0) + 1) / max(self.documents, 1))
+        n = {w: int(c[use, 1].sum()) for w, c in self.seen.items() if len(w) > 2}
+        n = {w: k for w, k in n.items() if k}
+        odds = {}
+        for w, k in n.items():
+            if k > 1 and (k - 1) / toxic >= LIFT * rate(w) and log_tail(k, toxic, rate(w)) <= -math.log(len(n)):
+                odds[w] = math.log(k / toxic / rate(w))
+        known = {w for w in OFFENSIVE if w not in self.seen or not self.seen[w][use].sum() or (n.get(w, 0) + 0.5) / max(1, toxic) >= LIFT * rate(w)}
+        return frozenset(odds) | known, odds
+
+
+    def clean_weight(self, odds: dict[str, float]) -> float:
+        """How many documents of the corpus a judged clean one stands for, against a toxic one.
+
+        People are shown more toxic documents than the corpus holds. A word that only toxic documents use is 1 / prevalence times as frequent in them as in the corpus, so
+        the lift of the strongest tenth of what was learned tells the prevalence. 1 with fewer than 10 learned words.
+        """
+        toxic, clean = int(self.documents_of[:, 1].sum()), int(self.documents_of[:, 0].sum())
+        if len(odds) < 10 or not toxic or not clean:
+            return 1.0
+        lift = math.exp(float(np.quantile(list(odds.values()), 0.9)))
+        return max(1.0, (lift - 1) * toxic / clean)
+
+
+def log_tail(k: int, n: int, p: float) -> float:
+    """ln P(X >= k) of a binomial distribution."""
+    if p >= 1 or k <= 0:
+        return 0.0
+    term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, t, x = 1.0, 1.0, k
+    while x < n and t > total * 1e-12:
+        t *= (n - x) / (x + 1) * p / (1 - p)
+        total += t
+        x += 1
+    return min(0.0, term + math.log(total))
+
+
+def regression(examples: list[Example], triggers: frozenset[str], odds: dict[str, float], clean_weight: float = 1.0, rounds: int = 3, steps: int = 200) -> tuple[dict[str, float], float]:
+    """(weights of words and pairs, bias) by alternation: the worst passage of a document judged toxic stands for it, all passages of others are clean.
+
+    Weights are drawn towards a prior that knows OFFENSIVE words. Only words that speak for the class and pairs with one may weigh for it. Words and pairs of a single judged
+    document are not learned. Passages without evidence count by their number, clean ones clean_weight times.
     """
     known = frozenset(OFFENSIVE)
-    words_of: list[list[list[str]]] = []
-    for t, _ in rows:
-        words_of.append([WORD.findall((restore(p, chars, known) if may_be_masked(p) else p).lower()) for p in passages(t)])
-    toxic = np.array([s >= 0.5 for _, s in rows], bool)
-    in_toxic: Counter[str] = Counter()
-    in_any: Counter[str] = Counter()
-    for t, ps in zip(toxic, words_of):
-        here = {w for p in ps for w in p}
-        in_any.update(here)
-        if t:
-            in_toxic.update(here)
-    rate = lambda w: (corpus.get(w, 0) + 1) / max(documents, 1)
-    # one document less than counted, so that two chance meetings do not make a word speak for the class
-    lifted = {w for w, n in in_toxic.items() if len(w) > 2 and n > 1 and (n - 1) / max(1, toxic.sum()) >= LIFT * rate(w)}
-    triggers = lifted | {w for w in known if not in_any[w] or (in_toxic[w] + 0.5) / max(1, toxic.sum()) >= LIFT * rate(w)}
-
     ids: dict[str, int] = {}
     seen_in: Counter[str] = Counter()
     grams_of: list[tuple[int, set[str]]] = []
-    for d, ps in enumerate(words_of):
+    rest = 0
+    for d, e in enumerate(examples):
         mine: set[str] = set()
-        for p in ps:
-            if p:
-                grams = {*p, *(f"{a} {b}" for a, b in zip(p, p[1:]))}
-                grams_of.append((d, grams))
-                mine |= grams
+        kept = [p for p in e.passages if not triggers.isdisjoint(p)]
+        rest += 0 if e.toxic else e.others + len(e.passages) - len(kept)
+        for p in kept:
+            grams = {*p, *(f"{a} {b}" for a, b in zip(p, p[1:]))}
+            grams_of.append((d, grams))
+            mine |= grams
         seen_in.update(mine)
-    for g, n in seen_in.items():
-        if n > 1 or g in known:
+    for g in sorted(seen_in):
+        if seen_in[g] > 1 or g in known:
             ids[g] = len(ids)
-    index_of = [np.fromiter((ids[g] for g in gs if g in ids), np.int64) for _, gs in grams_of]
+    index_of = [np.fromiter(sorted(ids[g] for g in gs if g in ids), np.int64) for _, gs in grams_of]
     doc = np.array([d for d, _ in grams_of], np.int64)
     row = np.repeat(np.arange(len(index_of)), [len(i) for i in index_of])
     index = np.concatenate(index_of) if index_of else np.zeros(0, np.int64)
     n, size = len(index_of), len(ids)
-    prior = np.zeros(size)
-    may_rise = np.zeros(size, bool)
+    prior, may_rise, lift = np.zeros(size), np.zeros(size, bool), np.zeros(size)
     for g, i in ids.items():
         may_rise[i] = not triggers.isdisjoint(g.split(" "))
         prior[i] = PRIOR_WEIGHT if g in known and g in triggers else 0.0
+        lift[i] = odds.get(g, 0.0)
     top = np.where(may_rise, 8.0, 0.0)
-    odds = np.zeros(size)
-    for w in lifted:
-        if w in ids:
-            odds[ids[w]] = math.log(in_toxic[w] / max(1, toxic.sum()) / rate(w))
     w, bias = prior.copy(), PRIOR_BIAS
-    score = np.bincount(row, weights=np.maximum(odds, prior)[index], minlength=n) if len(index) else np.zeros(n)
-    clean = ~toxic[doc] if n else np.zeros(0, bool)
+    score = np.bincount(row, weights=np.maximum(lift, prior)[index], minlength=n) if len(index) else np.zeros(n)
+    clean = ~np.array([e.toxic for e in examples], bool)[doc] if n else np.zeros(0, bool)
     m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     for _ in range(rounds if len(index) else 0):
         order = np.lexsort((score, doc))
         worst = np.zeros(n, bool)
         worst[order[np.append(doc[order][1:] != doc[order][:-1], True)]] = True
         y = (worst & ~clean).astype(float)
-        weight = np.maximum(y, clean)
-        weight /= weight.sum()
+        weight = np.maximum(y, clean * clean_weight)
+        total = weight.sum() + rest * clean_weight
         for _ in range(steps):
             t += 1
             z = bias + np.bincount(row, weights=w[index], minlength=n)
-            g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            g = weight / total * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
             gw = np.bincount(index, weights=g[row], minlength=size) + PENALTY * (w - prior)
-            gb = g.sum()
+            gb = g.sum() + rest * clean_weight / total / (1 + math.exp(-max(-30.0, min(30.0, bias))))
             m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             w = np.minimum(w - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7), top)
             bias -= 0.08 * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-7)
         score = bias + np.bincount(row, weights=w[index], minlength=n)
+    return {**{g: PRIOR_WEIGHT for g in known & triggers}, **{g: float(w[i]) for g, i in ids.items()}}, float(bias)
+
+
+def held_out(examples: list[Example], counted: Counted) -> tuple[np.ndarray, np.ndarray]:
+    """(score, judged toxic) of every example by a model of the other folds."""
+    scores = np.zeros(len(examples))
+    for f in range(FOLDS):
+        triggers, odds = counted.evidence(f)
+        weights, bias = regression([e for e in examples if e.fold != f], triggers, odds, counted.clean_weight(odds))
+        for i, e in enumerate(examples):
+            if e.fold == f:
+                zs = [sum(weights.get(g, 0.0) for g in {*p, *(f"{a} {b}" for a, b in zip(p, p[1:]))}) for p in e.passages if not triggers.isdisjoint(p)]
+                scores[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + max([0.0, *zs])))))
+    return scores, np.array([e.toxic for e in examples], bool)
+
+
+def best_threshold(scores: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The middle of the thresholds of greatest F1 that lie side by side, clean documents counting clean_weight times; THRESHOLD where too few are toxic."""
+    if toxic.sum() < LEAST_TOXIC:
+        return THRESHOLD
+    grid = 1 / (1 + np.exp(-np.linspace(-5, 5, 201)))
+    found = scores[None, :] >= grid[:, None]
+    hit = (found & toxic).sum(1)
+    wrong = (found & ~toxic).sum(1) * clean_weight
+    f1 = 2 * hit / np.maximum(1, hit + wrong + toxic.sum())
+    at = first = int(f1.argmax())
+    while at + 1 < len(grid) and f1[at + 1] == f1[first]:
+        at += 1
+    return float(math.sqrt(grid[first] * grid[at]))
+
+
+def assembled(examples: list[Example], counted: Counted, chars: CharModel) -> Classifier:
+    triggers, odds = counted.evidence()
+    share = counted.clean_weight(odds)
+    made, bias = regression(examples, triggers, odds, share)
     weights = np.zeros(BUCKETS, np.float32)
-    for word in known & triggers:
-        weights[features([word])] = PRIOR_WEIGHT
-    for g, i in ids.items():
-        weights[features([g]) if " " not in g else pair_feature(g)] = w[i]
-    return Classifier(weights, float(bias), frozenset(triggers), chars)
+    for g in sorted(made):
+        weights[pair_feature(g)] = made[g]
+    enough = sum(e.toxic for e in examples) >= LEAST_TOXIC
+    return Classifier(weights, bias, triggers, chars, best_threshold(*held_out(examples, counted), share) if enough else THRESHOLD)
+
+
+def fit(rows: list[tuple[str, float]], chars: CharModel, corpus: dict[str, int], documents: int) -> Classifier:
+    """The classifier of judged texts (text, share of raters that found it toxic) on the driver; corpus holds the occurrences of words in all documents."""
+    known = frozenset(OFFENSIVE)
+    texts = [(heard(t, chars, known), s >= 0.5, fold_of(t)) for t, s in rows]
+    seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((FOLDS, 2), np.int64))
+    per = np.zeros((FOLDS, 2), np.int64)
+    for ps, toxic, fold in texts:
+        per[fold, int(toxic)] += 1
+        for w in {w for p in ps for w in p}:
+            seen[w][fold, int(toxic)] += 1
+    counted = Counted(dict(seen), per, corpus, documents)
+    wanted = _candidates(counted)
+    examples = []
+    for (t, s), (_, toxic, fold) in zip(rows, texts):
+        ps = heard(t, chars, wanted)
+        kept = [p for p in ps if not wanted.isdisjoint(p)]
+        examples.append(Example(toxic, kept, len(ps) - len(kept), fold))
+    return assembled(examples, counted, chars)
+
+
+def _candidates(counted: Counted) -> frozenset[str]:
+    """The words that speak for the class in the whole or without one of the folds."""
+    return frozenset().union(*(counted.evidence(f)[0] for f in (None, *range(FOLDS))))
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Classifier:
-    """The classifier for these documents: character model and word rates of all of them, judgements of up to `most`."""
+    """The classifier for these documents: character model and word rates of all of them, judgements of up to `most`.
+
+    Judged texts stay on the executors: what comes to the driver are counts of words that occur in two documents judged toxic or are OFFENSIVE, and the passages that hold a word
+    that speaks for the class.
+    """
+    spark = documents.sparkSession
     counts = through_table(word_counts(documents), "words")
-    rows = judged(documents, labels, most)
-    mine = sorted({w for t, _ in rows for w in WORD.findall(t.lower())} | set(OFFENSIVE))
-    wanted = documents.sparkSession.createDataFrame([(w,) for w in mine], "word string")  # the words of at most `most` documents
-    corpus = {r["word"]: r["n"] for r in counts.join(wanted, "word").collect()}
-    return fit(rows, char_model(counts), corpus, documents.count())
+    chars = char_model(counts)
+    shared = spark.sparkContext.broadcast(chars)  # n-grams of LETTERS
+    texts = through_table(judged_texts(documents, labels, most).select("text", "share"), "judged")
+    known = frozenset(OFFENSIVE)
+
+    def per_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(w, fold_of(t), int(s >= 0.5)) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {w for p in heard(t, shared.value, known) for w in p}]
+            out += [("", fold_of(t), int(s >= 0.5)) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            w, f, y = zip(*out) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(f, pa.int32()), pa.array(y, pa.int32())], names=["word", "fold", "toxic"])
+
+    cells = texts.mapInArrow(per_word, "word string, fold int, toxic int").groupBy("word").agg(*(F.count_if((F.col("fold") == f) & (F.col("toxic") == y)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)))
+    toxic = sum((F.col(f"n{f}1") for f in range(FOLDS)), F.lit(0))
+    cells = cells.join(counts, "word", "left").filter((toxic > 0) | F.col("word").isin(sorted(known)) | (F.col("word") == ""))
+    seen, corpus, per = {}, {}, np.zeros((FOLDS, 2), np.int64)
+    for r in cells.collect():  # words of at most `most` documents judged toxic
+        grid = np.array([[r[f"n{f}{y}"] for y in (0, 1)] for f in range(FOLDS)], np.int64)
+        if r["word"]:
+            seen[r["word"]], corpus[r["word"]] = grid, r["n"] or 0
+        else:
+            per = grid
+    for r in counts.filter(F.col("word").isin(sorted(known - corpus.keys()))).collect():
+        corpus[r["word"]] = r["n"]
+    counted = Counted(seen, per, corpus, documents.count())
+    wanted = _candidates(counted)
+
+    def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ps = heard(t, shared.value, wanted)
+                kept = [" ".join(p) for p in ps if not wanted.isdisjoint(p)]
+                rows.append((s >= 0.5, kept, len(ps) - len(kept), fold_of(t)))
+            y, p, o, f = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.bool_()), pa.array(p, pa.list_(pa.string())), pa.array(o, pa.int64()), pa.array(f, pa.int32())], names=["toxic", "passages", "others", "fold"])
+
+    got = texts.mapInArrow(per_text, "toxic boolean, passages array<string>, others long, fold int").collect()
+    examples = sorted((Example(r["toxic"], [p.split(" ") for p in r["passages"]], r["others"], r["fold"]) for r in got), key=lambda e: (e.fold, e.toxic, e.passages))
+    return assembled(examples, counted, chars)
 
 
 def toxicity(documents: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep with toxicity (0 .. 1, of the worst passage) and that passage. Null and empty texts score 0. One pass, no shuffle."""
+    """The columns keep with toxicity (0 .. 1, of the worst passage) and that passage. Null and empty texts score 0, texts without evidence the model's base. One pass, no shuffle."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, the n-grams of words of LETTERS

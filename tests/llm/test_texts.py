@@ -266,3 +266,24 @@ def test_chunks_are_cleaned(spark, small):
     assert len(got) == chunks.count() and {(r["doc_id"], r["ord"]) for r in got if r["residue"]} == flagged != set()
     text = {r["id"]: r["text"] for r in chunks.select("id", "text").collect()}
     assert all(r["clean"] == (markup.clean(text[r["id"]]) if r["residue"] else text[r["id"]]) for r in got)
+
+
+def test_threshold_and_prevalence_come_from_the_judged_documents():
+    import numpy as np
+
+    scores, toxic = np.array([0.9, 0.8, 0.7, 0.2, 0.1] * 10), np.array([True, True, True, False, False] * 10)
+    assert 0.2 < toxicity.best_threshold(scores, toxic) <= 0.7 and toxicity.best_threshold(scores[:5], toxic[:5]) == toxicity.THRESHOLD
+    per = np.zeros((toxicity.FOLDS, 2), np.int64)
+    per[0] = 400, 100
+    seen = {f"bad{chr(97 + i)}": np.array([[0, 10]] + [[0, 0]] * 4) for i in range(12)} | {"common": np.array([[300, 80]] + [[0, 0]] * 4)}
+    c = toxicity.Counted(seen, per, {**{f"bad{chr(97 + i)}": 19 for i in range(12)}, "common": 9000}, 10_000)
+    words, odds = c.evidence()
+    assert "bada" in words and "common" not in words and set(odds) == set(seen) - {"common"}
+    assert 10 < c.clean_weight(odds) < 14  # words fifty times as frequent in toxic documents: two in a hundred are toxic, a fifth of the judged
+    assert abs(toxicity.log_tail(1, 3, 0.5) - np.log(0.875)) < 1e-12 and toxicity.log_tail(0, 3, 0.5) == 0.0
+
+
+def test_scores_without_a_gate():
+    m = untaught()
+    clean, blank = m.document("We merged the change."), m.document("")
+    assert 0 < clean[0] == m.base < toxicity.THRESHOLD and blank == (0.0, None)
