@@ -32,7 +32,7 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.5
 
 WORD = re.compile(r"[^\W_][\w!|¢†$@€£]*[\w¢†$@€£]|[^\W\d_]")
 CODE = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`|https?://\S+")
-BREAK = re.compile(r"([^\W\d_¢†]+[^\W_]*)[-¬­‐][ \t]*\n[ \t]*([^\W\d_][\w¢†!|]*)")
+BREAK = re.compile(r"([^\W\d_¢†]+[^\W_]*)[-¬­‐][ \t]*\n[ \t]*([^\W\d_][\w¢†!|]*(?:-[^\W\d_]\w*)*)")
 
 
 def unbroken(text: str) -> str:
@@ -51,14 +51,9 @@ def has_sign(word: str) -> bool:
 
 
 def candidates(word: str) -> list[tuple[str, float]]:
-    """(what the word may have been, log probability of the confusion), without the word itself."""
+    """(what a word without signs may have been, log probability of the confusion), without the word itself: one confusion of letters."""
     found: dict[str, float] = {}
-    if has_sign(word):
-        forms = [("", 0.0)]
-        for c in word:
-            forms = [(f + r, p + (math.log(P_CONFUSION) if c in SIGNS else 0)) for f, p in forms for r in SIGNS.get(c, [c])][:32]
-        found = {f: p for f, p in forms if f.isalpha()}
-    elif len(word) >= 3:
+    if len(word) >= 3 and not has_sign(word):
         for bad, good in LETTERS:
             at = word.find(bad)
             while at >= 0:
@@ -68,6 +63,34 @@ def candidates(word: str) -> list[tuple[str, float]]:
     return list(found.items())
 
 
+def readings(word: str) -> list[str]:
+    """The places of a word as what may stand there: a sign has the letters it is read for, another character itself. A lattice, never its paths."""
+    return [SIGNS.get(c, [c]) for c in word]
+
+
+def confusions(word: str, was: str) -> int | None:
+    """The fewest confusions by which `was` is read as `word`, None if there is no way: signs by the lattice of the word, and letters beside them."""
+    if len(was) > 2 * len(word) + 2:
+        return None
+    places = readings(word)
+    best: dict[tuple[int, int], int] = {(0, 0): 0}
+    for i in range(len(word) + 1):
+        for j in range(len(was) + 1):
+            n = best.get((i, j))
+            if n is None:
+                continue
+            if i < len(word):
+                for o in places[i]:
+                    if was.startswith(o, j):
+                        to, cost = (i + 1, j + len(o)), n + (word[i] in SIGNS)
+                        best[to] = min(best.get(to, cost), cost)
+            for bad, good in LETTERS:
+                if word.startswith(bad, i) and was.startswith(good, j):
+                    to, cost = (i + len(bad), j + len(good)), n + 1
+                    best[to] = min(best.get(to, cost), cost)
+    return best.get((len(word), len(was)))
+
+
 def pages_once(pages: DataFrame) -> DataFrame:
     """(doc_id, number, markdown): each page once; of differing rows the largest text counts. Empty pages are left out."""
     p = pages.filter(F.regexp_replace("markdown", r"\s+", "") != "")
@@ -88,11 +111,39 @@ def skeleton(line: Column) -> Column:
     """The line without a page number at either end, with everything that is confused with one another made equal."""
     s = F.lower(F.regexp_replace(F.regexp_replace(line, r"^[\W_]*[0-9]{1,5}[\W_]{2,}", ""), r"[\W_]{2,}[0-9]{1,5}[\W_]*$", ""))
     s = F.regexp_replace(s, r"\b(page|seite|página)\s+[0-9]+\b", "")
+    return F.regexp_replace(folded(s), r"[^\p{L}]+", " ")
+
+
+def folded(s: Column) -> Column:
+    """Lower-case text with everything that is confused with one another made equal."""
     for bad, good in (("rn", "m"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("cl", "d")):
         s = F.replace(s, F.lit(bad), F.lit(good))
     s = F.translate(s, "01569!|¢†c8$@€il", "olsbgllete" + "bsaell")
-    s = F.translate(s, "bc", "he")
-    return F.regexp_replace(s, r"[^\p{L}]+", " ")
+    return F.translate(s, "bc", "he")
+
+
+#: One letter for the letters and signs of a class: what a sign may stand for falls together with it.
+SIGN_CLASS = {"l": "i", "c": "e"} | {c: {"l": "i", "c": "e"}.get(r[0], r[0]) for c, r in SIGNS.items() if len(r[0]) == 1}
+LIGATURES = {c: r[0] for c, r in SIGNS.items() if len(r[0]) > 1}
+
+
+def word_key(word: Column) -> Column:
+    """What a word and everything that its signs may be read as have in common: ligatures spelt out, each sign and the letters it is read for made one letter."""
+    s = word
+    for c, letters in LIGATURES.items():
+        s = F.replace(s, F.lit(c), F.lit(letters))
+    return F.translate(s, "".join(SIGN_CLASS), "".join(SIGN_CLASS.values()))
+
+
+def variants(word: str) -> set[str]:
+    """A word with signs as it is, and with one confusion of its letters undone."""
+    out = {word}
+    for bad, good in LETTERS:
+        at = word.find(bad)
+        while at >= 0:
+            out.add(word[:at] + good + word[at + len(bad) :])
+            at = word.find(bad, at + 1)
+    return out
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
@@ -128,45 +179,78 @@ def furniture(pages: DataFrame) -> DataFrame:
 # ---- broken words ----
 
 
-def broken_words(pages: DataFrame) -> DataFrame:
-    """(doc_id, number) of pages that break a word across lines.
+FOUND_BREAK = re.compile(r"((?:[^\W\d_]|[¢†])+)[-¬­‐][ \t]*\n[ \t]*((?:[^\W\d_]|[¢†])+)")
+COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
+
 
-    A word divided by a plain hyphen is taken for a compound only where the corpus writes the compound more often than the joined word.
+def compound_pairs(text: str) -> list[str]:
+    """Neighbouring parts of the words with hyphens of a text: "state-of-art" has state-of and of-art."""
+    return [f"{a}-{b}" for m in COMPOUND.finditer(text) for ps in (m.group().lower().split("-"),) for a, b in zip(ps, ps[1:])]
+
+
+def judged_breaks(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(l, r, compound) of every pair of word halves that a line break divides, from lines() and the counts of words.
+
+    A word divided by a plain hyphen is taken for a compound only where the corpus writes the compound more often than the joined word; the breaks themselves, which are
+    counted as joined words, say nothing. Pairs are counted first.
     """
-    pair = r"(?s)([\p{L}¢†]+)[-¬­‐][ \t]*\n[ \t]*([\p{L}¢†]+)"
-    plain = F.regexp_replace("markdown", r"(?s)```.*?(```|\z)|`[^`\n]*`", " ")
-    found = pages.select("doc_id", "number", F.explode(F.regexp_extract_all(plain, F.lit(r"[\p{L}¢†]+[-¬­‐][ \t]*\n[ \t]*[\p{L}¢†]+"), 0)).alias("b"))
-    found = found.select("doc_id", "number", F.lower(F.regexp_extract("b", pair, 1)).alias("l"), F.lower(F.regexp_extract("b", pair, 2)).alias("r"))
-    compounds = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(r"(?<![\p{L}-])\p{L}+-\p{L}+(?![\p{L}-])"), 0)).alias("c")).groupBy("c").agg(F.count("*").alias("n_compound"))
-    both = found.withColumn("c", F.concat_ws("-", "l", "r")).join(compounds, "c", "left").withColumn("joined", F.concat("l", "r"))
-    doubt = both.filter("n_compound is not null")
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}+"), 0)).alias("joined")).groupBy("joined").agg(F.count("*").alias("n_word"))
-    cleared = doubt.join(words, "joined", "left").filter("coalesce(n_word, 0) >= n_compound").select("doc_id", "number")
-    return both.filter("n_compound is null").select("doc_id", "number").unionByName(cleared).distinct()
+    pairs = rows.select(F.explode("breaks").alias("b")).groupBy(F.col("b.l").alias("l"), F.col("b.r").alias("r")).agg(F.count("*").alias("n_break"))
+    compounds = rows.select(F.explode("compounds").alias("c")).groupBy("c").agg(F.count("*").alias("n_compound"))
+    both = pairs.withColumn("c", F.concat_ws("-", "l", "r")).withColumn("joined", F.concat("l", "r")).join(compounds, "c", "left")
+    own = both.groupBy("joined").agg(F.sum("n_break").alias("own"))
+    both = both.join(own, "joined").join(vocabulary.select(F.col("word").alias("joined"), F.col("n").alias("n_word")), "joined", "left")
+    free = F.coalesce("n_word", F.lit(0)) - F.col("own")
+    return both.select("l", "r", (F.coalesce("n_compound", F.lit(0)) > F.greatest(free, F.lit(0))).alias("compound"))
+
+
+def broken_words(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, number) of pages that break a word across lines, from lines() and the counts of words."""
+    at = rows.select("doc_id", "number", F.explode("breaks").alias("b")).select("doc_id", "number", "b.l", "b.r")
+    return at.join(judged_breaks(rows, vocabulary).filter("not compound"), ["l", "r"]).select("doc_id", "number").distinct()
 
 
 # ---- misrecognised characters ----
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, number, line, words) of every line that has words."""
+    """(doc_id, number, line, words, breaks, compounds) of every line that has words: the one pass over the texts.
+
+    breaks are the halves (l, r) of words that the page breaks across lines and compounds its words with a hyphen, both in lower case and on the page's first row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                rows = [(d, n, k, ws) for d, n, t in zip(*(c.to_pylist() for c in part.columns)) for k, ws in enumerate(line_words(t)) if ws]
-                d, n, k, ws = zip(*rows) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(ws, pa.list_(pa.string()))], names=["doc_id", "number", "line", "words"])
-
-    return pages.select(F.col("doc_id").cast("long"), F.col("number").cast("int"), "markdown").mapInArrow(run, "doc_id long, number int, line int, words array<string>")
+                rows = []
+                for d, n, t in zip(*(c.to_pylist() for c in b.slice(i, 512).columns)):
+                    plain = CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), t)
+                    broken = [{"l": m.group(1).lower(), "r": m.group(2).lower()} for m in FOUND_BREAK.finditer(plain)] if "\n" in plain else []
+                    hyphened = compound_pairs(plain) if "-" in plain else []
+                    mine = [(d, n, k, ws, [], []) for k, ws in enumerate(line_words(t)) if ws] or ([(d, n, 0, [], [], [])] if broken or hyphened else [])
+                    if mine:
+                        mine[0] = (*mine[0][:4], broken, hyphened)
+                    rows += mine
+                d, n, k, ws, br, co = zip(*rows) if rows else ((),) * 6
+                cols = [pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(ws, pa.list_(pa.string())), pa.array(br, halves), pa.array(co, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "number", "line", "words", "breaks", "compounds"])
+
+    schema = "doc_id long, number int, line int, words array<string>, breaks array<struct<l:string,r:string>>, compounds array<string>"
+    return pages.select(F.col("doc_id").cast("long"), F.col("number").cast("int"), "markdown").mapInArrow(run, schema)
+
+
+def read_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, counts of words) of pages, both kept in the shared folder."""
+    rows = through_table(lines(pages), "lines")
+    return rows, through_table(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
 
 
 def suspects(vocabulary: DataFrame) -> DataFrame:
-    """(word, states): words that may be misread, with what they may have been: array of (word, count, log probability).
+    """(word, n, states): words that may be misread, with what they may have been: array of (word, count, log probability).
 
-    vocabulary: (word, n). A candidate must occur. A word without signs is suspect only if the candidate is so frequent that
-    P_CONFUSION of it reach the word's own count less one.
+    vocabulary: (word, n). A candidate must occur. Words with signs, as they are and with one confusion of letters undone, are joined to the words without by word_key, so any number
+    of signs costs no enumeration; confusions() then counts. A word without signs is suspect only if the candidate is so frequent that P_CONFUSION of it reach the word's own
+    count less one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,52 +259,58 @@ def suspects(vocabulary: DataFrame) -> DataFrame:
             w, n, c, p = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(p, pa.float64())], names=["word", "n", "was", "logp"])
 
-    made = vocabulary.mapInArrow(run, "word string, n long, was string, logp double")
-    known = vocabulary.select(F.col("word").alias("was"), F.col("n").alias("n_was"))
+    def varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, n, v) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for v in sorted(variants(w))]
+            w, n, v = zip(*rows) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(v, pa.string())], names=["word", "n", "variant"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, n, c, m, k * math.log(P_CONFUSION)) for w, n, c, m in zip(*(x.to_pylist() for x in b.columns)) if (k := confusions(w, c))]
+            w, n, c, m, p = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.string()), pa.array(m, pa.int64()), pa.array(p, pa.float64())], names=["word", "n", "was", "n_was", "logp"])
+
     sign = F.col("word").rlike("[" + "".join(SIGNS) + "]")
-    kept = made.join(known, "was").filter(sign | (F.col("n_was") * P_CONFUSION > F.col("n") - 1))
-    return kept.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("was", "n_was", "logp")).alias("states"))  # a word has few confusions
+    plain = vocabulary.filter(~sign)
+    made = plain.mapInArrow(run, "word string, n long, was string, logp double")
+    known = plain.select(F.col("word").alias("was"), F.col("n").alias("n_was"))
+    kept = made.join(known, "was").filter(F.col("n_was") * P_CONFUSION > F.col("n") - 1).select("word", "n", "was", "n_was", "logp")
+    odd = vocabulary.filter(sign & F.col("word").rlike(r"\p{L}.*\p{L}")).mapInArrow(varied, "word string, n long, variant string")
+    odd = odd.select("word", "n", word_key(F.col("variant")).alias("key"))
+    even = known.filter(F.col("was").rlike(r"^\p{L}+$")).select("was", "n_was", word_key(F.col("was")).alias("key"))
+    signs = odd.join(even, "key").select("word", "n", "was", "n_was").distinct().mapInArrow(counted, "word string, n long, was string, n_was long, logp double")
+    return kept.unionByName(signs).groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("was", "n_was", "logp")).alias("states"))  # a word has few confusions
 
 
-def corrections(pages: DataFrame) -> DataFrame:
-    """(doc_id, number, line, position, word, was): the words that the decoding of their line replaces.
+def corrections(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, number, line, position, word, was): the words that the decoding of their line replaces. rows and vocabulary as read_lines() gives.
 
     Every line with a suspect word is a lattice of candidates; Viterbi picks the path of greatest confusion times language
     probability. Pair probabilities back off to word frequencies; a word does not support itself: its own occurrence is taken off its counts.
     Counts cover all pages. Joins are by word and by word pair; a line is the largest group.
     """
-    rows = through_table(lines(pages), "lines")
-    vocabulary = through_table(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
     doubt = through_table(suspects(vocabulary), "suspects")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     key = ["doc_id", "number", "line"]
+    rows = rows.select(*key, "words")
     at = rows.select(*key, F.posexplode("words").alias("position", "word"))
     hit = at.join(doubt, "word").groupBy(*key).agg(F.collect_list(F.struct("position", "n", "states")).alias("doubts"))
     lattice = through_table(rows.join(hit, key), "lattice")
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            need = set()
-            for words, doubts in zip(b.column("words").to_pylist(), b.column("doubts").to_pylist()):
-                for x, y in needed_pairs(words, doubts):
-                    need.add((x, y))
-            x, y = zip(*need) if need else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string())], names=["a", "b"])
-
-    need = lattice.select("words", "doubts").mapInArrow(asked, "a string, b string").distinct()
-    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.get("words", i - 1).alias("a"), F.get("words", i).alias("b")))
-    pairs = rows.filter(F.size("words") > 1).select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    heads = vocabulary.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
-    counts = need.join(pairs, ["a", "b"], "left").join(heads, "a", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_a", F.lit(0)).alias("n_a"))
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(d, n, k, x, y) for d, n, k, ws, ds in zip(*(b.column(c).to_pylist() for c in (*key, "words", "doubts"))) for x, y in needed_pairs(ws, ds)]
             d, n, k, x, y = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=[*key, "a", "b"])
 
-    per_line = lattice.mapInArrow(keyed, "doc_id long, number int, line int, a string, b string").join(counts, ["a", "b"])
-    per_line = per_line.groupBy(*key).agg(F.collect_list(F.struct("a", "b", "n", "n_a")).alias("pairs"))
+    asked = through_table(lattice.mapInArrow(keyed, "doc_id long, number int, line int, a string, b string"), "asked")
+    need = asked.select("a", "b").distinct()
+    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.get("words", i - 1).alias("a"), F.get("words", i).alias("b")))
+    pairs = rows.filter(F.size("words") > 1).select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    heads = vocabulary.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
+    counts = need.join(pairs, ["a", "b"], "left").join(heads, "a", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_a", F.lit(0)).alias("n_a"))
+    per_line = asked.join(counts, ["a", "b"]).groupBy(*key).agg(F.collect_list(F.struct("a", "b", "n", "n_a")).alias("pairs"))
     ready = lattice.join(per_line, key, "left").crossJoin(total)  # total is one row
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,18 +375,31 @@ def viterbi(words: list[str], doubts: list[dict], counts: dict[tuple[str, str],
 def pages_to_repair(pages: DataFrame) -> DataFrame:
     """(doc_id, number, reason) of every page with furniture, a broken word or a misread one."""
     once = through_table(pages_once(pages), "pages")
+    rows, vocabulary = read_lines(once)
     f = furniture(once).select("doc_id", "number", F.lit("furniture").alias("reason"))
-    w = broken_words(once).withColumn("reason", F.lit("broken word"))
-    c = corrections(once).select("doc_id", "number", F.lit("misread").alias("reason"))
-    return f.unionByName(w).unionByName(c.select(F.col("doc_id"), F.col("number"), "reason")).distinct()
+    w = broken_words(rows, vocabulary).withColumn("reason", F.lit("broken word"))
+    c = corrections(rows, vocabulary).select("doc_id", "number", F.lit("misread").alias("reason"))
+    return f.unionByName(w).unionByName(c).distinct()
+
+
+def mended(text: str, compounds: frozenset[tuple[str, str]]) -> str:
+    """Words broken across two lines put together on the first of them; compounds keep their hyphen."""
 
+    def put(m: re.Match) -> str:
+        halves = FOUND_BREAK.match(m.group())
+        keep = halves is not None and (halves.group(1).lower(), halves.group(2).lower()) in compounds
+        return m.group(1) + ("-" if keep else "") + m.group(2) + "\n"
 
-def repair(text: str, drop: set[int], fixes: dict[tuple[int, int], str]) -> list[str]:
-    """The paragraphs of a page: furniture dropped, words repaired and put together, lines joined."""
+    return BREAK.sub(put, text)
+
+
+def repair(text: str, drop: set[int], fixes: dict[tuple[int, int], str], compounds: frozenset[tuple[str, str]] = frozenset()) -> list[str]:
+    """The paragraphs of a page: furniture dropped, words repaired and put together, lines joined. compounds are the (l, r) that are broken at a hyphen of their own."""
     if fixes:
         marked = CODE.sub(lambda m: re.sub(r"[^\n]", "\x00", m.group()), text)
         held = [m for m in re.finditer(CODE, text)]
         got = []
+        # words are numbered by line as line_words() does it; a compound stands there as one word, so what it is cut into is put back by its own halves
         for k, line in enumerate(unbroken(marked).split("\n")):
             i = -1
 
@@ -311,6 +414,8 @@ def repair(text: str, drop: set[int], fixes: dict[tuple[int, int], str]) -> list
 
             got.append(WORD.sub(put, line))
         text = "\n".join(got)
+        for left, right in compounds:
+            text = re.sub(rf"(?<!\w)({re.escape(left)})({re.escape(right)})(?!\w)", r"\1-\2", text, flags=re.I)
         spans = iter(held)
         text = re.sub(r"\x00(?:[\x00\n]*\x00)?", lambda m: next(spans).group(), text)
     parts = [p.strip() for p in re.split(r"\n[ \t]*\n\s*", text) if p.strip()]
@@ -318,7 +423,7 @@ def repair(text: str, drop: set[int], fixes: dict[tuple[int, int], str]) -> list
     for k, p in enumerate(parts):
         if k in drop:
             continue
-        p = unbroken(p)
+        p = mended(p, compounds)
         if re.match(r"(#|>|\||[-*+] |\d+[.)] |```)", p) or re.search(r":\n\d", p):
             out.append(p)
         else:
@@ -326,33 +431,58 @@ def repair(text: str, drop: set[int], fixes: dict[tuple[int, int], str]) -> list
     return out
 
 
+#: Page numbers of one slice of a document: no document is sorted by one task.
+SLICE = 256
+
+
 def repaired_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, number, k, text, continues): the repaired paragraphs in page order; continues marks one that goes on from the page before.
 
-    A paragraph continues the previous page's last one if that ends without closing punctuation and this one starts in lower
-    case. Null and empty pages give no rows. A page is the largest group that a task holds.
+    A paragraph continues the previous page's last one if this one starts in lower case and that ends without closing punctuation; a hyphen behind a letter at
+    its end breaks a word over the pages. Null and empty pages give no rows. A page is the largest group that a task holds.
     """
     once = through_table(pages_once(pages), "pages")
+    rows, vocabulary = read_lines(once)
     key = ["doc_id", "number"]
-    drop = furniture(once).groupBy(*key).agg(F.collect_set("k").alias("drop"))
-    fix = corrections(once).groupBy(*key).agg(F.collect_list(F.struct("line", "position", "was")).alias("fix"))
-    every = once.select(F.col("doc_id").cast("long"), F.col("number").cast("int"), "markdown").join(drop, key, "left").join(fix, key, "left")
+    drop = furniture(once).select(F.col("doc_id").cast("long"), F.col("number").cast("int"), "k").groupBy(*key).agg(F.collect_set("k").alias("drop"))
+    fix = corrections(rows, vocabulary).groupBy(*key).agg(F.collect_list(F.struct("line", "position", "was")).alias("fix"))
+    whole = rows.select(*key, F.explode("breaks").alias("b")).select(*key, "b.l", "b.r").join(judged_breaks(rows, vocabulary).filter("compound"), ["l", "r"])
+    kept = whole.groupBy(*key).agg(F.collect_set(F.struct("l", "r")).alias("kept"))
+    every = once.select(F.col("doc_id").cast("long"), F.col("number").cast("int"), "markdown").join(drop, key, "left").join(fix, key, "left").join(kept, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, n, t, dr, fx in zip(*(b.column(c).to_pylist() for c in (*key, "markdown", "drop", "fix"))):
-                rows += [(d, n, k, p) for k, p in enumerate(repair(t, set(dr or ()), {(x["line"], x["position"]): x["was"] for x in fx or ()}))]
+            for d, n, t, dr, fx, co in zip(*(b.column(c).to_pylist() for c in (*key, "markdown", "drop", "fix", "kept"))):
+                fixes, compounds = {(x["line"], x["position"]): x["was"] for x in fx or ()}, frozenset((x["l"], x["r"]) for x in co or ())
+                rows += [(d, n, k, p) for k, p in enumerate(repair(t, set(dr or ()), fixes, compounds))]
             d, n, k, p = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.string())], names=[*key, "k", "text"])
 
-    parts = every.mapInArrow(run, "doc_id long, number int, k int, text string")
-    # slices of 256 page numbers: a document of any length is never sorted by one task
-    size = 256
-    cut = parts.withColumn("slice", F.floor(F.col("number") / size))
-    last = cut.groupBy("doc_id", "slice").agg(F.max_by(F.right("text", F.lit(1)), F.struct("number", "k")).alias("end"))
-    carried = last.select("doc_id", (F.col("slice") + 1).alias("slice"), F.col("end").alias("carried"))
+    parts = through_table(every.mapInArrow(run, "doc_id long, number int, k int, text string").withColumn("slice", F.floor(F.col("number") / SLICE)), "parts")
+    # the end of the nearest earlier slice that has pages, however far it lies
+    last = parts.groupBy("doc_id", "slice").agg(F.max_by(F.right("text", F.lit(2)), F.struct("number", "k")).alias("end"))
+    carried = last.select("doc_id", "slice", F.lag("end").over(Window.partitionBy("doc_id").orderBy("slice")).alias("carried"))  # a row a slice
     w = Window.partitionBy("doc_id", "slice").orderBy("number", "k")
-    before = F.coalesce(F.lag(F.right("text", F.lit(1))).over(w), F.col("carried"))
-    goes_on = (F.col("k") == 0) & F.col("text").rlike(r"^\p{Ll}") & ~before.rlike(r"[.!?:;…»”\"|]")
-    return cut.join(carried, ["doc_id", "slice"], "left").withColumn("continues", F.coalesce(goes_on, F.lit(False))).drop("slice", "carried")
+    joined = parts.join(carried, ["doc_id", "slice"])
+    before = F.coalesce(F.lag(F.right("text", F.lit(2))).over(w), F.col("carried"))
+    goes_on = (F.col("k") == 0) & F.col("text").rlike(r"^\p{Ll}") & ~before.rlike(r"[.!?:;…»”\"|]$")
+    return joined.withColumn("continues", F.coalesce(goes_on, F.lit(False))).select(*key, "k", "text", "continues")
+
+
+def repaired_paragraphs(pages: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, number, last_number, text): the paragraphs of each document in order, joined over pages; number and last_number are the pages they begin and end on.
+
+    A word broken over the end of a page is put together. A paragraph is one row, so its parts meet there; documents are cut in slices of pages otherwise.
+    """
+    p = through_table(repaired_pages(pages).withColumn("slice", F.floor(F.col("number") / SLICE)), "repaired")
+    # which paragraph a part belongs to: the number of those that begin up to it, counted by slice and carried on
+    begins = (~F.col("continues")).cast("int")
+    per = p.groupBy("doc_id", "slice").agg(F.sum(begins).alias("n"))
+    offset = per.select("doc_id", "slice", (F.sum("n").over(Window.partitionBy("doc_id").orderBy("slice")) - F.col("n")).alias("offset"))  # a row a slice
+    w = Window.partitionBy("doc_id", "slice").orderBy("number", "k").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.join(offset, ["doc_id", "slice"]).withColumn("paragraph", (F.col("offset") + F.sum(begins).over(w)).cast("int"))
+    whole = F.array_sort(F.collect_list(F.struct("number", "k", "text")))
+    step = lambda s, x: F.when(s.rlike(r"\p{L}[-\u00ad\u00ac\u2010]$"), F.concat(F.regexp_replace(s, r"[-\u00ad\u00ac\u2010]$", ""), x["text"])).when(s == "", x["text"]).otherwise(F.concat(s, F.lit(" "), x["text"]))
+    got = p.groupBy("doc_id", "paragraph").agg(whole.alias("parts"))
+    return got.select("doc_id", "paragraph", F.get("parts", F.lit(0))["number"].alias("number"), F.element_at("parts", -1)["number"].alias("last_number"), F.aggregate("parts", F.lit(""), step).alias("text"))

@@ -103,7 +103,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.repaired_pages(table(spark, d, "loaded_pages"))
+    """The repaired text of every document by paragraphs, joined over pages."""
+    return ocr.repaired_paragraphs(table(spark, d, "loaded_pages"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

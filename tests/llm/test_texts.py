@@ -287,3 +287,50 @@ def test_scores_without_a_gate():
     m = untaught()
     clean, blank = m.document("We merged the change."), m.document("")
     assert 0 < clean[0] == m.base < toxicity.THRESHOLD and blank == (0.0, None)
+
+
+def test_any_number_of_signs_is_a_lattice(spark):
+    assert ocr.confusions("i11i1111", "illillil") is not None and ocr.confusions("rep0rt", "report") == 1 and ocr.confusions("rcp0rt", "report") == 2
+    assert ocr.confusions("modem", "modern") == 1 and ocr.confusions("report", "repair") is None and ocr.confusions("ﬁnd", "find") == 1
+    words = ["illillilill", "report", "reports", "modern"]
+    rows = [(w, 50) for w in words] + [("i11i11i1i11", 1), ("rcp0rt", 1), ("m0dem", 1), ("x0y", 1)]
+    got = {r["word"]: {s["was"] for s in r["states"]} for r in ocr.suspects(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert got == {"i11i11i1i11": {"illillilill"}, "rcp0rt": {"report"}, "m0dem": {"modern"}}
+
+
+def planted_pages(seed=5):
+    """Clean paragraphs of a document, and its pages with headers, page numbers, lines broken inside words and at hyphens, and misread characters."""
+    rng = random.Random(seed)
+    nouns = "report ledger harbour lantern engine garden letter mirror copper window village orchard".split()
+    verbs = "was read again|had been moved|is well-known here|stays where it was|came back late|looked state-of-art then".split("|")
+    clean = [" ".join(f"The {rng.choice(nouns)} near the {rng.choice(nouns)} {rng.choice(verbs)}." for _ in range(5)) for _ in range(40)]
+    pages = []
+    for n in range(0, 40, 2):
+        body = []
+        for k, p in enumerate(clean[n : n + 2]):
+            words, line, out = p.split(" "), "", []
+            for w in words:
+                if len(line) + len(w) > 44:
+                    cut = w.index("-") + 1 if "-" in w else len(w) // 2 if len(w) > 5 and rng.random() < 0.5 and w.isalpha() else 0
+                    out.append((line + " " + w[:cut] + ("" if w[:cut].endswith("-") or not cut else "-")).strip())
+                    line = w[cut:]
+                else:
+                    line = (line + " " + w).strip()
+            text = "\n".join([*out, line])
+            if rng.random() < 0.4:
+                text = text.replace("report", "rep0rt", 1).replace("mirror", "m1rror", 1)
+            body.append(text)
+        pages.append((70, n // 2 + 1, "\n\n".join(["Annals of the Harbour Society", *body, str(n // 2 + 11)])))
+    return clean, pages
+
+
+def test_paragraphs_of_planted_pages_come_out_clean(spark):
+    clean, pages = planted_pages()
+    got = [r["text"] for r in ocr.repaired_paragraphs(spark.createDataFrame(pages, "doc_id long, number int, markdown string")).orderBy("doc_id", "paragraph").collect()]
+    assert len(got) == len(clean) and sum(a == b for a, b in zip(got, clean)) >= 0.95 * len(clean), [x for x in zip(got, clean) if x[0] != x[1]][:3]
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    rows = [(1, 1, "The first page ends in the mid-"), (1, 2, None), (1, 900, "dle of a word and goes\n\nOn."), (1, 901, "and on."), (2, 1, "")]
+    got = [tuple(r) for r in ocr.repaired_paragraphs(spark.createDataFrame(rows, "doc_id long, number int, markdown string")).orderBy("paragraph").collect()]
+    assert got == [(1, 1, 1, 900, "The first page ends in the middle of a word and goes"), (1, 2, 900, 900, "On."), (1, 3, 901, 901, "and on.")]
