@@ -1,18 +1,22 @@
 """Markup residue in text (p5): pieces of a text are labelled content or residue by a minimum cut.
 
 A text is split into pieces: code, formulas, markup constructs of HTML, wiki and LaTeX, and the runs of text between them. What a
-classifier would pay for either label of a piece is its capacity to the two terminals; neighbouring texts and the tags of an
-HTML element are joined by smoothness edges; a maximum flow gives the cheapest labelling. The kind of a construct settles its label; that of
-a text depends on its length, its links, the elements around it and its neighbours.
+classifier would pay for either label of a piece is its capacity to the two terminals; neighbouring texts, texts of one element and the tags of an
+HTML element are joined by smoothness edges; a maximum flow gives the cheapest labelling. The kind of a construct settles its label; what a text would pay comes from a
+logistic regression on its length, links, punctuation and the elements around it, fitted on pages that are made by rule, and the cut decides between it and its neighbours.
 """
 
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -34,8 +38,8 @@ CODE = r"(?P<fence>^[ \t]{0,3}(?P<f>`{3,}|~{3,})[^\n]*(?:\n(?!^[ \t]{0,3}(?P=f))
 MATH = r"(?P<display>\$\$[\s\S]*?\$\$)|(?P<math>(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$])\$(?![\d$]))"
 TAG = rf"(?P<tag></?(?P<name>(?i:{'|'.join(sorted(ELEMENTS, key=len, reverse=True))}))(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)"
 HTML = rf"(?P<comment><!--[\s\S]*?(?:-->|\Z))|(?P<doctype><!(?i:doctype)[^>]*>)|(?P<script><(?P<raw>(?i:script|style))\b[^>]*>[\s\S]*?</(?P=raw)\s*>)|{TAG}|(?P<entity>&(?:\#\d{{1,7}}|\#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z][a-zA-Z0-9]{{1,31}});)"
-WIKI = r"(?P<template>\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})|(?P<table>^[ \t]*(?:\{\||\|\}|\|-+(?![^\n]*\|)|\|\+)[^\n]*$)|(?P<cell>^[ \t]*[|!][^|\n]*?(?:\|\||!!)[^\n]*$)|(?P<heading>^(?P<eq>={1,6})[ \t]*[^=\n][^\n]*?(?P=eq)[ \t]*$)|(?P<media>\[\[(?i:category|file|image|media|kategorie|datei|bild|catégorie|fichier|categoría|archivo):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\])|(?P<magic>__[A-Z]{3,}__)|(?P<xlink>\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*)?\](?!\())|(?P<quotes>(?<!')'{2,5}(?!'))"
-LATEX = rf"(?P<dispmath>\\\[[\s\S]*?(?:\\\]|\Z))|(?P<inmath>\\\([\s\S]*?(?:\\\)|\Z))|(?P<env>\\(?:begin|end)\s*\{{[^{{}}\n]*\}}(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?)|(?P<command>\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})|(?P<bare>(?<![\w:\\/.])(?<!\w%)\\(?![bdfnrstvwzABDSWZ](?![a-zA-Z]))[a-zA-Z]+\*?(?![a-zA-Z\\/:]|\.\w|_[a-zA-Z]{{2}}|-[a-zA-Z])|(?<![:\\/.])\\\\(?:\[[^\]\n]*\])?(?=[ \t]*$))"
+WIKI = r"(?P<template>\{\{)|(?P<table>^[ \t]*(?:\{\||\|\}|\|-+(?![^\n]*\|)|\|\+)[^\n]*$)|(?P<cell>^[ \t]*[|!][^|\n]*?(?:\|\||!!)[^\n]*$)|(?P<heading>^(?P<eq>={1,6})[ \t]*[^=\n][^\n]*?(?P=eq)[ \t]*$)|(?P<media>\[\[(?i:category|file|image|media|kategorie|datei|bild|catégorie|fichier|categoría|archivo):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\])|(?P<magic>__[A-Z]{3,}__)|(?P<xlink>\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*)?\](?!\())|(?P<quotes>(?<!')'{2,5}(?!'))"
+LATEX = rf"(?P<dispmath>\\\[[\s\S]*?(?:\\\]|\Z))|(?P<inmath>\\\([\s\S]*?(?:\\\)|\Z))|(?P<env>\\(?:begin|end)\s*\{{[^{{}}\n]*\}}(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?)|(?P<command>\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{{)|(?P<bare>(?<![\w:\\/.])(?<!\w%)\\(?![bdfnrstvwzABDSWZ](?![a-zA-Z]))[a-zA-Z]+\*?(?![a-zA-Z\\/:]|\.\w|_[a-zA-Z]{{2}}|-[a-zA-Z])|(?<![:\\/.])\\\\(?:\[[^\]\n]*\])?(?=[ \t]*$))"
 OTHER = r"(?P<autolink><(?:https?|ftp|mailto):[^<>\s]*>)|(?P<generic>\b[A-Z]\w*<(?:[\w:&]+(?:,[ ]?[\w:&]+)*|[A-Z]\w*<[\w:&]+>)>)|(?P<note>\[\[(?!(?i:category|file|image|media|kategorie|datei|bild|catégorie|fichier|categoría|archivo):)[^\[\]\n]*\]\])"
 PIECES = re.compile("|".join((CODE, MATH, OTHER, HTML, WIKI, LATEX)), re.M)
 #: Texts without any of these have no piece that could be markup.
@@ -107,16 +111,44 @@ def min_cut(costs: list[tuple[int, int]], edges: list[tuple[int, int, int]]) ->
             cap[b][a] += flow
 
 
+def balanced(text: str, token: str) -> dict[int, int]:
+    """Where each opening token ends that is closed, by a stack over one pass; token matches openings (which end in "{") and closings."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(token, text):
+        if m.group().endswith("{"):
+            opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def split(text: str) -> list[tuple[str, str]]:
-    """(kind, piece) over the whole text; kind "text" for what is no construct."""
-    out, at = [], 0
-    for m in PIECES.finditer(text):
-        if m.start() > at:
-            out.append(("text", text[at : m.start()]))
-        out.append((m.lastgroup if m.lastgroup in COSTS else next(k for k in COSTS if m.group(k) is not None), m.group()))
-        at = m.end()
-    if at < len(text):
-        out.append(("text", text[at:]))
+    """(kind, piece) over the whole text; kind "text" for what is no construct. Templates and the arguments of commands may be nested to any depth."""
+    out: list[tuple[str, str]] = []
+    at = done = 0
+    double: dict[int, int] | None = None
+    single: dict[int, int] | None = None
+    while m := PIECES.search(text, at):
+        kind = m.lastgroup if m.lastgroup in COSTS else next(k for k in COSTS if m.group(k) is not None)
+        end: int | None = m.end()
+        if kind == "template":
+            double = balanced(text, r"\{\{|\}\}") if double is None else double
+            end = double.get(m.start())
+        elif kind == "command":
+            single = balanced(text, r"(?<!\\)[{}]") if single is None else single
+            end = single.get(m.end() - 1)
+            if end is None:  # an argument that never ends: the command stands by itself
+                kind, end = "bare", m.start() + len(re.match(r"\\[a-zA-Z]+\*?", m.group()).group())
+        if end is None:
+            at = m.end()
+            continue
+        if m.start() > done:
+            out.append(("text", text[done : m.start()]))
+        out.append((kind, text[m.start() : end]))
+        at = done = end
+    if done < len(text):
+        out.append(("text", text[done:]))
     return out
 
 
@@ -146,14 +178,14 @@ def is_furniture(tag: str) -> bool:
     return any(w in FURNITURE for g in given for w in re.split(r"[\s_-]+", "".join(g).lower()))
 
 
-def text_costs(parts: list[tuple[str, str]], closed: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
-    """What either label of each text with words costs: (content, residue).
+FEATURES = ("bias", "words", "linked", "sentence", "commas", "furniture", "menu", "short", "kept", "capitals", "outside")
 
-    Words are dear to lose, those of a link less so. What speaks for residue is the furniture of a page around the text, and a list or
-    block of three or more short links and nothing else.
-    """
-    words = {i: len(p.split()) for i, (k, p) in enumerate(parts) if k == "text" and not p.isspace()}
-    linked, furniture, menu, kept = set(), set(), set(), set()
+
+def features(parts: list[tuple[str, str]], closed: list[tuple[int, int, int]]) -> dict[int, list[float]]:
+    """What the classifier sees of each text with words, in order of FEATURES."""
+    words = {i: p.split() for i, (k, p) in enumerate(parts) if k == "text" and not p.isspace()}
+    words = {i: w for i, w in words.items() if any(c.isalnum() for x in w for c in x)}
+    linked, furniture, menu, kept, inside_any = set(), set(), set(), set(), set()
     for a, z, _ in closed:
         name = re.match(r"<(\w+)", parts[a][1]).group(1).lower()
         inside = [i for i in range(a + 1, z) if i in words]
@@ -161,39 +193,148 @@ def text_costs(parts: list[tuple[str, str]], closed: list[tuple[int, int, int]])
             linked.update(inside)
         elif re.fullmatch("h[1-6]|pre|code", name):
             kept.update(inside)
+        if BLOCK_TAG.match(parts[a][1]) or name == "a":
+            inside_any.update(inside)
         if is_furniture(parts[a][1]):
             furniture.update(inside)
     for a, z, _ in closed:
         if re.match(r"<(?:ul|ol|div|p|td|section)\b", parts[a][1], re.I):
             inside = [i for i in range(a + 1, z) if i in words]
-            if len(inside) >= 3 and linked.issuperset(inside) and all(words[i] <= 2 for i in inside) and all(k in ("tag", "text", "entity") for k, _ in parts[a:z]):
+            if len(inside) >= 3 and linked.issuperset(inside) and all(len(words[i]) <= 3 for i in inside) and all(k in ("tag", "text", "entity") for k, _ in parts[a:z]):
                 menu.update(inside)
-    return {i: (min(50, 12 + 5 * n) * (i in furniture) + 6 * (i in menu), 90 if i in kept and i not in linked else min(60, (2 if i in linked else 4) * n)) for i, n in words.items()}
+    out = {}
+    for i, w in words.items():
+        t = parts[i][1].strip()
+        capitals = sum(x[:1].isupper() for x in w) / len(w)
+        out[i] = [1.0, min(len(w), 40) / 10, i in linked, bool(re.search(r"[.!?…;]$", t)), min(t.count(","), 3) / 3, i in furniture, i in menu, len(w) <= 3, i in kept and i not in linked, capitals, i not in inside_any]
+    return out
 
 
-def label(parts: list[tuple[str, str]]) -> list[bool]:
-    """Whether each piece is residue. A text is joined to the next one, more strongly if no block begins or ends between them."""
+def made_page(rng: random.Random) -> tuple[str, list[tuple[str, bool]]]:
+    """A page made by rule, and its texts with whether each is boilerplate: what the classifier is fitted on.
+
+    Menus, consent boxes, footers and link lists stand around an article; some of them have no telling name, and some boxes with a telling name hold content.
+    """
+    noun = lambda: rng.choice("report ledger harbour engine garden letter window index reader queue change policy table night".split())
+    sentence = lambda: f"The {noun()} of the {noun()}{rng.choice(['', ', which was late,', ' and the ' + noun()])} {rng.choice(['holds', 'was read', 'had moved', 'waits'])} {rng.choice(['again', 'since the ' + noun(), 'after all, as the ' + noun() + ' said'])}."
+    label = lambda: rng.choice(["Home", "About us", "Contact", "Our products", "Terms", "Privacy policy", "Log in", "Read more", "Next page", "Careers", "Help", "Share this"])
+    out: list[tuple[str, bool]] = []
+
+    def say(text: str, residue: bool) -> str:
+        out.append((text, residue))
+        return text
+
+    name = lambda telling: f' class="{telling}"' if rng.random() < 0.7 else f' class="c{rng.randrange(99)}"'
+    parts = []
+    title = lambda: " ".join(noun().title() for _ in range(rng.randrange(1, 4)))
+    for kind in rng.sample(["menu", "consent", "footer", "links", "article", "article", "boxed", "plain", "table", "names", "notes"], rng.randrange(4, 11)):
+        if kind == "menu":
+            parts.append(f"<ul{name('nav')}>" + "".join(f'<li><a href="/{i}">{say(label(), True)}</a></li>' for i in range(rng.randrange(3, 7))) + "</ul>")
+        elif kind == "consent":
+            parts.append(f"<div{name('cookie-banner')}><p>{say('We use cookies to make this site better.', True)}</p><span>{say('OK', True)}</span></div>")
+        elif kind == "footer":
+            parts.append(f"<footer><p>{say('© 2026 All rights reserved', True)}</p><a href='/i'>{say('Imprint', True)}</a></footer>")
+        elif kind == "links":
+            parts.append(f"<div{name('share')}>" + " ".join(f'<a href="/{i}">{say(label(), True)}</a>' for i in range(rng.randrange(3, 6))) + "</div>")
+        elif kind == "article":
+            parts.append(f"<h2>{say(noun().title() + ' notes', False)}</h2>" + "".join(f"<p>{say(' '.join(sentence() for _ in range(rng.randrange(1, 4))), False)}</p>" for _ in range(rng.randrange(1, 4))))
+            parts.append(f"<p>{say('See the', False)} <a href='/r'>{say(noun() + ' pages', False)}</a> {say('of the ' + noun() + '.', False)}</p><ul>" + "".join(f"<li>{say(noun() + ' ' + noun(), False)}</li>" for _ in range(3)) + "</ul>")
+        elif kind == "table":
+            parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{say(rng.choice([title(), str(rng.randrange(999)), noun(), label()]), False)}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randrange(1, 4))) + "</table>")
+        elif kind == "names":
+            parts.append("<ul>" + "".join(f"<li>{say(rng.choice([title(), label() + ' ' + noun(), title() + '.', noun()]), False)}</li>" for _ in range(rng.randrange(2, 5))) + "</ul>")
+        elif kind == "notes":
+            parts.append("<div>" + "".join(f"<p>{say(rng.choice([title() + '.', 'Yes.', title() + ' ' + noun(), sentence(), label() + ', ' + noun()]), False)}</p>" for _ in range(rng.randrange(1, 4))) + "</div>")
+        elif kind == "boxed":
+            parts.append(f'<div class="banner"><p>{say(" ".join(sentence() for _ in range(3)), False)}</p></div>')
+        else:
+            parts.append("\n\n" + say(rng.choice([sentence(), noun().title(), "- " + noun(), "# " + noun().title() + " " + noun()]), False) + "\n\n")
+    return "\n".join(parts), out
+
+
+@lru_cache(maxsize=1)
+def block_model(pages: int = 200, seed: int = 9) -> tuple[float, ...]:
+    """Weights of FEATURES for boilerplate: logistic regression by Newton's steps, with a small penalty, over the texts of pages made by rule."""
+    rng = random.Random(seed)
+    x, y = [], []
+    for _ in range(pages):
+        page, texts = made_page(rng)
+        parts = split(page)
+        got = features(parts, elements(parts))
+        queue = list(texts)
+        for i in sorted(got):
+            t = parts[i][1].strip()
+            at = next((k for k, (u, _) in enumerate(queue) if u.strip() == t), None)
+            if at is not None:
+                x.append(got[i])
+                y.append(float(queue.pop(at)[1]))
+    a, b, w = np.array(x), np.array(y), np.zeros(len(FEATURES))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-a @ w))
+        g = a.T @ (p - b) + w
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w))
+        w = w - np.linalg.solve(h, g)
+    return tuple(float(v) for v in w)
+
+
+def text_costs(parts: list[tuple[str, str]], closed: list[tuple[int, int, int]], model: tuple[float, ...] | None = None) -> dict[int, tuple[int, int]]:
+    """What either label of each text with words costs, (content, residue): the negative log probability that the classifier gives it, in tenths, 90 at most."""
+    model = model or block_model()
+    out = {}
+    for i, f in features(parts, closed).items():
+        z = sum(w * v for w, v in zip(model, f))
+        out[i] = (min(90, round(10 * math.log1p(math.exp(min(z, 50.0))))), min(90, round(10 * math.log1p(math.exp(min(-z, 50.0))))))
+    return out
+
+
+def costs_and_edges(parts: list[tuple[str, str]], model: tuple[float, ...] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The capacities of the cut: what each piece pays for either label, and what neighbours pay for different ones.
+
+    A text is joined to the next one, most strongly where no block begins or ends between them, then where both lie in one innermost block.
+    """
     closed = elements(parts)
     costs = [COSTS.get(k, (0, 0)) for k, _ in parts]
-    texts = text_costs(parts, closed)
+    texts = text_costs(parts, closed, model)
     for i, c in texts.items():
         costs[i] = c
     edges = [(a, z, 4 * SAME_ELEMENT) for a, z, _ in closed] + [(around, a, SAME_ELEMENT) for a, _, around in closed if around >= 0]
-    at = list(texts)
+    # the block around a text, and the block around that one; inner elements come first
+    blocks = [(a, z) for a, z, _ in closed if BLOCK_TAG.match(parts[a][1]) and not re.match(r"<(?:li|tr|td|th|p|h[1-6]|dt|dd|br|hr)\b", parts[a][1], re.I)]
+    parent: dict[int, int] = {}
+    for a, z in blocks:
+        for i in range(a + 1, z):
+            parent.setdefault(i, a)
+    at = sorted(texts)
     for i, j in zip(at, at[1:]):
         inline = all(k in ("tag", "entity", "quotes") and not (k == "tag" and BLOCK_TAG.match(p)) for k, p in parts[i + 1 : j])
-        edges.append((i, j, 4 * NEXT if inline else NEXT))
-    return min_cut(costs, edges)
+        edges.append((i, j, 4 * NEXT if inline else 3 * NEXT if i in parent and parent.get(i) == parent.get(j) else NEXT if i in parent and j in parent else 1))
+    return costs, edges
+
 
+def label(parts: list[tuple[str, str]], model: tuple[float, ...] | None = None) -> list[bool]:
+    """Whether each piece is residue."""
+    return min_cut(*costs_and_edges(parts, model))
 
-def needs_cleaning(text: str | None) -> bool:
+
+def cut_changes(text: str | None, model: tuple[float, ...] | None = None) -> tuple[int, int, int]:
+    """(texts with words, those that are residue, those whose label is not the one that is cheaper for them alone)."""
+    if not text or not HINT.search(text):
+        return (0, 0, 0)
+    parts = split(text)
+    costs, edges = costs_and_edges(parts, model)
+    got = min_cut(costs, edges)
+    at = [i for i, (k, p) in enumerate(parts) if k == "text" and not p.isspace()]
+    return (len(at), sum(got[i] for i in at), sum(got[i] != (costs[i][0] > costs[i][1]) for i in at))
+
+
+def needs_cleaning(text: str | None, model: tuple[float, ...] | None = None) -> bool:
     """Whether any piece of the text is markup residue. Null and empty texts have none."""
     if not text or not HINT.search(text):
         return False
     parts = split(text)
     if all(k == "text" or COSTS[k][0] < COSTS[k][1] for k, _ in parts):
         return False
-    return any(r for r, (k, _) in zip(label(parts), parts) if k not in ("text", *CODE_OR_MATH))
+    return any(r for r, (k, _) in zip(label(parts, model), parts) if k not in ("text", *CODE_OR_MATH))
 
 
 BLOCKS = {"p", "div", "blockquote", "table", "ul", "ol", "section", "article", "figure", "form", "pre", "center", "dl"}
@@ -201,34 +342,47 @@ DROPPED = {"ref", "button", "nav", "noscript"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
 
 
-def _template(piece: str) -> str:
+def _arguments(body: str) -> list[str]:
+    """The parts of a template between bars that are not inside another one or a link."""
+    out, depth, start = [], 0, 0
+    for m in re.finditer(r"\{\{|\}\}|\[\[|\]\]|\|", body):
+        if m.group() == "|":
+            if not depth:
+                out.append(body[start : m.start()])
+                start = m.end()
+        else:
+            depth = max(0, depth + (1 if m.group() in ("{{", "[[") else -1))
+    return [*out, body[start:]]
+
+
+def _template(piece: str, model: tuple[float, ...] | None) -> str:
     """The text of a formatting template; boxes and notes are dropped."""
-    name, *args = piece[2:-2].split("|")
-    plain = [a for a in args if "=" not in a]
-    return plain[-1] if len(plain) == len(args) == 1 else ""
+    name, *args = _arguments(piece[2:-2])
+    plain = [a for a in args if "=" not in re.sub(r"\{\{.*\}\}", "", a, flags=re.S)]
+    return clean(plain[-1], model) if len(plain) == len(args) == 1 else ""
 
 
-def _command(piece: str) -> str:
+def _command(piece: str, model: tuple[float, ...] | None) -> str:
     m = re.match(r"\\([a-zA-Z]+)\*?(?:\[[^\]]*\])?\{([\s\S]*)\}$", piece)
     name, arg = m.group(1), m.group(2)
     level = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}.get(name)
     if level:
-        return f"\n{'#' * level} {clean(arg)}\n"
+        return f"\n{'#' * level} {clean(arg, model)}\n"
     if name in ("ref", "cite", "citep", "citet", "label", "eqref", "pageref", "vspace", "hspace", "usepackage", "documentclass", "bibliography"):
         return ""
     wrap = {"emph": "*", "textit": "*", "textbf": "**", "texttt": "`"}.get(name, "")
-    arg = arg if wrap == "`" else clean(arg)
+    arg = arg if wrap == "`" else clean(arg, model)
     return f"{wrap}{arg}{wrap}" if arg else ""
 
 
-def clean(text: str) -> str:
+def clean(text: str, model: tuple[float, ...] | None = None) -> str:
     """The text without markup residue: headings, lists, code, formulas, tables and links become Markdown.
 
     Code and formulas stay as they are. Scripts, comments, page furniture of wikis, references and labels are dropped, and texts that
     the cut labels residue, with the HTML elements that hold nothing else.
     """
     parts = split(text)
-    residue = label(parts)
+    residue = label(parts, model)
     gone = {i for i, (k, p) in enumerate(parts) if k == "text" and residue[i] and not p.isspace()}
     for a, z, _ in elements(parts) if gone else []:
         if any(i in gone and parts[i][0] == "text" for i in range(a, z)) and all(i in gone or k in ("tag", "entity", "comment") and not p.lower().startswith("<img") or p.isspace() for i, (k, p) in enumerate(parts[a:z], a)):
@@ -295,14 +449,14 @@ def clean(text: str) -> str:
         elif kind == "entity":
             out.append(html.unescape(p).replace("\xa0", " "))
         elif kind == "template":
-            out.append(_template(p))
+            out.append(_template(p, model))
         elif kind == "heading":
             m = re.match(r"(=+)\s*(.*?)\s*=+\s*$", p)
             out.append(f"{'#' * len(m.group(1))} {m.group(2)}")
         elif kind == "cell":
             out.append("| " + " | ".join(c.strip() for c in re.split(r"\|\||!!", p.strip()[1:])) + " |")
         elif kind == "media":
-            out.append(clean(p[2:-2].split("|")[-1]) if "|" in p and not re.match(r"\[\[(?i:category|kategorie|catégorie|categoría)", p) else "")
+            out.append(clean(p[2:-2].split("|")[-1], model) if "|" in p and not re.match(r"\[\[(?i:category|kategorie|catégorie|categoría)", p) else "")
         elif kind == "xlink":
             url, _, name = p[1:-1].partition(" ")
             out.append(f"[{name.strip()}]({url})" if name.strip() else f"<{url}>")
@@ -321,7 +475,7 @@ def clean(text: str) -> str:
                 env.pop()
             out.append("\n$$\n" if name in ("equation", "align", "gather", "displaymath", "math") else "\n```\n" if name in ("verbatim", "lstlisting") else "\n")
         elif kind == "command":
-            out.append(p if env and env[-1] in ("equation", "align", "gather", "displaymath", "math") else _command(p))
+            out.append(p if env and env[-1] in ("equation", "align", "gather", "displaymath", "math") else _command(p, model))
         elif kind == "bare":
             name, maths = p[1:].rstrip("*"), bool(env) and env[-1].rstrip("*") in ("equation", "align", "gather", "displaymath", "math")
             if p.startswith("\\\\"):
@@ -340,13 +494,30 @@ def clean_markup(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep = keep if keep is not None else [c for c in df.columns if c != text]
     fields = [*(df.schema[c] for c in keep), StructField("residue", IntegerType(), False), *([StructField("clean", StringType())] if want_text else [])]
 
+    model = block_model()  # fitted once, on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
-            found = [needs_cleaning(t) for t in texts]
+            found = [needs_cleaning(t, model) for t in texts]
             cols = [*b.columns[: len(keep)], pa.array([int(f) for f in found], pa.int32())]
             if want_text:
-                cols.append(pa.array([clean(t) if f else t for t, f in zip(texts, found)], pa.string()))
+                cols.append(pa.array([clean(t, model) if f else t for t, f in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return df.select(*keep, text).mapInArrow(run, StructType(fields))
+
+
+def label_counts(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep with texts, residue and changed of each row, as cut_changes() gives."""
+    keep = keep or []
+    fields = [*(df.schema[c] for c in keep), *(StructField(c, IntegerType(), False) for c in ("texts", "residue", "changed"))]
+    model = block_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [cut_changes(t, model) for t in b.column(len(keep)).to_pylist()]
+            cols = list(zip(*got)) if got else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.int32()) for c in cols)], names=[f.name for f in fields])
+
+    return df.select(*keep, text).mapInArrow(run, StructType(fields))

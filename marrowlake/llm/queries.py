@@ -103,6 +103,12 @@ def p5_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "chunks"), keep=["id", "doc_id", "ord"])
 
 
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts of all documents the cut looks at, labels residue, and labels otherwise than each by itself would be, by source type."""
+    c = markup.label_counts(table(spark, d, "documents"), keep=["source_type"])
+    return c.groupBy("source_type").agg(*(F.sum(n).alias(n) for n in ("texts", "residue", "changed")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.pages_to_repair(table(spark, d, "loaded_pages")).select("doc_id", "number").distinct()
 
@@ -164,7 +170,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p4_scores, p5_found, p5_clean, p5_clean_chunks, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
+        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p4_scores, p5_found, p5_clean, p5_clean_chunks, p5_labels, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
         p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates,
     )
 }

@@ -334,3 +334,45 @@ def test_paragraphs_go_on_over_pages(spark):
     rows = [(1, 1, "The first page ends in the mid-"), (1, 2, None), (1, 900, "dle of a word and goes\n\nOn."), (1, 901, "and on."), (2, 1, "")]
     got = [tuple(r) for r in ocr.repaired_paragraphs(spark.createDataFrame(rows, "doc_id long, number int, markdown string")).orderBy("paragraph").collect()]
     assert got == [(1, 1, 1, 900, "The first page ends in the middle of a word and goes"), (1, 2, 900, 900, "On."), (1, 3, 901, 901, "and on.")]
+
+
+def test_the_cut_corrects_single_labels():
+    page = "<div><p>Yes.</p><p>Garden Letter Index policy</p><p>The ledger of the reader, which was late, holds again.</p></div>"
+    parts = markup.split(page)
+    costs, edges = markup.costs_and_edges(parts)
+    i = next(i for i, (_, p) in enumerate(parts) if p.startswith("Garden"))
+    assert costs[i][0] > costs[i][1] and not markup.min_cut(costs, edges)[i]  # alone it would go, between its neighbours it stays
+    assert "Garden Letter Index policy" in markup.clean(page) and markup.cut_changes(page)[2] >= 1 and markup.cut_changes(None) == (0, 0, 0)
+
+
+def test_boilerplate_of_unseen_pages_is_found():
+    rng = random.Random(77)
+    right = alone = wrong = 0
+    for _ in range(120):
+        page, texts = markup.made_page(rng)
+        parts, left = markup.split(page), list(texts)
+        costs, edges = markup.costs_and_edges(parts)
+        cut = markup.min_cut(costs, edges)
+        for i, (k, p) in enumerate(parts):
+            at = next((j for j, (u, _) in enumerate(left) if k == "text" and u.strip() == p.strip()), None)
+            if at is not None:
+                y = left.pop(at)[1]
+                right, wrong, alone = right + (cut[i] == y), wrong + (cut[i] != y), alone + ((costs[i][0] > costs[i][1]) == y)
+    assert right / (right + wrong) > 0.97 and right > alone
+
+
+def test_planted_boilerplate_is_dropped_from_a_document(spark):
+    body = "# Notes\n\nThe report was read, then it was <b>moved</b>.\n\n- one\n- two"
+    nav = '<div class="nav"><a href="/">Home</a> <a href="/p">Our products</a> <a href="/c">Contact</a></div>\n'
+    foot = '\n<footer><p>© 2026 All rights reserved</p><a href="/i">Imprint</a></footer>'
+    df = spark.createDataFrame([(1, nav + body + foot), (2, body), (3, None), (4, "")], "doc_id int, text string")
+    got = {r["doc_id"]: r["clean"] for r in markup.clean_markup(df, keep=["doc_id"]).collect()}
+    assert got[1].strip() == got[2].strip() == "# Notes\n\nThe report was read, then it was **moved**.\n\n- one\n- two" and got[3] is None and got[4] == ""
+
+
+def test_nesting_of_any_depth():
+    deep = "{{a|" * 60 + "x" + "}}" * 60
+    assert markup.split(f"{deep} y") == [("template", deep), ("text", " y")] and markup.clean(f"{deep} y").strip() == "x y"
+    assert markup.clean("{{a|b=1|{{b|{{c}}}}}} x").strip() == "x" and markup.clean("{{ open") == "{{ open"
+    assert markup.clean("\\emph{a \\textbf{b \\textit{c}} d} e") == "*a **b *c*** d* e"
+    assert markup.needs_cleaning("{{" * 20_000) is False
