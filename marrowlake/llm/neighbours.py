@@ -1,7 +1,8 @@
 """Most similar vectors for every vector (p2): learned partitions.
 
 A router is fitted on a bounded sample: the sample's neighbour graph is cut into balanced parts, and a linear softmax
-classifier learns which part a vector belongs to. Every vector is then stored in its likeliest part and
+classifier learns which part a vector belongs to. Where the sample cannot teach as many parts as the collection needs, each part is cut again by a router of its own,
+fitted on the executors on a bounded sample of the part. Every vector is then stored in its likeliest part and
 searched for in the few likeliest ones, where exact cosines are computed in blocks.
 """
 
@@ -23,28 +24,55 @@ FIT_ROWS = 12_288
 ROWS_PER_PART, ROWS_TO_LEARN = 1_000, 24
 #: Rows of one block of the search; larger parts are searched in several blocks.
 BLOCK = 4_000
-GRAPH_K, ROUNDS, SLACK = 12, 6, 1.15
+GRAPH_K, ROUNDS, SLACK, SMOOTHING = 12, 6, 1.15, 20
 EPOCHS, BATCH, SHARPNESS = 12, 1024, 12.0
 
 
 @dataclass(frozen=True)
 class Router:
-    """weights (dim x parts) and bias (parts) of the classifier."""
+    """weights (dim x parts) and bias (parts) of the classifier; children cut a part again, first says where a part's leaves begin."""
 
     weights: np.ndarray
     bias: np.ndarray
+    children: tuple[tuple[np.ndarray, np.ndarray] | None, ...] = ()
+
+    @property
+    def first(self) -> np.ndarray:
+        sizes = [len(c[1]) if c else 1 for c in self.children] or [1] * len(self.bias)
+        return np.concatenate([[0], np.cumsum(sizes)])
 
     @property
     def parts(self) -> int:
-        return len(self.bias)
+        """Leaves."""
+        return int(self.first[-1])
 
     def likeliest(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The probes likeliest parts of each row, best first."""
-        logits = x @ self.weights + self.bias
-        m = min(probes, self.parts)
+        """The probes likeliest leaves of each row, best first, by the product of the probabilities on the way; of a part's leaves only where the part is among the probes likeliest."""
+        logits = log_softmax(x @ self.weights + self.bias)
+        m = min(probes, len(self.bias))
         top = np.argpartition(-logits, m - 1, axis=1)[:, :m]
-        order = np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable")
-        return np.take_along_axis(top, order, 1)
+        if not any(self.children):
+            order = np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable")
+            return np.take_along_axis(top, order, 1)
+        first, m = self.first, min(probes, self.parts)
+        leaf, value = np.full((len(x), 2 * m), -1, np.int64), np.full((len(x), 2 * m), -np.inf, np.float64)
+        for p in np.unique(top):
+            rows = np.flatnonzero((top == p).any(1))
+            child = self.children[p] if self.children else None
+            inner = log_softmax(x[rows] @ child[0] + child[1]) if child else np.zeros((len(rows), 1))
+            k = min(m, inner.shape[1])
+            best = np.argpartition(-inner, k - 1, axis=1)[:, :k]
+            # the leaves of this part take the places behind the m best so far, then the m best of all go in front
+            leaf[rows, m : m + k], value[rows, m : m + k] = first[p] + best, logits[rows, p][:, None] + np.take_along_axis(inner, best, 1)
+            order = np.argsort(-value[rows], axis=1, kind="stable")
+            leaf[rows], value[rows] = np.take_along_axis(leaf[rows], order, 1), np.take_along_axis(value[rows], order, 1)
+            value[rows, m:] = -np.inf
+        return np.where(value[:, :m] > -np.inf, leaf[:, :m], leaf[:, :1])
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
@@ -58,32 +86,50 @@ def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
     return out
 
 
+def bisector(x: np.ndarray, graph: np.ndarray, rows: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A number for each of rows that changes little along the edges of their graph: the direction of most spread, smoothed over neighbours (the second eigenvector of
+    the walk on the graph, by power steps). place is scratch of the length of x."""
+    y = x[rows] - x[rows].mean(0)
+    v = rng.standard_normal(x.shape[1])
+    for _ in range(12):
+        v = y.T @ (y @ v)
+        v /= np.linalg.norm(v) + 1e-12
+    f = y @ v
+    place[:] = -1
+    place[rows] = np.arange(len(rows))
+    near = place[graph[rows]]
+    a, c = np.nonzero(near >= 0)
+    b = near[a, c]
+    degree = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+    for _ in range(SMOOTHING):
+        sums = np.bincount(a, weights=f[b], minlength=len(rows)) + np.bincount(b, weights=f[a], minlength=len(rows))
+        f = 0.5 * f + 0.5 * sums / np.maximum(degree, 1)
+        f -= f.mean()
+        f /= np.linalg.norm(f) + 1e-12
+    return f
+
+
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator) -> np.ndarray:
-    """A part for each row: halved again and again along the direction of most spread, then moved to where its neighbours are.
+    """A part for each row: the neighbour graph is halved again and again where few edges are cut, then rows are moved to where their neighbours are.
 
     Halving gives equal sizes; a move is made only while the part it goes to stays below SLACK times the mean size.
     """
     label = np.zeros(len(x), np.int64)
+    place = np.empty(len(x), np.int64)
     todo = [(np.arange(len(x)), 0, parts)]
     while todo:
         rows, first, n = todo.pop()
         if n == 1:
             label[rows] = first
             continue
-        y = x[rows] - x[rows].mean(0)
-        v = rng.standard_normal(x.shape[1])
-        for _ in range(12):
-            v = y.T @ (y @ v)
-            v /= np.linalg.norm(v) + 1e-12
         left = n // 2
-        order = np.argsort(y @ v, kind="stable")
+        order = np.argsort(bisector(x, graph, rows, place, rng), kind="stable")
         at = len(rows) * left // n
         todo += [(rows[order[:at]], first, left), (rows[order[at:]], first + left, n - left)]
     most = int(np.ceil(SLACK * len(x) / parts)) + 1
-    both = np.concatenate([graph, rng.integers(0, len(x), (len(x), 0), dtype=np.int32)], axis=1)
     size = np.bincount(label, minlength=parts)
     for _ in range(ROUNDS):
-        near = np.sort(label[both], axis=1)
+        near = np.sort(label[graph], axis=1)
         # the most frequent label among the neighbours: the middle of the longest run
         same = (near[:, :, None] == near[:, None, :]).sum(2)
         best = near[np.arange(len(x)), same.argmax(1)]
@@ -173,16 +219,46 @@ def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float32, (offsets[-1] - offsets[0]) // 4, offsets[0]).reshape(n, -1)
 
 
+def as_floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vec binary) with vec as a list of floats, for mapInArrow."""
+    for b in batches:
+        if b.num_rows:
+            x = unpacked(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["id", "vec"])
+
+
 def distinct_vectors(units: DataFrame) -> DataFrame:
     """(id, vec, copies): each different vector once, under its smallest id, with the number of rows that hold it."""
     return units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
 def learn(vectors: DataFrame, rows: int, fit_rows: int = FIT_ROWS, rows_per_part: int = ROWS_PER_PART) -> Router:
-    """The router for `rows` vectors, fitted on the fit_rows with the smallest hash."""
+    """The router for `rows` vectors, fitted on the fit_rows with the smallest hash.
+
+    If those cannot teach rows / rows_per_part parts, each part is cut by its own router into as many as its rows want, at most fit_rows / ROWS_TO_LEARN, fitted on the executors
+    on a sample by hash of about ROWS_TO_LEARN rows a leaf. What reaches the driver and is broadcast is (dim + 1) numbers a leaf.
+    """
     sample = vectors.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(fit_rows).select("vec").toArrow()
     x = unpacked(sample.column("vec"))
-    return fit_router(x, int(min(max(1, rows // rows_per_part), max(1, len(x) // ROWS_TO_LEARN))))
+    teach = max(1, len(x) // ROWS_TO_LEARN)
+    wanted = max(1, rows // rows_per_part)
+    top = fit_router(x, int(min(wanted, teach)))
+    if wanted <= teach:
+        return top
+    at = routed(vectors.select("vec"), top, 1).select("vec", F.col("parts")[0].alias("part"))
+    sizes = at.groupBy("part").agg(F.count("*").alias("n")).select("part", F.least(F.ceil(F.col("n") / rows_per_part), F.lit(teach)).cast("int").alias("leaves"), "n")  # a row a part
+    share = F.col("leaves") * ROWS_TO_LEARN / F.col("n")
+    drawn = at.join(F.broadcast(sizes), "part").filter((F.col("leaves") > 1) & (F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)).select("part", "leaves", "vec")
+
+    def fit(t: pa.Table) -> pa.Table:
+        r = fit_router(unpacked(t.column("vec")), t.column("leaves")[0].as_py())
+        return pa.table({"part": t.column("part")[:1], "leaves": pa.array([len(r.bias)], pa.int32()), "weights": pa.array([r.weights.tobytes()], pa.binary()), "bias": pa.array([r.bias.tobytes()], pa.binary())})
+
+    children: list = [None] * len(top.bias)
+    for r in drawn.groupBy("part").applyInArrow(fit, "part int, leaves int, weights binary, bias binary").collect():
+        if r["leaves"] > 1:
+            children[r["part"]] = np.frombuffer(r["weights"], np.float32).reshape(-1, r["leaves"]), np.frombuffer(r["bias"], np.float32)
+    return Router(top.weights, top.bias, tuple(children))
 
 
 def routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
@@ -190,7 +266,7 @@ def routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
     names = vectors.columns
-    shared = vectors.sparkSession.sparkContext.broadcast(router)  # dim x parts numbers: parts is bounded by FIT_ROWS
+    shared = vectors.sparkSession.sparkContext.broadcast(router)  # dim + 1 numbers a leaf, at most (FIT_ROWS / ROWS_TO_LEARN) squared leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,7 +310,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.92, probes: int = 3, fit_
     rows = through_table(placed.select("id", "vec", F.posexplode("parts").alias("rank", "part")), "probes")
     ns = rows.groupBy("part").agg(F.count_if(F.col("rank") == 0).alias("ns"), F.count("*").alias("nq"))
     cuts = ns.filter("ns > 0").select("part", F.ceil(F.col("ns") / block).cast("int").alias("bs"), F.ceil(F.col("nq") / (4 * block)).cast("int").alias("bq"))
-    r = rows.join(F.broadcast(cuts), "part")  # a row a part: at most FIT_ROWS / ROWS_TO_LEARN
+    r = rows.join(cuts, "part")  # a row a part, a leaf of the router
     own_s, own_q = F.pmod(F.xxhash64("id"), F.col("bs")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("bq")).cast("int")
     # a stored row goes to all sought blocks of its stored block, a sought row to all stored blocks of its sought block
     as_stored = F.when(F.col("rank") == 0, F.transform(F.sequence(F.lit(0), F.col("bq") - 1), lambda q: F.struct(own_s.alias("sb"), q.alias("qb"), F.lit(0).alias("side"))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marrowlake.llm import conversations, distinctive, markup, mixing, neighbours, ocr, packing, score_fusion, tokens, toxicity
+from marrowlake.operators import knn
 from marrowlake.runtime import cut, table
 
 
@@ -35,6 +36,19 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.with_copies(neighbours.nearest(neighbours.distinct_vectors(units), sought), units, sought)
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The recall of p2_nearest against an exact search of all chunks: queries, the 10 nearest of each, and whether at least 0.9 of them are found. Ties at the tenth count if the cosine is the same."""
+    units = _vectors(spark, d)
+    rows = cut(units.groupBy("id").agg(F.min("vec").alias("vec")))
+    floats = rows.mapInArrow(neighbours.as_floats, "id string, vec array<float>")
+    asked = floats.join(p2_nearest(spark, d).select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "vec")
+    exact = knn.knn(cut(asked), floats, 10, itself=False)
+    last = exact.groupBy("query_id").agg(F.min("cosine").alias("least"), F.count("*").alias("n"))
+    got = p2_nearest(spark, d).join(last, F.col("id") == F.col("query_id")).filter(F.col("cosine") >= F.col("least") - 1e-6).groupBy("query_id", "n").agg(F.count("*").alias("hit"))
+    total = last.agg(F.count("*").alias("queries"), F.sum("n").alias("nearest"))
+    return total.crossJoin(got.agg(F.sum(F.least("hit", "n")).alias("hit"))).select("queries", "nearest", (F.col("hit") >= 0.9 * F.col("nearest")).alias("enough"))  # one row each
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     status = conversations.conversation_status(conversations.conversation_rows(table(spark, d, "finished")))
     return status.filter("status <> 'ok' and session is not null").select("session")
@@ -170,7 +184,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leximin, p2_found, p2_nearest, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p4_scores, p5_found, p5_clean, p5_clean_chunks, p5_labels, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
+        p1_found, p1_leximin, p2_found, p2_nearest, p2_recall, p3_found, p3_turns, p3_linked, p4_found, p4_terms, p4_scores, p5_found, p5_clean, p5_clean_chunks, p5_labels, p6_found, p6_paragraphs, p8_found, p8_containers, p8_report,
         p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates,
     )
 }
@@ -206,12 +220,15 @@ SQL = {
 _COUNTS = rf"""k1 AS (SELECT doc_id, t AS term, count(*) k FROM ({_WORDS}) GROUP BY 1, 2), t1 AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) term FROM (SELECT doc_id, unnest(tags) x FROM documents)),
  k0 AS (SELECT 'term' kind, doc_id, term, k FROM k1 UNION ALL SELECT 'tag', doc_id, term, 1 FROM t1 WHERE term <> ''),
  c AS (SELECT *, CAST(sum(k) OVER (PARTITION BY kind, doc_id) AS BIGINT) n, CAST(sum(k) OVER (PARTITION BY kind, term) AS BIGINT) good, count(*) OVER (PARTITION BY kind, term) df, CAST(sum(k) OVER (PARTITION BY kind) AS BIGINT) total FROM k0)"""
+_USABLE = "id IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 _CHOOSE = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - ({b}) + 1))"
 _TAIL = f"list_sum(list_transform(range(k, least(n, good) + 1), lambda x: exp({_CHOOSE.format(a='good', b='x')} + {_CHOOSE.format(a='(total - good)', b='(n - x)')} - {_CHOOSE.format(a='total', b='n')})))"
 SQL |= {
     "p2_found": """WITH u AS (SELECT DISTINCT id, embedding::DOUBLE[] v FROM chunks WHERE id IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
  f AS (SELECT id, list_transform(v, lambda x: CAST(x / sqrt(list_dot_product(v, v)) AS FLOAT)) n FROM u), r AS (SELECT n, min(id) id FROM f GROUP BY 1)
  SELECT a.id id_a, b.id id_b FROM r a JOIN r b ON a.id < b.id WHERE list_cosine_similarity(a.n::DOUBLE[], b.n::DOUBLE[]) >= 0.92 UNION SELECT r.id, f.id FROM f JOIN r USING (n) WHERE f.id <> r.id""",
+    "p2_recall": f"""WITH u AS (SELECT DISTINCT id FROM chunks WHERE {_USABLE}), q AS (SELECT DISTINCT id FROM chunks WHERE {_USABLE} AND doc_id % 100 = 0)
+ SELECT count(*) queries, CAST(count(*) * least(10, (SELECT count(*) FROM u) - 1) AS BIGINT) nearest, true AS enough FROM q""",
     "p4_scores": f"""WITH {_COUNTS}, d AS (SELECT DISTINCT kind, k, n, good, total FROM c), p AS (SELECT *, round(least(greatest(-log10(least(greatest({_TAIL}, 0), 1)), 0), 1e12), 6) p FROM d),
  m AS (SELECT c.*, p.p FROM c JOIN p ON p.kind = c.kind AND p.k = c.k AND p.n = c.n AND p.good = c.good), r AS (SELECT kind, p, p - log10(sum(count(*)) OVER (PARTITION BY kind) / sum(count(*)) OVER (PARTITION BY kind ORDER BY p DESC)) raw FROM m GROUP BY 1, 2),
  s AS (SELECT kind, p, greatest(max(raw) OVER (PARTITION BY kind ORDER BY p ROWS UNBOUNDED PRECEDING), 0) score FROM r) SELECT m.kind, doc_id, term, k, df, round(round(score, 6), 2) score FROM m JOIN s ON s.kind = m.kind AND s.p = m.p""",

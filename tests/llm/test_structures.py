@@ -260,3 +260,33 @@ def test_nearest_has_all_copies(spark, tmp_path):
     s = np.round(u @ u.T, 5)
     for i in (0, 2, 19, 34, 35):
         assert got[f"v{i:03d}"] == [f"v{j:03d}" for j in sorted(set(range(60)) - {i}, key=lambda j: (-s[i, j], j))[:10]], i
+
+
+def test_parts_are_cut_again_where_the_sample_teaches_too_few(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((150, 16))
+    x = (centres[rng.integers(0, 150, 3000)] + 0.22 * rng.standard_normal((3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    units = neighbours.distinct_vectors(neighbours.unit_vectors(df, "id", "embedding", 16)).cache()
+    router = neighbours.learn(units, 3000, fit_rows=480, rows_per_part=40)
+    assert len(router.bias) == 20 and 60 <= router.parts <= 100 and any(router.children)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    top = router.likeliest(u, 6)
+    assert top.shape == (3000, 6) and top.max() < router.parts and all(len(set(r)) == 6 for r in top[:200])
+    sizes = np.bincount(top[:, 0], minlength=router.parts)
+    assert sizes.max() < 400
+    s = u.astype(float) @ u.T.astype(float)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(s >= 0.92, 1)))}
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(units, 0.92, probes=4, fit_rows=480, rows_per_part=40).collect()}
+    assert len(want) > 500 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_the_graph_is_what_is_halved():
+    # two rings that lie on top of one another along every direction but the last: halving by spread alone would cut both
+    t = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t), np.full(200, h)], 1) for h in (0.35, -0.35)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = neighbours.balanced_parts(x, neighbours.neighbour_graph(x, 8), 2, np.random.default_rng(0))
+    graph = neighbours.neighbour_graph(x, 8)
+    cut = (label[graph] != label[:, None]).mean()
+    assert cut < 0.05 and abs(np.bincount(label, minlength=2) - 200).max() <= 40
