@@ -93,13 +93,18 @@ def shuffled(mix: DataFrame) -> DataFrame:
 
 
 def mixing_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target: shares wanted and reached, size, tokens drawn, highest copy, and whether the cap lets it reach its share."""
+    """Per target: shares wanted, to be expected under the caps and reached, size, tokens drawn, highest copy, and whether the cap lets it reach its share.
+
+    What capped sources cannot give is not drawn from others, so the mix is smaller by it and the expected shares of the others exceed their targets in proportion.
+    """
     got = mix.groupBy("source").agg(F.sum("tokens").alias("drawn"), F.max("copy").alias("most_copies"))
     all_drawn = got.agg(F.sum("drawn").alias("all_drawn"))
-    rows = plan.drop("cdf").join(got, "source", "left").crossJoin(all_drawn)  # one row
+    expected = plan.agg(F.sum(F.col("rate") * F.col("size")).alias("all_expected"))
+    rows = plan.drop("cdf").crossJoin(expected).join(got, "source", "left").crossJoin(all_drawn)  # one row
     return rows.select(
         "source", "target_share", "max_repeats", F.col("size").cast("long").alias("size"), "rate", "reachable",
         F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.coalesce("drawn", F.lit(0)) / F.col("all_drawn")).alias("share"),
+        (F.col("rate") * F.col("size") / F.col("all_expected")).alias("expected_share"),
     )
 
 
