@@ -42,6 +42,8 @@ mistkerl drecksack depp vollidiot ficken nackt nackte titten pornos ungeziefer d
 imbécil cabrón puta puto mierda payaso inútil follar desnuda desnudas desnudo cachondo cachonda plaga ratas asquerosos asqueroso
 basura mueras""".split()
 PRIOR_WEIGHT, PRIOR_BIAS, PENALTY = 1.6, -3.5, 3e-6
+#: How much dearer weight is for words and pairs that are no evidence and only speak against the class.
+CONTEXT = 1000.0
 #: How much more frequent a word must be in toxic documents than in the corpus to speak for the class.
 LIFT = 3.0
 
@@ -392,6 +394,7 @@ def regression(examples: list[Example], triggers: frozenset[str], odds: dict[str
         prior[i] = PRIOR_WEIGHT if g in known and g in triggers else 0.0
         lift[i] = odds.get(g, 0.0)
     top = np.where(may_rise, 8.0, 0.0)
+    penalty = np.where(may_rise, PENALTY, CONTEXT * PENALTY)
     w, bias = prior.copy(), PRIOR_BIAS
     score = np.bincount(row, weights=np.maximum(lift, prior)[index], minlength=n) if len(index) else np.zeros(n)
     clean = ~np.array([e.toxic for e in examples], bool)[doc] if n else np.zeros(0, bool)
@@ -402,12 +405,12 @@ def regression(examples: list[Example], triggers: frozenset[str], odds: dict[str
         worst[order[np.append(doc[order][1:] != doc[order][:-1], True)]] = True
         y = (worst & ~clean).astype(float)
         weight = np.maximum(y, clean * clean_weight)
-        total = weight.sum() + rest * clean_weight
+        total = y.sum() + clean.sum() + rest  # the penalty is against passages, whatever they weigh
         for _ in range(steps):
             t += 1
             z = bias + np.bincount(row, weights=w[index], minlength=n)
             g = weight / total * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            gw = np.bincount(index, weights=g[row], minlength=size) + PENALTY * (w - prior)
+            gw = np.bincount(index, weights=g[row], minlength=size) + penalty * (w - prior)
             gb = g.sum() + rest * clean_weight / total / (1 + math.exp(-max(-30.0, min(30.0, bias))))
             m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
