@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -47,13 +49,29 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="marrowlake-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below this session's scratch in the shared folder."""
+    return os.path.join(shared_dir(spark), f"scratch-{spark.sparkContext.applicationId}", f"{label}-{uuid.uuid4().hex}")
+
+
+def clean(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Deletes this session's scratch, except what begins with a label in keep; the number of things deleted.
+
+    Results that were not written yet may still read from there, so it is called between jobs, not in them. What a lost session left is its folder scratch-<application id>.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), f"scratch-{spark.sparkContext.applicationId}"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for s in fs.listStatus(path) if fs.exists(path) else ():
+        if not s.getPath().getName().startswith(tuple(f"{k}-" for k in keep) or ("\0",)):
+            gone += bool(fs.delete(s.getPath(), True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:
