@@ -247,3 +247,25 @@ def test_scratch_is_cleaned(spark):
     with pytest.raises(Exception):
         gone.select("id").collect()
     json.dumps(TIERS[0].efs)
+
+
+def test_engine_and_command_line(spark, tmp_path, capsys):
+    from marrowlake.__main__ import main
+    from marrowlake.api import Engine
+
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    chunks(spark).write.parquet(f"{tmp_path}/chunks.parquet")
+    path = f"file://{tmp_path}/p"
+    assert main(["--pack", path, "index", f"{tmp_path}/documents.parquet", f"{tmp_path}/chunks.parquet"]) == [{"documents": 6, "chunks": 12, "vectors": 10, "version": 1, "model": "hash@64+none"}]
+    found = main(["--pack", path, "search", "cat", "--surface", "hook"])
+    assert {r["uri"] for r in found} == {f"file:///{i}.md" for i in (1, 3, 5)} and json.loads(capsys.readouterr().out.splitlines()[-1]) == found[-1]
+    assert {r["chunk_id"] for r in main(["--pack", path, "related", "d0"])} == {"d0:1", "d1:0", "d2:0"}
+    assert main(["--pack", path, "document", "d0"])[0]["chunk_ids"] == ["d0:0", "d0:1"] and main(["--pack", path, "document", "zz"]) == []
+    e = Engine(spark, path)
+    nodes, edges = e.graph()
+    q = spark.createDataFrame([(1, "running cats", [1.0] * 64)], "query_id long, text string, vec array<float>")
+    assert nodes.count() == 6 and edges.count() == 6 and e.explain(q)[1].count() == 1 and e.search(q, candidates=3, least=0.0).count() > 0
+    with pytest.raises(KeyError, match="candidates"):
+        e.search(q, candidats=3)
+    m = spark.createDataFrame([("fact", "a text about caches", "T", None, 5), ("episode", "another one", "T", "p", 6)], "kind string, text string, title string, project string, created long")
+    assert e.memories(m, kind="fact").count() == 1 and e.memories(m, contains="CACHE").count() == 1
