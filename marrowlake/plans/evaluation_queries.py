@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marrowlake.functions.text import fold_newlines
 from marrowlake.operators import budget, evaluation, memory
 from marrowlake.operators.knn import knn
 from marrowlake.plans.retrieval_queries import pack_of
@@ -100,9 +101,9 @@ def faulty_cases(spark: Spark, d: str) -> DataFrame:
 
 
 def title_echo(spark: Spark, d: str) -> DataFrame:
-    """Documents whose text's first line repeats their title."""
+    """Documents whose text repeats their title."""
     t = table(spark, d, "documents").filter("text is not null and title is not null")
-    p = t.select(F.col("doc_id").alias("case_id"), "uri", F.substring_index("text", "\n", 1).alias("query"), "title")
+    p = t.select(F.col("doc_id").alias("case_id"), "uri", fold_newlines(F.col("text")).alias("query"), "title")
     return evaluation.title_echoes(p).withColumn("overlap", F.round("overlap", 6))
 
 
@@ -243,9 +244,9 @@ SQL = {
     "distill_candidates": f"""WITH s AS (SELECT uri, arg_min(stamp, (run_id, stamp)) s0, arg_max(stamp, (run_id, stamp)) s1 FROM scans WHERE stamp IS NOT NULL GROUP BY 1)
  SELECT uri, s1 AS stamp FROM documents JOIN s USING (uri) WHERE source_type = 'transcript' AND strlen(text) >= 4096 AND {NOW} - floor(epoch(indexed_at)) >= 86400 AND s0 <> s1""",
 }
-_T, _Q = (f"list_filter({q.toks(c)}, lambda x: x <> '' AND x NOT IN ({q.STOP}))" for c in ("title", "line"))
+_T, _Q = (f"list_filter({q.toks(c)}, lambda x: x <> '' AND x NOT IN ({q.STOP}))" for c in ("title", q.FOLDED))
 SQL |= {
-    "title_echo": f"""WITH x AS (SELECT doc_id case_id, uri, {_T} t, {_Q} q FROM (SELECT *, string_split(text, chr(10))[1] line FROM documents WHERE text IS NOT NULL AND title IS NOT NULL)),
+    "title_echo": f"""WITH x AS (SELECT doc_id case_id, uri, {_T} t, {_Q} q FROM documents WHERE text IS NOT NULL AND title IS NOT NULL),
  y AS (SELECT *, len(list_distinct(t)) n, CASE WHEN len(t) > 0 THEN len(list_intersect(list_distinct(t), list_distinct(q))) / len(list_distinct(t))::DOUBLE ELSE 0 END overlap, ' ' || array_to_string(q, ' ') || ' ' hay FROM x),
  z AS (SELECT *, coalesce(list_max(list_transform(flatten(list_transform(range(1, len(t) + 1), lambda i: list_transform(range(i, len(t) + 1), lambda j: [i, j]))), lambda p: CASE WHEN contains(hay, ' ' || array_to_string(t[p[1]:p[2]], ' ') || ' ') THEN p[2] - p[1] + 1 ELSE 0 END)), 0) run FROM y)
  SELECT case_id, uri, round(overlap, 6) overlap, CAST(run AS INTEGER) run FROM z WHERE (n >= 3 AND overlap >= 0.6) OR run >= 3""",
